@@ -114,18 +114,18 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subscription_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event is one subscription upsert for endpoint = user_id."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    """Every event is one subscription upsert: the endpoint is the user's
+    device for that event type, the order is the user's order."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     return e.select(
-        F.concat(F.lit("ep-"), F.col("user_id").cast("string")).alias("endpoint"),
-        F.col("event_id").cast("string").alias("order_id"),
-        F.col("event_id").alias("seq"),
-        F.concat(F.lit("k-"), F.col("user_id").cast("string")).alias("p256dh"),
-        F.lit("auth").alias("auth"),
+        F.concat(F.lit("sub-"), F.col("event_id").cast("string")).alias("id"),
+        F.col("user_id").cast("string").alias("order_id"),
+        F.concat(F.lit("ep-"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")).alias("endpoint"),
         F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("customer_name"),
         F.col("event_type").alias("order_name"),
         F.col("ts").alias("created_at"),
         F.col("ts").alias("updated_at"),
+        F.col("event_id").alias("seq"),
     )
 
 
@@ -135,22 +135,72 @@ def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "ts", F.col("event_id").alias("seq"))
 
 
-def menu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """menu_drinks-shaped rows: one drink per distinct part type.
+def _cap(c):
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 1 << 20)))
+
 
-    Built by aggregation over part, so it grows with the table; a type is
-    offered Hot and Cold unless its name says otherwise."""
-    p = table(spark, sf_dir, "part").select("p_type", "p_size")
-    g = p.groupBy("p_type").agg(F.min("p_size").alias("min_size"))
-    return g.select(
+def menu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """menu_drinks rows: one drink per distinct part type (an aggregate of
+    part, so it is computed from the table)."""
+    t = table(spark, sf_dir, "part").select("p_type").distinct()
+    n = F.length("p_type")
+    return t.select(
         F.lower(F.col("p_type")).alias("id"),
-        F.col("p_type").alias("label"),
-        F.lit("").alias("description"),
-        F.when(F.col("min_size") % 2 == 0, F.array(F.lit("Hot"), F.lit("Cold")))
-         .otherwise(F.array(F.lit("Hot"))).alias("temps"),
-        (F.col("min_size") % 3 != 0).alias("has_milk"),
-        F.lit(True).alias("has_syrups"),
+        _cap(F.col("p_type")).alias("label"),
+        F.concat(F.lit("Made from "), F.lower(F.col("p_type")), F.lit(" parts")).alias("description"),
+        F.when(n % 2 == 0, F.array(F.lit("Hot"), F.lit("Cold")))
+         .when(n == 7, F.array(F.lit("Cold"))).otherwise(F.array(F.lit("Hot"))).alias("temps"),
+        (n % 3 != 0).alias("has_milk"),
+        (F.col("p_type") != "LARGE").alias("has_syrups"),
         F.lit(True).alias("show_temp"),
-        F.lit(True).alias("active"),
-        F.col("min_size").alias("sort_order"),
+        (F.col("p_type") != "PROMO").alias("active"),
+        n.cast("int").alias("sort_order"),
+    )
+
+
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """inventory rows: milks are the part brands, syrups the words of part
+    names (both computed from part by aggregation)."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_name")
+    b = p.select(F.col("p_brand").alias("item")).distinct()
+    num = F.substring(F.col("item"), 7, 10).cast("int")
+    milks = b.select(F.concat(F.lit("milk:"), F.col("item")).alias("id"), "item", F.lit("milk").alias("type"),
+                     (num % 4 != 0).alias("available"), (num % 10 != 0).alias("active"),
+                     num.alias("sort_order"))
+    w = p.select(F.explode(F.split(F.col("p_name"), " ")).alias("item")).distinct()
+    syrups = w.select(F.concat(F.lit("syrup:"), F.col("item")).alias("id"), "item", F.lit("syrup").alias("type"),
+                      (F.length("item") % 3 != 0).alias("available"), (F.col("item") != "gear").alias("active"),
+                      F.lit(0).alias("sort_order"))
+    return milks.unionByName(syrups)
+
+
+def last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saved last order of each customer: the newest queue order by
+    (created_at, id), its first line item's part as the drink."""
+    from ..operators.ranking import latest_per
+    q = queue(spark, sf_dir).select("id", "created_at", "customer_key", "temperature")
+    last = latest_per(q, "customer_key", ["created_at", "id"])
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    first = li.groupBy("l_orderkey").agg(
+        F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("partkey"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    j = (last.join(first, last.id == first.l_orderkey.cast("string"), "inner")
+             .join(p, F.col("partkey") == F.col("p_partkey"), "inner")
+             .join(c, F.col("customer_key") == F.col("c_custkey"), "inner"))
+    name = (F.when(F.col("c_custkey") % 11 == 0, F.lit(""))
+            .when(F.col("c_custkey") % 7 == 0, F.col("c_name"))
+            .otherwise(F.replace(F.col("c_name"), F.lit("#"), F.lit(" "))))
+    drink_id = F.when(F.col("p_size") % 9 == 0, F.concat(F.lit("retired-"), F.lower("p_type"))) \
+        .otherwise(F.lower("p_type"))
+    return j.select(
+        F.col("customer_key").cast("string").alias("id"),
+        name.alias("customer_name"),
+        drink_id.alias("drink_id"),
+        _cap(F.col("p_type")).alias("drink_label"),
+        F.col("temperature").alias("temp"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.col("p_brand")).alias("milk"),
+        F.split(F.col("p_name"), " ").alias("syrups"),
+        F.lit("").alias("notes"),
+        F.timestamp_add("DAY", F.lit(30), F.col("created_at")).alias("expires_at"),
     )

@@ -17,6 +17,11 @@ from . import adapters as V
 QUERIES: dict = {}
 
 
+def load_all():
+    """Import every query module so that all queries are registered."""
+    from . import queue_queries, oracle_queue  # noqa: F401
+
+
 def register(name: str):
     def deco(fn):
         QUERIES[name] = fn
