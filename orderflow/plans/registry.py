@@ -20,6 +20,7 @@ QUERIES: dict = {}
 def load_all():
     """Import every query module so that all queries are registered."""
     from . import queue_queries, oracle_queue, catalog_queries, oracle_catalog  # noqa: F401
+    from . import event_queries, oracle_events  # noqa: F401
 
 
 def register(name: str):
