@@ -76,7 +76,7 @@ def stream_ready_edges(df: DataFrame, fire_on=("complete",), done=tuple(K.READY_
     timeout_ms = int(state_ttl.total_seconds() * 1000) if state_ttl else 0
     src = df.withColumn("_evt", F.col("ts").cast("timestamp")).withWatermark("_evt", watermark) \
         if timeout_ms else df
-    cols = src.select("order_id", "ts", "seq", "status")
+    cols = src.select("order_id", "ts", "seq", "status", *(["_evt"] if timeout_ms else []))
     return cols.groupBy("order_id").applyInPandasWithState(
         _edge_fn(fire_on, done, timeout_ms), EDGE_OUT, EDGE_STATE, "append",
         GroupStateTimeout.EventTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
@@ -145,7 +145,6 @@ def stream_upsert(df: DataFrame, base: str, keys, order_by, checkpoint: str, kee
     spark = df.sparkSession
 
     def write(batch: DataFrame, batch_id: int):
-        import os
         prev = None
         try:
             marker = spark.read.schema("current string, batch long").json(f"{base}/_current")
@@ -162,7 +161,6 @@ def stream_upsert(df: DataFrame, base: str, keys, order_by, checkpoint: str, kee
         snap.write.mode("overwrite").parquet(path)
         spark.createDataFrame([(path, batch_id)], "current string, batch long").coalesce(1) \
             .write.mode("overwrite").json(f"{base}/_current")
-        _ = os  # keep linters quiet
 
     w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
