@@ -99,9 +99,12 @@ def top_items(counts: DataFrame, by: tuple = (), k: int = K.TOP_K) -> DataFrame:
 
 
 def _pack(counts: DataFrame, by: tuple, k: int) -> DataFrame:
-    tops = top_items(counts, by, k)
-    totals = counts.filter(~F.col("dim").isin(*DIMS))
-    both = tops.unionByName(totals.withColumn("rnk", F.lit(None).cast("long")))
+    """One pass over the (small) counts: rank every (by, dim) group, keep
+    the top k of the item dims and all total/temp rows, then one aggregate
+    per group packs totals and the three bounded lists."""
+    w = Window.partitionBy(*by, "dim").orderBy(F.col("cnt").desc(), F.col("item").asc())
+    ranked = counts.withColumn("rnk", F.row_number().over(w).cast("long"))
+    kept = ranked.filter(~F.col("dim").isin(*DIMS) | (F.col("rnk") <= k))
 
     def lst(d):
         s = F.struct(F.col("rnk"), F.col("item"), F.col("cnt"))
@@ -110,7 +113,7 @@ def _pack(counts: DataFrame, by: tuple, k: int) -> DataFrame:
 
     def tot(d, item):
         return F.coalesce(F.sum(F.when((F.col("dim") == d) & (F.col("item") == item), F.col("cnt"))), F.lit(0)).cast("long")
-    return both.groupBy(*by).agg(
+    return kept.groupBy(*by).agg(
         tot("total", "*").alias("total_orders"),
         tot("temp", "hot").alias("hot_orders"),
         tot("temp", "cold").alias("cold_orders"),

@@ -31,9 +31,27 @@ QUEUE_AS_OF = dt.datetime(1998, 8, 2, 0, 0, 0)
 EVENTS_AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
 
 
+# fact tables and the key they are spread on when a scan is too coarse
+FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition a scan that has fewer splits than the session has
+    task slots (a small file written as one row group is read by one task).
+    On large inputs the scan already has more splits and this is a no-op;
+    it never adds a shuffle there.  Filters and pruning still reach the
+    scan below the exchange."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots, key)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     pin_utc(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = FACT_KEYS.get(name)
+    return spread(df, key) if key else df
 
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
