@@ -86,7 +86,8 @@ def bool_text(c, default=None) -> Column:
 
 
 def clamp(c, lo, hi) -> Column:
-    """greatest(lo, least(c, hi)); null c clamps to lo as in SQL."""
+    """greatest(lo, least(c, hi)).  Both skip nulls (as in SQL), so a
+    null c gives hi; callers coalesce first (T3 does)."""
     return F.greatest(_lit(lo), F.least(_c(c), _lit(hi)))
 
 
@@ -215,7 +216,8 @@ def progress(c) -> Column:
 
 def ticket_no(pos) -> Column:
     """zero-padded to 3 digits, longer numbers kept whole."""
-    return F.format_string("%03d", _c(pos).cast("long"))
+    p = _c(pos).cast("long")
+    return F.when(p.isNotNull(), F.format_string("%03d", p))
 
 
 def week_label(n) -> Column:
