@@ -21,6 +21,7 @@ def load_all():
     """Import every query module so that all queries are registered."""
     from . import queue_queries, oracle_queue, catalog_queries, oracle_catalog  # noqa: F401
     from . import event_queries, oracle_events, text_queries, oracle_texts  # noqa: F401
+    from . import io_queries, oracle_io  # noqa: F401
 
 
 def register(name: str):

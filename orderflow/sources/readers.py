@@ -61,27 +61,29 @@ def ingest_inventory_grid(df: DataFrame, defaults: DataFrame | None = None) -> D
 def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None,
             renames: dict | None = None) -> DataFrame:
     """Shape rows to ``schema``: legacy names merged into current ones
-    (current value first), missing columns added with defaults, types
-    cast (try_cast for text input)."""
+    (current value first), missing columns added with defaults, types cast.
+    Text input is read leniently: try_cast for scalars (bad text -> null),
+    comma text split into a list for array columns."""
     defaults = defaults or {}
     renames = renames or {}
-    cols = set(df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for f in schema.fields:
-        srcs = [F.col(f.name)] if f.name in cols else []
-        srcs += [F.col(old) for old, new in renames.items() if new == f.name and old in cols]
-        d = defaults.get(f.name)
-        if d is not None:
-            srcs.append(F.lit(d))
-        v = F.coalesce(*srcs) if len(srcs) > 1 else (srcs[0] if srcs else F.lit(None))
-        if isinstance(f.dataType, (T.StringType,)):
-            out.append(v.cast(f.dataType).alias(f.name))
-        elif isinstance(f.dataType, T.ArrayType):
-            out.append(v.cast(f.dataType).alias(f.name))
-        else:
-            out.append(F.try_cast(v.cast("string"), f.dataType).alias(f.name) if srcs and
-                       isinstance(df.schema[f.name].dataType if f.name in cols else T.StringType(), T.StringType)
-                       else v.cast(f.dataType).alias(f.name))
+        names = ([f.name] if f.name in types else []) + [o for o, n in renames.items() if n == f.name and o in types]
+        srcs = []
+        for n in names:
+            c, src = F.col(n), types[n]
+            if isinstance(src, T.StringType) and isinstance(f.dataType, T.ArrayType):
+                c = F.filter(X.text_list(c), lambda x: x != "")
+            elif isinstance(src, T.StringType) and not isinstance(f.dataType, T.StringType):
+                c = c.try_cast(f.dataType)
+            else:
+                c = c.cast(f.dataType)
+            srcs.append(c)
+        if f.name in defaults:
+            srcs.append(F.lit(defaults[f.name]).cast(f.dataType))
+        v = F.coalesce(*srcs) if len(srcs) > 1 else (srcs[0] if srcs else F.lit(None).cast(f.dataType))
+        out.append(v.alias(f.name))
     return df.select(*out)
 
 
