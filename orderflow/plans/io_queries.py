@@ -72,8 +72,8 @@ def append_and_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     q = V.queue(spark, sf).drop("shop_id", "customer_key")
     base = _scratch(spark, "ledger")
     cut = F.lit(V.QUEUE_AS_OF)
-    SK.append(q.filter(F.col("created_at") < cut), f"{base}/orders")
-    SK.append(q.filter(F.col("created_at") >= cut), f"{base}/orders")
+    SK.append(q.filter(F.col("created_at") < cut), f"{base}/orders", grain="month")
+    SK.append(q.filter(F.col("created_at") >= cut), f"{base}/orders", grain="month")
     SK.replace_snapshot(V.catalogue(spark, sf), f"{base}/catalogue", "1")
     SK.replace_snapshot(V.catalogue(spark, sf).filter(F.col("active")), f"{base}/catalogue", "2")
     orders = spark.read.parquet(f"{base}/orders")

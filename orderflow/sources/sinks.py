@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 
 def append(df: DataFrame, path: str, time_col: str = "created_at", fmt: str = "parquet",
-           partitions: int | None = None) -> None:
+           partitions: int | None = None, grain: str = "day") -> None:
     """Append rows, partitioned by the UTC date of ``time_col``.
 
     Rows are range-partitioned on (date, time) first, so each task writes a
     contiguous run of dates (files ~ tasks + dates, not tasks x dates) and
     a date holding a large share of the rows is still split across tasks."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    d = df.withColumn("dt", F.to_date(F.col(time_col)))
+    day = F.to_date(F.col(time_col))
+    d = df.withColumn("dt", day if grain == "day" else F.trunc(day, grain))
     (d.repartitionByRange(n, "dt", time_col)
       .write.mode("append").partitionBy("dt").format(fmt).save(path))
 
