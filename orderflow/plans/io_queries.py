@@ -115,3 +115,27 @@ def stream_notify_payloads(spark: SparkSession, sf: str) -> DataFrame:
     got = _run(out.select("endpoint", "order_id", F.col("payload.body").alias("body"),
                           F.col("payload.url").alias("url")), "notify")
     return got
+
+
+@register("stream_upsert_subscriptions")
+def stream_upsert_subscriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Subscription upserts streamed into a versioned snapshot (last
+    update per endpoint wins, first id/created_at kept), read back."""
+    s = _event_stream_raw(spark, sf)
+    ups = s.select(
+        F.concat(F.lit("sub-"), F.col("event_id").cast("string")).alias("id"),
+        F.col("user_id").cast("string").alias("order_id"),
+        F.concat(F.lit("ep-"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")).alias("endpoint"),
+        F.col("event_type").alias("order_name"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"),
+        F.col("event_id").alias("seq"))
+    base = _scratch(spark, "subs")
+    q = ST.stream_upsert(ups, f"{base}/snap", "endpoint", ["updated_at", "seq"], f"{base}/ck",
+                         keep_first=("id", "created_at"))
+    q.awaitTermination()
+    return SK.read_current_json(spark, f"{base}/snap").select("endpoint", "id", "order_id", "order_name",
+                                                               "created_at", "updated_at")
+
+
+def _event_stream_raw(spark: SparkSession, sf: str) -> DataFrame:
+    from .text_queries import _event_stream
+    return _event_stream(spark, sf)

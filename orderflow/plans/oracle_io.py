@@ -49,3 +49,8 @@ SELECT s.endpoint, s.order_id,
        '/?order=' || s.order_id AS url
 FROM edges e JOIN subs s ON s.order_id = e.order_id
 """
+
+SQL["stream_upsert_subscriptions"] = f"""
+WITH {SUBS.strip()}
+SELECT endpoint, id, order_id, order_name, created_at, updated_at FROM subs
+"""

@@ -44,3 +44,9 @@ def read_current(spark: SparkSession, base: str) -> DataFrame:
     """Read the version the pointer names."""
     cur = spark.read.schema("current string").json(f"{base.rstrip('/')}/_current").first()["current"]
     return spark.read.parquet(cur)
+
+
+def read_current_json(spark: SparkSession, base: str) -> DataFrame:
+    """Read the snapshot a streaming upsert (R9) names in ``_current``."""
+    cur = spark.read.schema("current string, batch long").json(f"{base.rstrip('/')}/_current").first()["current"]
+    return spark.read.parquet(cur)
