@@ -79,11 +79,26 @@ def match_menu(df: DataFrame, menu: DataFrame, id_col: str = "drink_id", label_c
     return out.select(*df.columns, *[F.col(f"_i_{c}").alias(prefix + c) for c in cols])
 
 
-def _syrup_stock(df: DataFrame, stock: DataFrame, key: str, syrups: str = "syrups") -> DataFrame:
-    """(key, pos, syrup, in_stock) for each listed syrup."""
-    ex = df.select(key, F.posexplode(F.coalesce(F.col(syrups), F.array().cast("array<string>"))).alias("pos", "syrup"))
-    return ex.join(stock.withColumnRenamed("item", "syrup"), "syrup", "left").select(
-        key, "pos", "syrup", F.coalesce(F.col("in_stock"), F.lit(False)).alias("in_stock"))
+def _with_stock(m: DataFrame, stock: DataFrame, key: str) -> DataFrame:
+    """One pass: each order's milk (pos 0) and syrups (pos 1..) exploded,
+    joined once to the stock table and aggregated back per order ``key``
+    (unique per order, so every group is small).  Adds _o (the order row),
+    _milk_ok, _bad (first out-of-stock syrup) and _ok (in-stock syrups in
+    order)."""
+    cols = [c for c in m.columns if c != key]
+    items = F.concat(F.array(F.col("milk")), F.coalesce(F.col("syrups"), F.array().cast("array<string>")))
+    ex = m.select(key, F.struct(*cols).alias("_o"), F.posexplode(items).alias("_pos", "_item"))
+    st = stock.select(F.col("item").alias("_item"), F.col("in_stock"))
+    j = ex.join(st, "_item", "left")
+    ok = F.coalesce(F.col("in_stock"), F.lit(False))
+    syr = F.col("_pos") > 0
+    g = j.groupBy(key).agg(
+        F.any_value("_o").alias("_o"),
+        F.max(F.when(F.col("_pos") == 0, ok)).alias("_milk_ok"),
+        F.min(F.when(syr & ~ok, F.struct("_pos", "_item"))).alias("_bad"),
+        F.array_sort(F.collect_list(F.when(syr & ok, F.struct("_pos", "_item")))).alias("_ok"))
+    return g.select(key, "_o.*", "_milk_ok", F.col("_bad._item").alias("_bad_syrup"),
+                    F.transform("_ok", lambda x: x["_item"]).alias("_ok_syrups"))
 
 
 def validate_orders(orders: DataFrame, menu: DataFrame, inventory: DataFrame, key: str = "id",
@@ -96,16 +111,11 @@ def validate_orders(orders: DataFrame, menu: DataFrame, inventory: DataFrame, ke
             first visible drink's rule), or out of stock
     syrups  the first listed syrup that is out of stock
     Adds error_drink, error_name, error_milk, error_syrups, errors (map of
-    the non-null ones) and valid."""
+    the non-null ones) and valid.  ``key`` must be unique per order."""
     stock = stock if stock is not None else stock_table(inventory)
-    m = match_menu(orders, menu, "drink_id", None)
     first = first_drink(menu)
+    m = _with_stock(match_menu(orders, menu, "drink_id", None), stock, key)
     needs_milk = F.coalesce(F.col("m_has_milk"), first["has_milk"], F.lit(True))
-    ms = stock.select(F.col("item").alias("_milk_item"), F.col("in_stock").alias("_milk_ok"))
-    m = m.join(ms, m["milk"] == ms["_milk_item"], "left")
-    bad_syr = (_syrup_stock(orders, stock, key).filter(~F.col("in_stock"))
-               .groupBy(key).agg(F.min_by("syrup", "pos").alias("_bad_syrup")))
-    m = m.join(bad_syr, key, "left")
     name = F.coalesce(F.col("customer_name"), F.lit(""))
     has_milk = F.coalesce(F.col("milk"), F.lit("")) != ""
     e_drink = F.when(F.col("m_id").isNull(), F.lit(K.ERR_DRINK))
@@ -134,18 +144,12 @@ def propose_reorder(last: DataFrame, menu: DataFrame, inventory: DataFrame, key:
     from .filters import unexpired
     src = unexpired(last, as_of) if as_of is not None and "expires_at" in last.columns else last
     stock = stock if stock is not None else stock_table(inventory)
-    m = match_menu(src, menu, "drink_id", "drink_label")
-    ms = stock.select(F.col("item").alias("_milk_item"), F.col("in_stock").alias("_milk_ok"))
-    m = m.join(ms, m["milk"] == ms["_milk_item"], "left")
-    ok_syr = (_syrup_stock(src, stock, key).filter(F.col("in_stock"))
-              .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "syrup"))).alias("_ok")))
-    m = m.join(ok_syr, key, "left")
+    m = _with_stock(match_menu(src, menu, "drink_id", "drink_label"), stock, key)
     found = F.col("m_id").isNotNull()
     temp = F.when(F.coalesce(F.array_contains(F.col("m_temps"), F.col("temp")), F.lit(False)), F.col("temp")) \
         .otherwise(F.get(F.col("m_temps"), 0))
     milk = F.when(F.col("m_has_milk") & F.coalesce(F.col("_milk_ok"), F.lit(False)), F.col("milk")).otherwise(F.lit(""))
-    syr = F.when(F.col("m_has_syrups") & F.col("syrups").isNotNull(),
-                 F.slice(F.transform(F.coalesce(F.col("_ok"), F.array()), lambda x: x["syrup"]), 1, cap)) \
+    syr = F.when(F.col("m_has_syrups") & F.col("syrups").isNotNull(), F.slice(F.col("_ok_syrups"), 1, cap)) \
         .otherwise(F.array().cast("array<string>"))
     return m.select(
         key, found.alias("matched"),

@@ -199,6 +199,8 @@ def last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = queue(spark, sf_dir).select("id", "created_at", "customer_key", "temperature")
     last = latest_per(q, "customer_key", ["created_at", "id"])
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # only the lines of last orders are aggregated
+    li = li.join(last.select(F.col("id").cast("long").alias("l_orderkey")), "l_orderkey", "left_semi")
     first = li.groupBy("l_orderkey").agg(
         F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("partkey"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
