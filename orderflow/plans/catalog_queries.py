@@ -166,3 +166,39 @@ def ingest_menu_drinks(spark: SparkSession, sf: str) -> DataFrame:
     d, _, _ = C.save_menu(_menu_docs(spark, sf))
     return d.select("doc_id", "id", "label", F.array_join("temps", ",").alias("temps"), "has_milk",
                     "active", "sort_order")
+
+
+@register("in_stock_items")
+def in_stock_items(spark: SparkSession, sf: str) -> DataFrame:
+    """In-stock rows of each type."""
+    from ..operators.filters import in_stock
+    inv = V.inventory(spark, sf)
+    return in_stock(inv, "syrup").unionByName(in_stock(inv, "milk")).select("item", "type")
+
+
+@register("order_lines_list")
+def order_lines_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's parts as a bounded ordered list (an order has at
+    most seven lines)."""
+    li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    g = C.ordered_list(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], ["l_partkey"], "parts")
+    return g.select("l_orderkey", F.array_join(F.transform("parts", lambda x: x["l_partkey"].cast("string")), ",")
+                    .alias("parts"))
+
+
+@register("normalized_menu")
+def normalized_menu(spark: SparkSession, sf: str) -> DataFrame:
+    """Client normalisation of drinks built from part types, with a
+    blank label, missing flags and out-of-domain temps."""
+    m = V.menu(spark, sf)
+    raw = m.select(
+        F.when(F.col("id") == "small", F.lit(None)).otherwise(F.col("id")).alias("id"),
+        F.when(F.col("id") == "small", F.lit("  ")).otherwise(F.col("label")).alias("label"),
+        F.lit(None).cast("string").alias("description"),
+        F.when(F.col("id") == "medium", F.array(F.lit("Cold"), F.lit("Warm"), F.lit("Cold")))
+         .when(F.col("id") == "large", F.array().cast("array<string>")).otherwise(F.col("temps")).alias("temps"),
+        F.when(F.col("has_milk"), F.lit(True)).alias("has_milk"),
+        F.col("has_syrups"), F.lit(None).cast("boolean").alias("show_temp"), F.col("active"), F.col("sort_order"))
+    n = C.normalize_catalog(raw, include_inactive=True)
+    return n.select("id", "label", F.array_join("temps", ",").alias("temps"), "has_milk", "show_temp",
+                    "active", "sort_order")

@@ -263,3 +263,23 @@ WITH {DOC_LINES.strip()}
 SELECT d.doc_id, d.id, d.label, d.temps, d.has_milk, d.active, d.sort_order
 FROM last_drinks d JOIN report r ON r.doc_id = d.doc_id WHERE r.saved
 """
+
+SQL["in_stock_items"] = f"""
+WITH {INVENTORY.strip()}
+SELECT item, type FROM inventory
+WHERE type IN ('syrup', 'milk') AND coalesce(available, true) AND coalesce(active, true)
+"""
+
+SQL["order_lines_list"] = """
+SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts
+FROM lineitem GROUP BY l_orderkey
+"""
+
+SQL["normalized_menu"] = f"""
+WITH {MENU.strip()}
+SELECT CASE WHEN id = 'small' THEN 'drink' ELSE id END AS id,
+       CASE WHEN id = 'small' THEN 'Drink' ELSE label END AS label,
+       CASE WHEN id = 'medium' THEN 'Cold' WHEN id = 'large' THEN 'Hot' ELSE array_to_string(temps, ',') END AS temps,
+       coalesce(has_milk, false) AS has_milk, true AS show_temp, active, sort_order
+FROM menu
+"""

@@ -148,3 +148,12 @@ SELECT status, coalesce(lower(status) IN ('waiting', 'making', 'ready', 'complet
        count(*) AS cnt
 FROM raw GROUP BY 1, 2
 """
+
+SQL["archive_report_max"] = f"""
+WITH {ARCHIVE.strip()}
+SELECT id, archived_at, original_order_id, archived_at AS time,
+       coalesce(customer_name, '') AS name, coalesce(drink, '') AS drink, coalesce(temperature, '') AS temp,
+       coalesce(milk, '') AS milk, coalesce(syrups, '') AS syrups, coalesce(notes, '') AS notes,
+       coalesce(status, '') AS status
+FROM archive ORDER BY archived_at DESC, id DESC LIMIT 50
+"""

@@ -151,3 +151,10 @@ def status_domain(spark: SparkSession, sf: str) -> DataFrame:
     ok, bad = check_domain(raw, "status", ["waiting", "making", "ready", "complete"])
     return (ok.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
               .groupBy("status", "valid").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+@register("archive_report_max")
+def archive_report_max(spark: SparkSession, sf: str) -> DataFrame:
+    """A limit of 51 is clamped to 50."""
+    from .reports import archive_report
+    return archive_report(V.archive(spark, sf), 51)
