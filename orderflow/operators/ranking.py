@@ -3,8 +3,8 @@
 Positions are computed without a single-partition window and without
 sending a hot group to one task:
 
-  1. the rows are range-partitioned on (by..., order...) with a fixed
-     partition count and sorted within each partition -- the sort key ends
+  1. the rows are range-partitioned on (by..., order...) and sorted within
+     each partition -- the sort key ends
      in the tie-break, so a hot timestamp or a hot shop is split across
      partitions by id;
   2. a tiny table holds, per (partition, group), the row count and the
@@ -36,12 +36,6 @@ def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return int(n)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def position_by(df: DataFrame, order, by=(), out: str = "position",
                 partitions: int | None = None, method: str = "sorted") -> DataFrame:
     """1-based dense position of each row within ``by`` groups by ``order``
@@ -54,10 +48,15 @@ def position_by(df: DataFrame, order, by=(), out: str = "position",
     if method == "window":
         w = Window.partitionBy(*_cols(by)).orderBy(*_cols(order))
         return df.withColumn(out, F.row_number().over(w).cast("long"))
-    n = _n_parts(df, partitions)
     keyed = df.withColumn("_g", F.struct(*_cols(by)) if by else F.lit(0))
     sort_keys = [F.col("_g")] + _cols(order)
-    tagged = (keyed.repartitionByRange(n, *sort_keys)
+    # Without an explicit count the range exchange has spark.sql.shuffle.partitions
+    # parts and AQE may merge adjacent small ones; partition ids are read in the
+    # same job that writes the checkpoint, so a merged partition is still one
+    # contiguous key range.
+    ranged = (keyed.repartitionByRange(int(partitions), *sort_keys) if partitions
+              else keyed.repartitionByRange(*sort_keys))
+    tagged = (ranged
                    .sortWithinPartitions(*sort_keys)
                    .withColumn("_pid", F.spark_partition_id())
                    .withColumn("_mid", F.monotonically_increasing_id()))
@@ -70,7 +69,7 @@ def position_by(df: DataFrame, order, by=(), out: str = "position",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     pos = (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("long")
     if not by:
-        offsets = F.broadcast(offsets)      # at most `n` rows
+        offsets = F.broadcast(offsets)      # one row per range partition
     return (tagged.join(offsets, ["_pid", "_g"], "inner")
                   .select(*[F.col(c) for c in df.columns], pos.alias(out)))
 
