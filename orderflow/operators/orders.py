@@ -101,6 +101,20 @@ def _with_stock(m: DataFrame, stock: DataFrame, key: str) -> DataFrame:
                     F.transform("_ok", lambda x: x["_item"]).alias("_ok_syrups"))
 
 
+def enrich_orders(orders: DataFrame, menu: DataFrame, inventory: DataFrame, key: str = "id",
+                  stock: DataFrame | None = None) -> DataFrame:
+    """Each order with its menu row (m_id, m_label, m_temps, m_has_milk,
+    m_has_syrups; null when the drink is not on the visible menu) and its
+    stock: milk_in_stock, first_out_of_stock_syrup, in_stock_syrups (in
+    list order).  ``key`` must be unique per order."""
+    stock = stock if stock is not None else stock_table(inventory)
+    m = _with_stock(match_menu(orders, menu, "drink_id", None), stock, key)
+    return m.select(*orders.columns, "m_id", "m_label", "m_temps", "m_has_milk", "m_has_syrups",
+                    F.coalesce(F.col("_milk_ok"), F.lit(False)).alias("milk_in_stock"),
+                    F.col("_bad_syrup").alias("first_out_of_stock_syrup"),
+                    F.col("_ok_syrups").alias("in_stock_syrups"))
+
+
 def validate_orders(orders: DataFrame, menu: DataFrame, inventory: DataFrame, key: str = "id",
                     stock: DataFrame | None = None) -> DataFrame:
     """V1: one error per field, as the order form checks it.

@@ -202,3 +202,19 @@ def normalized_menu(spark: SparkSession, sf: str) -> DataFrame:
     n = C.normalize_catalog(raw, include_inactive=True)
     return n.select("id", "label", F.array_join("temps", ",").alias("temps"), "has_milk", "show_temp",
                     "active", "sort_order")
+
+
+@register("enrich_orders")
+def enrich_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Last orders with menu row and stock flags."""
+    e = O.enrich_orders(V.last_order(spark, sf), V.menu(spark, sf), V.inventory(spark, sf))
+    return e.select("id", "m_id", "m_has_milk", "milk_in_stock", "first_out_of_stock_syrup",
+                    F.array_join("in_stock_syrups", ",").alias("in_stock_syrups"))
+
+
+@register("required_fields")
+def required_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """V5: last orders with a non-blank name and milk, counted valid/invalid."""
+    ok, bad = QY.check_required(V.last_order(spark, sf), ["customer_name", "milk"])
+    return (ok.select(F.lit(True).alias("valid")).unionByName(bad.select(F.lit(False).alias("valid")))
+              .groupBy("valid").agg(F.count(F.lit(1)).alias("cnt")))

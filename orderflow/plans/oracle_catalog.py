@@ -283,3 +283,25 @@ SELECT CASE WHEN id = 'small' THEN 'drink' ELSE id END AS id,
        coalesce(has_milk, false) AS has_milk, true AS show_temp, active, sort_order
 FROM menu
 """
+
+SQL["enrich_orders"] = f"""
+WITH {LAST_ORDER.strip()}, {MENU.strip()}, {STOCK.strip()},
+vis AS (SELECT * FROM menu WHERE coalesce(active, true)),
+syr AS (SELECT id, unnest(syrups) AS s, unnest(range(len(syrups))) AS pos FROM lo),
+sj AS (SELECT syr.id, syr.s, syr.pos, coalesce(stock.in_stock, false) AS ok
+       FROM syr LEFT JOIN stock ON stock.item = syr.s),
+agg AS (SELECT id, arg_min(s, pos) FILTER (WHERE NOT ok) AS bad,
+               coalesce(string_agg(s, ',' ORDER BY pos) FILTER (WHERE ok), '') AS good
+        FROM sj GROUP BY id)
+SELECT lo.id, vis.id AS m_id, vis.has_milk AS m_has_milk, coalesce(ms.in_stock, false) AS milk_in_stock,
+       agg.bad AS first_out_of_stock_syrup, coalesce(agg.good, '') AS in_stock_syrups
+FROM lo LEFT JOIN vis ON vis.id = lo.drink_id
+        LEFT JOIN stock ms ON ms.item = lo.milk
+        LEFT JOIN agg ON agg.id = lo.id
+"""
+
+SQL["required_fields"] = f"""
+WITH {LAST_ORDER.strip()}
+SELECT coalesce(trim(customer_name) <> '', false) AND coalesce(trim(milk) <> '', false) AS valid, count(*) AS cnt
+FROM lo GROUP BY 1
+"""
