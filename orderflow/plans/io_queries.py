@@ -98,7 +98,8 @@ def stream_announce(spark: SparkSession, sf: str) -> DataFrame:
     base = _scratch(spark, "announce")
 
     def write(batch, batch_id):
-        ST.announce_batch(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")
+        # one directory per batch, overwritten: a replayed batch id rewrites, never duplicates
+        ST.announce_batch(batch).write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
     q = (edges.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/ck")
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -80,7 +80,7 @@ def week_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Every local week of the archive with its label and range."""
     a = V.archive(spark, sf).select(X.week_start("archived_at").alias("week_start")).distinct()
     cur = A.week_bounds(V.ARCHIVE_AS_OF, 0)[0]
-    n = (F.datediff(F.to_date(X.local_time("week_start")), F.to_date(X.local_time(F.lit(cur)))) / 7).cast("int")
+    n = (F.datediff(F.to_date(X.local_time("week_start")), F.to_date(X.local_time(F.lit(cur)))) / 7).cast("long")
     end = X.week_start("week_start", n=1)
     return a.select("week_start", end.alias("week_end"), n.alias("offset"), X.week_label(n).alias("label"),
                     X.week_range("week_start", end).alias("range_text"))
