@@ -27,7 +27,7 @@ def inventory_report(inv: DataFrame, include_inactive: bool = False, with_slug:
             F.col("available"), F.col("active"), F.col("sort_order")]
     if with_slug:
         cols.insert(2, X.slug("item", strip=False).alias("id"))
-    return r.select(*cols)
+    return r.select(*cols).orderBy(type_rank(), F.col("idx"))      # T5: syrups, then milks
 
 
 def ordered_list(df: DataFrame, by, order, payload, name: str = "items") -> DataFrame:
@@ -58,7 +58,7 @@ def menu_report(menu: DataFrame, include_inactive: bool = False) -> DataFrame:
     v = visible(menu, include_inactive)
     r = position_by(v, [F.col("sort_order"), F.col("label")], (), "_p")
     return r.select((F.col("_p") - 1).cast("long").alias("idx"), "id", "label", "description", "temps",
-                    "has_milk", "has_syrups", "show_temp", "active", "sort_order")
+                    "has_milk", "has_syrups", "show_temp", "active", "sort_order").orderBy("idx")
 
 
 def catalog_counts(inv: DataFrame) -> DataFrame:

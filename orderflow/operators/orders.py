@@ -80,25 +80,25 @@ def match_menu(df: DataFrame, menu: DataFrame, id_col: str = "drink_id", label_c
 
 
 def _with_stock(m: DataFrame, stock: DataFrame, key: str) -> DataFrame:
-    """One pass: each order's milk (pos 0) and syrups (pos 1..) exploded,
-    joined once to the stock table and aggregated back per order ``key``
-    (unique per order, so every group is small).  Adds _o (the order row),
-    _milk_ok, _bad (first out-of-stock syrup) and _ok (in-stock syrups in
-    order)."""
-    cols = [c for c in m.columns if c != key]
+    """Stock facts per order, joined back on ``key`` (unique per order).
+
+    Only (key, position, item) is exploded -- the milk at position 0, the
+    syrups after it -- so the shuffle carries narrow rows, not the order
+    row once per item.  One join with the stock table, one aggregate per
+    key (small groups), one join back.  Adds _milk_ok, _bad_syrup (first
+    out-of-stock syrup) and _ok_syrups (in-stock syrups in list order)."""
     items = F.concat(F.array(F.col("milk")), F.coalesce(F.col("syrups"), F.array().cast("array<string>")))
-    ex = m.select(key, F.struct(*cols).alias("_o"), F.posexplode(items).alias("_pos", "_item"))
+    ex = m.select(key, F.posexplode(items).alias("_pos", "_item"))
     st = stock.select(F.col("item").alias("_item"), F.col("in_stock"))
-    j = ex.join(st, "_item", "left")
     ok = F.coalesce(F.col("in_stock"), F.lit(False))
     syr = F.col("_pos") > 0
-    g = j.groupBy(key).agg(
-        F.any_value("_o").alias("_o"),
+    facts = (ex.join(st, "_item", "left").groupBy(key).agg(
         F.max(F.when(F.col("_pos") == 0, ok)).alias("_milk_ok"),
         F.min(F.when(syr & ~ok, F.struct("_pos", "_item"))).alias("_bad"),
-        F.array_sort(F.collect_list(F.when(syr & ok, F.struct("_pos", "_item")))).alias("_ok"))
-    return g.select(key, "_o.*", "_milk_ok", F.col("_bad._item").alias("_bad_syrup"),
-                    F.transform("_ok", lambda x: x["_item"]).alias("_ok_syrups"))
+        F.array_sort(F.collect_list(F.when(syr & ok, F.struct("_pos", "_item")))).alias("_ok")))
+    facts = facts.select(key, "_milk_ok", F.col("_bad._item").alias("_bad_syrup"),
+                         F.transform("_ok", lambda x: x["_item"]).alias("_ok_syrups"))
+    return m.join(facts, key, "left")
 
 
 def enrich_orders(orders: DataFrame, menu: DataFrame, inventory: DataFrame, key: str = "id",
