@@ -58,10 +58,12 @@ def _edge_fn(fire_on, done, timeout_ms):
         pdf = pdf.assign(prev_status=prevs)
         fired = pdf[pdf["status"].isin(fire_on) & ~pdf["prev_status"].isin(done)]
         last = pdf.iloc[-1]
-        state.update((last["ts"].to_pydatetime() if hasattr(last["ts"], "to_pydatetime") else last["ts"],
-                      int(last["seq"]), last["status"]))
+        last_ts = last["ts"].to_pydatetime() if hasattr(last["ts"], "to_pydatetime") else last["ts"]
+        state.update((last_ts, int(last["seq"]), last["status"]))
         if timeout_ms:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + timeout_ms)
+            # expire relative to the order's own last event (timestamps are UTC wall clocks)
+            event_ms = int(last_ts.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(event_ms, state.getCurrentWatermarkMs()) + timeout_ms)
         if len(fired):
             yield fired[["order_id", "ts", "seq", "status", "prev_status"]]
     return fn

@@ -89,3 +89,26 @@ def test_stream_upsert_replay_safe(spark, scratch):
     snap = {r.endpoint: (r.id, r.order_id) for r in spark.read.parquet(cur["current"]).collect()}
     assert snap == {"e1": ("s1", "o2"), "e2": ("s3", "o3")}
     assert os.path.isdir(f"{scratch}/snap/batch=0")
+
+
+def test_edge_state_expires_after_ttl(spark, scratch):
+    day = dt.timedelta(days=1)
+    files = [
+        [("o1", T0, 1, "ready"), ("o2", T0, 2, "waiting")],
+        [("o1", T0 + dt.timedelta(hours=1), 3, "ready"), ("o2", T0 + 3 * day, 4, "waiting")],  # o1 kept, o2 moves time on
+        [("o2", T0 + 4 * day, 5, "making")],                           # watermark passes o1's last event + 2 days
+        [("o1", T0 + 4 * day + dt.timedelta(hours=2), 6, "complete")],
+    ]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, S.STATUS_CHANGES).coalesce(1).write.parquet(f"{scratch}/ttl/part={i}")
+    stream = spark.readStream.schema(S.STATUS_CHANGES).option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", "true").parquet(f"{scratch}/ttl")
+    run_to_table(ST.stream_ready_edges(stream, state_ttl=2 * day), f"{scratch}/ttl_out")
+    got = [(r.order_id, r.seq, r.prev_status) for r in spark.read.parquet(f"{scratch}/ttl_out/out").collect()]
+    # o1's state (last 'ready') expired before its 'complete' arrived, so the push fires
+    assert got == [("o1", 6, None)]
+    # with a long TTL the 'ready' is remembered and nothing fires
+    run_to_table(ST.stream_ready_edges(spark.readStream.schema(S.STATUS_CHANGES).option("maxFilesPerTrigger", 1)
+                                       .option("recursiveFileLookup", "true").parquet(f"{scratch}/ttl"),
+                                       state_ttl=30 * day), f"{scratch}/ttl_out2")
+    assert spark.read.parquet(f"{scratch}/ttl_out2/out").count() == 0
