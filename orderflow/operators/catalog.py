@@ -39,10 +39,15 @@ def ordered_list(df: DataFrame, by, order, payload, name: str = "items") -> Data
     return df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["v"]).alias(name))
 
 
-def pack_inventory(inv: DataFrame) -> DataFrame:
-    """G4 packed form (bounded catalogues): one row, syrups[] and milks[];
-    empty lists, never null, for an empty input (G6)."""
-    rep = inventory_report(inv)
+def pack_inventory(inv: DataFrame, max_items: int = 10_000) -> DataFrame:
+    """G4 packed form: one row, syrups[] and milks[]; empty lists, never
+    null, for an empty input (G6).  The whole catalogue goes into one row,
+    so its size is checked first (a scalar subquery): more than
+    ``max_items`` rows fails the query before anything is collected."""
+    n = inv.agg(F.count(F.lit(1))).scalar()
+    guard = F.when(n > max_items, F.raise_error(F.lit(f"catalogue larger than {max_items} rows; "
+                                                      "use inventory_report (row form)")))
+    rep = inventory_report(inv.filter(F.coalesce(guard.cast("boolean"), F.lit(True))))
     s = F.struct(F.col("idx"), F.col("item"), F.col("available"), F.col("active"), F.col("sort_order"))
 
     def lst(t):

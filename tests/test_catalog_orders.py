@@ -117,3 +117,11 @@ def test_inventory_report_and_counts(spark):
     assert packed.syrups == [] and packed.milks == []
     cnt = {x.type: (x.rows, x.active_rows) for x in C.catalog_counts(inv(spark)).collect()}
     assert cnt == {"milk": (4, 3), "syrup": (3, 3)}
+
+
+def test_pack_inventory_guard(spark):
+    import pytest
+    ok = C.pack_inventory(inv(spark), max_items=100).first()
+    assert [x.item for x in ok.milks] == ["Oat milk", "Whole milk", "Honey"]
+    with pytest.raises(Exception):
+        C.pack_inventory(inv(spark), max_items=3).collect()
