@@ -14,7 +14,7 @@ from __future__ import annotations
 import datetime as dt
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -67,23 +67,27 @@ def explode_list(df: DataFrame, col: str = "syrups", out: str = "syrup") -> Data
               .filter(F.col(out).isNotNull()))
 
 
-def _pairs() -> Column:
-    """Unpivot one cleaned row into (dim, item) structs."""
-    pair = lambda d, v: F.struct(F.lit(d).alias("dim"), v.alias("item"))
-    fixed = F.array(pair("total", F.lit("*")),
-                    pair("temp", F.lower(F.col("temperature"))),
-                    pair("drink", F.col("drink")),
-                    pair("milk", F.col("milk")))
-    syr = F.transform(X.text_list("syrups"), lambda s: pair("syrup", X.blank_to_null(s)))
-    return F.filter(F.concat(fixed, syr), lambda p: p["item"].isNotNull())
+def unpivot(base: DataFrame, keep=()) -> DataFrame:
+    """One cleaned row -> (dim, item) rows: 'total'/'*', 'temp'/lower
+    temperature, its drink, its milk and each syrup.  Two parallel arrays
+    zipped and inlined, then blanks dropped -- no lambda functions, so the
+    whole step stays in one generated-code stage.  The syrups text is
+    already trimmed and the split eats the white space around commas, so
+    the items need no further trim."""
+    syr = X.text_list("syrups")
+    dims = F.concat(F.array(F.lit("total"), F.lit("temp"), F.lit("drink"), F.lit("milk")),
+                    F.array_repeat(F.lit("syrup"), F.size(syr)))
+    items = F.concat(F.array(F.lit("*"), F.lower(F.col("temperature")), F.col("drink"), F.col("milk")), syr)
+    ex = base.select(*keep, F.inline(F.arrays_zip(dims.alias("dim"), items.alias("item"))))
+    return ex.filter(F.col("item").isNotNull() & (F.col("item") != ""))
 
 
 def item_counts(base: DataFrame, by: tuple = ()) -> DataFrame:
     """G1-G3 in one aggregate: count per (by, dim, item).  dim 'total' holds
     the row count, dim 'temp' the per-temperature counts (lower case)."""
-    return (base.select(*by, F.inline(_pairs()))
-                .groupBy(*by, "dim", "item")
-                .agg(F.count(F.lit(1)).alias("cnt")))
+    return (unpivot(base, by)
+            .groupBy(*by, "dim", "item")
+            .agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def top_k(df: DataFrame, by, k: int, order) -> DataFrame:

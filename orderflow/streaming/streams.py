@@ -121,7 +121,7 @@ def stream_weekly_counts(df: DataFrame, tz: str = K.SHOP_TZ, time_col: str = "ar
     ``weekly_top_from_counts``."""
     local = X.local_time(time_col, tz).cast("timestamp")
     base = A.clean_base(df.withColumn("_local", local), keep=("_local",))
-    ex = base.withWatermark("_local", watermark).select("_local", F.inline(A._pairs()))
+    ex = A.unpivot(base.withWatermark("_local", watermark), ("_local",))
     g = ex.groupBy(F.window("_local", "7 days", "7 days", "4 days").alias("w"), "dim", "item").agg(
         F.count(F.lit(1)).alias("cnt"))
     start = X.from_local(F.col("w.start").cast("timestamp_ntz"), tz)
