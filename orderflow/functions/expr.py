@@ -174,9 +174,10 @@ def ahead_text(pos) -> Column:
 
 
 def words(c) -> Column:
-    """Non-empty words of a text split on (JS) white space."""
-    return F.filter(F.split(trim_ws(F.coalesce(_c(c), F.lit(""))), JS_WS + "+"),
-                    lambda w: w != "")
+    """Non-empty words of a text split on (JS) white space.  After the trim
+    no word can be empty, so no per-element filter (lambda) is needed."""
+    t = trim_ws(F.coalesce(_c(c), F.lit("")))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, JS_WS + "+"))
 
 
 def first_name(c) -> Column:
