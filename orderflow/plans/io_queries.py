@@ -100,8 +100,9 @@ def stream_announce(spark: SparkSession, sf: str) -> DataFrame:
     def write(batch, batch_id):
         # one directory per batch, overwritten: a replayed batch id rewrites, never duplicates
         ST.announce_batch(batch).write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
-    q = (edges.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/ck")
-         .trigger(availableNow=True).start())
+    with ST.state_partitions(spark):
+        q = (edges.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/ck")
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("order_id", "ts", "seq", "status")
 

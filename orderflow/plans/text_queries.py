@@ -107,14 +107,15 @@ def _run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     the checkpoint folder and read the table back."""
     import uuid
     base = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    if mode == "append":
-        q = (df.writeStream.format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
-    else:
-        def write(batch, batch_id):
-            batch.write.mode("overwrite").parquet(f"{base}/out")
-        q = (df.writeStream.outputMode(mode).foreachBatch(write)
-             .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+    with ST.state_partitions(df.sparkSession):
+        if mode == "append":
+            q = (df.writeStream.format("parquet").option("path", f"{base}/out")
+                 .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+        else:
+            def write(batch, batch_id):
+                batch.write.mode("overwrite").parquet(f"{base}/out")
+            q = (df.writeStream.outputMode(mode).foreachBatch(write)
+                 .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
     return df.sparkSession.read.parquet(f"{base}/out")
 

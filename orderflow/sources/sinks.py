@@ -21,11 +21,11 @@ def append(df: DataFrame, path: str, time_col: str = "created_at", fmt: str = "p
     Rows are range-partitioned on (date, time) first, so each task writes a
     contiguous run of dates (files ~ tasks + dates, not tasks x dates) and
     a date holding a large share of the rows is still split across tasks."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     day = F.to_date(F.col(time_col))
     d = df.withColumn("dt", day if grain == "day" else F.trunc(day, grain))
-    (d.repartitionByRange(n, "dt", time_col)
-      .write.mode("append").partitionBy("dt").format(fmt).save(path))
+    # without an explicit count, AQE merges small adjacent ranges
+    r = d.repartitionByRange(int(partitions), "dt", time_col) if partitions else d.repartitionByRange("dt", time_col)
+    r.write.mode("append").partitionBy("dt").format(fmt).save(path)
 
 
 def replace_snapshot(df: DataFrame, base: str, version: str | None = None) -> str:

@@ -9,6 +9,7 @@ weekly counts close a week once the watermark passes its end.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 
 import pandas as pd
@@ -25,6 +26,22 @@ from ..operators.upsert import upsert
 from ..sources import schemas as S
 
 
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None):
+    """Size the state of a stream being started: the number of state
+    partitions is fixed when a query first starts (it is kept in its
+    checkpoint), from spark.sql.shuffle.partitions.  Defaults to the
+    session's task slots; the session setting is restored afterwards.
+    Start the query inside the ``with`` block."""
+    key = "spark.sql.shuffle.partitions"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, prev)
+
+
 def stream_changes(spark: SparkSession, path: str, schema: T.StructType = S.STATUS_CHANGES,
                    fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
     """A change stream over files landing under ``path``."""
@@ -166,4 +183,5 @@ def stream_upsert(df: DataFrame, base: str, keys, order_by, checkpoint: str, kee
 
     w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
+    with state_partitions(spark):
+        return w.start()
