@@ -74,7 +74,7 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None,
         for n in names:
             c, src = F.col(n), types[n]
             if isinstance(src, T.StringType) and isinstance(f.dataType, T.ArrayType):
-                c = F.filter(X.text_list(c), lambda x: x != "")
+                c = F.filter(X.text_list(c), lambda x: x != "").cast(f.dataType)
             elif isinstance(src, T.StringType) and not isinstance(f.dataType, T.StringType):
                 c = c.try_cast(f.dataType)
             else:
