@@ -26,7 +26,9 @@ SELECT id,
               WHEN 'complete' THEN 'Ready for pickup' ELSE 'Waiting' END AS label,
   coalesce(nullif(string_split_regex(trim(nm), '\\s+')[1], ''), 'Guest') AS first_name,
   CASE WHEN trim(nm) = '' THEN 0 ELSE len(string_split_regex(trim(nm), '\\s+')) END AS words,
-  coalesce(nullif(CASE WHEN position % 2 = 0 THEN position END, 0), greatest(0, position - 1) + 1) AS position_fixed
+  coalesce(nullif(CASE WHEN position % 2 = 0 THEN position END, 0), greatest(0, position - 1) + 1) AS position_fixed,
+  coalesce(status IN ('making', 'ready', 'complete'), false) AS step_making,
+  coalesce(status IN ('ready', 'complete'), false) AS step_ready
 FROM a
 """
 
@@ -104,3 +106,11 @@ counts AS (SELECT week_start, dim, item, count(*) AS cnt FROM items WHERE item I
 ranked AS (SELECT *, row_number() OVER (PARTITION BY week_start, dim ORDER BY cnt DESC, item) AS rnk FROM counts)
 SELECT week_start, dim, rnk, item, cnt FROM ranked WHERE rnk <= 5
 """
+
+SQL["syrup_items"] = f"""
+WITH {ARCHIVE.strip()}
+SELECT id, syrup FROM (
+  SELECT id, nullif(trim(s), '') AS syrup
+  FROM archive, unnest(regexp_split_to_array(coalesce(nullif(trim(syrups), ''), ''), '\\s*,\\s*')) AS t(s))
+WHERE syrup IS NOT NULL
+"""

@@ -18,7 +18,7 @@ from .registry import register
 
 @register("order_texts")
 def order_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """F11-F14, F16, F17, F21, W3 over the ranked queue."""
+    """F11-F14, F16 (label and progress), F17, F21, W3 over the ranked queue."""
     q = R.fifo_position(V.queue(spark, sf))
     name = F.replace(F.col("customer_name"), F.lit("#"), F.lit(" "))
     pos = F.col("position")
@@ -33,7 +33,9 @@ def order_texts(spark: SparkSession, sf: str) -> DataFrame:
         X.status_label("status").alias("label"),
         X.first_name(name).alias("first_name"),
         X.word_count(name).cast("long").alias("words"),
-        X.position_or(given, X.orders_ahead(pos)).cast("long").alias("position_fixed"))
+        X.position_or(given, X.orders_ahead(pos)).cast("long").alias("position_fixed"),
+        X.progress("status")["making"].alias("step_making"),
+        X.progress("status")["ready"].alias("step_ready"))
 
 
 @register("catalogue_texts")
@@ -159,3 +161,10 @@ def stream_weekly_top(spark: SparkSession, sf: str) -> DataFrame:
          .alias("syrups"))
     counts = _run(ST.stream_weekly_counts(arch), "weekly", mode="complete")
     return ST.weekly_top_from_counts(counts, K.TOP_K).select("week_start", "dim", "rnk", "item", "cnt")
+
+
+@register("syrup_items")
+def syrup_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The archive's syrup text split to one row per item, blanks dropped."""
+    a = V.archive(spark, sf).select("id", X.blank_to_null("syrups").alias("syrups"))
+    return A.explode_list(a, "syrups", "syrup").select("id", "syrup")
