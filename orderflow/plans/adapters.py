@@ -48,10 +48,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table.  The DataFrame is kept per session and path (the
+    driver's files are read-only), so a query that reads a table several
+    times plans one relation -- resolved once, and identical subtrees for
+    exchange reuse."""
     pin_utc(spark)
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = FACT_KEYS.get(name)
-    return spread(df, key) if key else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    cache = spark.__dict__.setdefault("_orderflow_tables", {})
+    if path not in cache:
+        df = spark.read.parquet(path)
+        key = FACT_KEYS.get(name)
+        cache[path] = spread(df, key) if key else df
+    return cache[path]
 
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
