@@ -36,6 +36,26 @@ def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _numbered(df: DataFrame, order, by, partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned on (group, order), sorted within partitions and
+    tagged with _g (the group), _pid (partition) and _mid (a number that
+    increases along each partition), written once with a reliable
+    checkpoint (see the module note)."""
+    keyed = df.withColumn("_g", F.struct(*_cols(by)) if by else F.lit(0))
+    sort_keys = [F.col("_g")] + _cols(order)
+    # Without an explicit count the range exchange has spark.sql.shuffle.partitions
+    # parts and AQE may merge adjacent small ones; partition ids are read in the
+    # same job that writes the checkpoint, so a merged partition is still one
+    # contiguous key range.
+    ranged = (keyed.repartitionByRange(int(partitions), *sort_keys) if partitions
+              else keyed.repartitionByRange(*sort_keys))
+    tagged = (ranged.sortWithinPartitions(*sort_keys)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()))
+    checkpoint_dir(df.sparkSession)
+    return tagged.checkpoint(eager=True)
+
+
 def position_by(df: DataFrame, order, by=(), out: str = "position",
                 partitions: int | None = None, method: str = "sorted") -> DataFrame:
     """1-based dense position of each row within ``by`` groups by ``order``
@@ -48,20 +68,7 @@ def position_by(df: DataFrame, order, by=(), out: str = "position",
     if method == "window":
         w = Window.partitionBy(*_cols(by)).orderBy(*_cols(order))
         return df.withColumn(out, F.row_number().over(w).cast("long"))
-    keyed = df.withColumn("_g", F.struct(*_cols(by)) if by else F.lit(0))
-    sort_keys = [F.col("_g")] + _cols(order)
-    # Without an explicit count the range exchange has spark.sql.shuffle.partitions
-    # parts and AQE may merge adjacent small ones; partition ids are read in the
-    # same job that writes the checkpoint, so a merged partition is still one
-    # contiguous key range.
-    ranged = (keyed.repartitionByRange(int(partitions), *sort_keys) if partitions
-              else keyed.repartitionByRange(*sort_keys))
-    tagged = (ranged
-                   .sortWithinPartitions(*sort_keys)
-                   .withColumn("_pid", F.spark_partition_id())
-                   .withColumn("_mid", F.monotonically_increasing_id()))
-    checkpoint_dir(df.sparkSession)
-    tagged = tagged.checkpoint(eager=True)
+    tagged = _numbered(df, order, by, partitions)
     counts = tagged.groupBy("_pid", "_g").agg(F.count(F.lit(1)).alias("_n"),
                                               F.min("_mid").alias("_first"))
     w = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,15 +126,22 @@ def backfill_rank(df: DataFrame, by: str = "type", item: str = "item", pref: dic
                         .otherwise(F.col("sort_order"))).drop("_p")
 
 
-def lag_by(df: DataFrame, key: str, order, col: str, out: str, **kw) -> DataFrame:
-    """Previous value of ``col`` within ``key`` by ``order``, skew-proof: rows
-    are numbered per key (sorted plan) and joined to their predecessor on
-    (key, position - 1) -- a hash join on a unique key, so a hot key spreads
-    over all tasks."""
-    p = position_by(df, order, [key], "_pos", **kw)
-    prev = p.select(F.col(key).alias("_k"), (F.col("_pos") + 1).alias("_pos"), F.col(col).alias(out))
-    j = p.join(prev, (p[key] == prev["_k"]) & (p["_pos"] == prev["_pos"]), "left")
-    return j.select(*[p[c] for c in df.columns], prev[out], p["_pos"].alias("_seq_no"))
+def lag_by(df: DataFrame, key: str, order, col: str, out: str, partitions: int | None = None) -> DataFrame:
+    """Previous value of ``col`` within ``key`` by ``order``, skew-proof and
+    with one shuffle of the rows.  On the numbered rows (range partitions of
+    (key, order)), ``lag`` runs per (partition, key) -- a hot key spans many
+    partitions, so it is spread; the first row of a key in a partition takes
+    the key's last value from its previous partition, read from a small
+    boundary table (one row per partition and key)."""
+    tagged = _numbered(df, order, [key], partitions)
+    w = Window.partitionBy("_pid", "_g").orderBy("_mid")
+    x = tagged.select("*", F.lag(col).over(w).alias("_lag"), F.lag("_mid").over(w).isNull().alias("_head"))
+    last = tagged.groupBy("_pid", "_g").agg(F.max_by(col, "_mid").alias("_last"))
+    carry = last.select("_pid", "_g",
+                        F.lag("_last").over(Window.partitionBy("_g").orderBy("_pid")).alias("_carry"))
+    j = x.join(carry, ["_pid", "_g"], "left")
+    prev = F.when(F.col("_head"), F.col("_carry")).otherwise(F.col("_lag"))
+    return j.select(*[F.col(c) for c in df.columns], prev.alias(out))
 
 
 def ready_edges(df: DataFrame, fire_on=("complete",), done=tuple(K.READY_STATUSES),
@@ -140,7 +154,7 @@ def ready_edges(df: DataFrame, fire_on=("complete",), done=tuple(K.READY_STATUSE
         w = Window.partitionBy("order_id").orderBy(*order)
         x = df.withColumn("prev_status", F.lag("status").over(w))
     else:
-        x = lag_by(df, "order_id", order, "status", "prev_status").drop("_seq_no")
+        x = lag_by(df, "order_id", order, "status", "prev_status")
     fire = F.col("status").isin(*fire_on) & ~F.coalesce(F.col("prev_status").isin(*done), F.lit(False))
     return x.filter(fire)
 

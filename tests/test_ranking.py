@@ -121,3 +121,18 @@ def test_top_k_and_ready_strip(spark):
     assert len(strip) == 8 and all(strip[i].created_at >= strip[i + 1].created_at for i in range(7))
     tk = R.top_k(df, ["shop"], 3, [F.col("created_at").desc(), F.col("id").desc()]).collect()
     assert len(tk) == 3
+
+
+def test_lag_by_across_partitions_with_hot_key(spark):
+    from pyspark.sql import Window
+    rnd = random.Random(5)
+    rows = []
+    for i in range(4000):
+        k = "hot" if rnd.random() < 0.4 else f"k{rnd.randint(0, 60)}"
+        rows.append((k, T0 + dt.timedelta(seconds=rnd.randint(0, 50000)), i, rnd.choice(["a", "b", None, "c"])))
+    df = spark.createDataFrame(rows, "order_id string, ts timestamp_ntz, seq long, status string")
+    got = R.lag_by(df, "order_id", ["ts", "seq"], "status", "prev", partitions=5)
+    w = Window.partitionBy("order_id").orderBy("ts", "seq")
+    want = df.withColumn("prev", F.lag("status").over(w))
+    assert got.count() == 4000
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
