@@ -232,3 +232,21 @@ def last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("notes"),
         F.timestamp_add("DAY", F.lit(30), F.col("created_at")).alias("expires_at"),
     )
+
+
+VIEWS = {
+    "archive": archive, "queue": queue, "catalogue": catalogue, "inventory": inventory, "menu": menu,
+    "last_order": last_order, "status_changes": status_changes,
+    "subscription_updates": subscription_updates, "settings_log": settings_log,
+}
+
+
+def register_views(spark: SparkSession, sf_dir: str, prefix: str = "") -> list[str]:
+    """Register the domain views as temporary views so they can be queried
+    with spark.sql (Catalyst plans SQL and DataFrame code the same way).
+    Returns the view names."""
+    names = []
+    for name, build in VIEWS.items():
+        build(spark, sf_dir).createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names
