@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import expr as X
 from .filters import is_open, project_orders
-from .ranking import fifo_position, latest_per
+from .ranking import fifo_position
 from .upsert import apply_updates
 from .quality import check_domain
 

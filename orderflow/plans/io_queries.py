@@ -12,7 +12,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import expr as X
 from ..operators import notify as N
 from ..session import checkpoint_dir
 from ..sources import readers as SR
