@@ -41,6 +41,14 @@ def ingest_order_grid(df: DataFrame) -> DataFrame:
                      t("Syrups").alias("syrups"), t("Notes").alias("notes"), st.alias("status"))
 
 
+def sheet_defaults(spark: SparkSession) -> DataFrame:
+    """The spreadsheet backend's fallback lists (its milk list has no whole
+    milk), all available -- the ``defaults`` argument of S3."""
+    rows = ([(x, "syrup", True) for x in K.DEFAULT_SYRUPS]
+            + [(x, "milk", True) for x in K.SHEET_DEFAULT_MILKS])
+    return spark.createDataFrame(rows, "item string, type string, available boolean")
+
+
 def ingest_inventory_grid(df: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
     """S3: the sheet inventory grid: item trimmed, type trimmed and
     lower-cased, blank items dropped, only milk/syrup kept; available is

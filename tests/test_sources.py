@@ -65,3 +65,13 @@ def test_append_and_snapshot(spark, scratch):
     assert spark.read.parquet(f"{scratch}/cat/v=a").count() == 30      # the old version is untouched
     js = SR.to_json_rows(spark.createDataFrame([("x", None)], "a string, b string")).first()[0]
     assert js == '{"a":"x","b":null}'
+
+
+def test_inventory_grid_sheet_defaults(spark, scratch):
+    path = f"{scratch}/inv2.csv"
+    with open(path, "w") as f:
+        f.write("Item,Type,Available\nVanilla,syrup,false\n")
+    got = {(r.item, r.type): r.available for r in
+           SR.ingest_inventory_grid(SR.read_grid(spark, path, S.INVENTORY_GRID), SR.sheet_defaults(spark)).collect()}
+    assert got[("Vanilla", "syrup")] is False and ("Caramel", "syrup") not in got     # syrups present
+    assert {k for k in got if k[1] == "milk"} == {("Almond milk", "milk"), ("Oat milk", "milk"), ("Soy milk", "milk")}
