@@ -41,7 +41,7 @@ ID_MAX, LABEL_MAX, DESC_MAX = 80, 80, 180
 SHOP_TZ = "America/Los_Angeles"
 
 # --- fixed values: texts --------------------------------------------------
-NOTIFY_TITLE = "Arise! Coffee"
+NOTIFY_TITLE = "Order ready"          # default; the shop passes its own name (ready_message(title=...))
 READY_BODY_NAMED = "{name}, your order is ready. Please go to the kitchen."
 READY_BODY = "Your order is ready. Please go to the kitchen."
 ERR_DRINK = "That drink is not available today"

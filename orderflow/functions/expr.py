@@ -249,15 +249,16 @@ def url_component(c) -> Column:
     return e
 
 
-def ready_message(name, order_name, order_id) -> Column:
-    """notification payload (title, body, orderId, url) as a struct."""
+def ready_message(name, order_name, order_id, title: str = K.NOTIFY_TITLE) -> Column:
+    """notification payload (title, body, orderId, url) as a struct;
+    ``title`` is the shop's display name."""
     n = F.trim(_c(name))
     o = F.trim(_c(order_name))
     first = F.when(F.coalesce(n, F.lit("")) != "", F.format_string(K.READY_BODY_NAMED.replace("{name}", "%s"), n)) \
         .otherwise(F.lit(K.READY_BODY))
     second = F.when(F.coalesce(o, F.lit("")) != "", F.concat(F.lit("Order: "), o))
     body = F.concat_ws(" ", first, second)
-    return F.struct(F.lit(K.NOTIFY_TITLE).alias("title"), body.alias("body"),
+    return F.struct(F.lit(title).alias("title"), body.alias("body"),
                     _c(order_id).alias("orderId"),
                     F.concat(F.lit("/?order="), url_component(_c(order_id))).alias("url"))
 

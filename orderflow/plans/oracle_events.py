@@ -44,7 +44,7 @@ TARGETS = f"""
 {EDGES.strip()},
 {SUBS.strip()},
 targets AS (
-  SELECT s.*, 'Arise! Coffee' AS title,
+  SELECT s.*, 'Order ready' AS title,
          CASE WHEN coalesce(trim(s.customer_name), '') <> ''
               THEN trim(s.customer_name) || ', your order is ready. Please go to the kitchen.'
               ELSE 'Your order is ready. Please go to the kitchen.' END

@@ -105,7 +105,9 @@ def test_ready_message(spark):
     assert got[0]["m"]["body"] == "Ann, your order is ready. Please go to the kitchen. Order: Latte"
     assert got[0]["m"]["url"] == "/?order=a%20b%2Fc"
     assert got[1]["m"]["body"] == "Your order is ready. Please go to the kitchen."
-    assert got[0]["m"]["title"] == "Arise! Coffee"
+    assert got[0]["m"]["title"] == "Order ready"
+    shop = df.select(X.ready_message("n", "o", "i", title="Corner Cafe").alias("m")).first()
+    assert shop["m"]["title"] == "Corner Cafe"
 
 
 def test_week_label(spark):
