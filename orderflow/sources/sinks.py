@@ -50,3 +50,14 @@ def read_current_json(spark: SparkSession, base: str) -> DataFrame:
     """Read the snapshot a streaming upsert (R9) names in ``_current``."""
     cur = spark.read.schema("current string, batch long").json(f"{base.rstrip('/')}/_current").first()["current"]
     return spark.read.parquet(cur)
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Write a table bucketed and sorted on ``key`` (for example the order
+    ledger and its status changes, both on order id).  Two tables bucketed
+    the same way join on that key with no shuffle of either side.  ``path``
+    makes it an external table at that (shared) location."""
+    w = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)

@@ -75,3 +75,22 @@ def test_inventory_grid_sheet_defaults(spark, scratch):
            SR.ingest_inventory_grid(SR.read_grid(spark, path, S.INVENTORY_GRID), SR.sheet_defaults(spark)).collect()}
     assert got[("Vanilla", "syrup")] is False and ("Caramel", "syrup") not in got     # syrups present
     assert {k for k in got if k[1] == "milk"} == {("Almond milk", "milk"), ("Oat milk", "milk"), ("Soy milk", "milk")}
+
+
+def test_bucketed_tables_join_without_shuffle(spark, scratch):
+    t0 = dt.datetime(2024, 1, 1)
+    orders = spark.createDataFrame([(str(i), t0, "waiting") for i in range(200)],
+                                   "id string, created_at timestamp_ntz, status string")
+    changes = spark.createDataFrame([(str(i % 50), "making", i) for i in range(300)],
+                                    "id string, status string, seq long")
+    SK.save_bucketed(orders, "of_orders_b", "id", 8, f"{scratch}/ob")
+    SK.save_bucketed(changes, "of_changes_b", "id", 8, f"{scratch}/cb")
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("of_orders_b").join(spark.table("of_changes_b").withColumnRenamed("status", "new"), "id")
+        assert j.count() == 300
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
