@@ -204,7 +204,7 @@ def last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The saved last order of each customer: the newest queue order by
     (created_at, id), its first line item's part as the drink."""
     from ..operators.ranking import latest_per
-    q = queue(spark, sf_dir).select("id", "created_at", "customer_key", "temperature")
+    q = queue(spark, sf_dir).select("id", "created_at", "customer_key", "customer_name", "temperature")
     last = latest_per(q, "customer_key", ["created_at", "id"])
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     # only the lines of last orders are aggregated
@@ -212,13 +212,12 @@ def last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = li.groupBy("l_orderkey").agg(
         F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("partkey"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     j = (last.join(first, last.id == first.l_orderkey.cast("string"), "inner")
-             .join(p, F.col("partkey") == F.col("p_partkey"), "inner")
-             .join(c, F.col("customer_key") == F.col("c_custkey"), "inner"))
-    name = (F.when(F.col("c_custkey") % 11 == 0, F.lit(""))
-            .when(F.col("c_custkey") % 7 == 0, F.col("c_name"))
-            .otherwise(F.replace(F.col("c_name"), F.lit("#"), F.lit(" "))))
+             .join(p, F.col("partkey") == F.col("p_partkey"), "inner"))
+    k = F.col("customer_key")
+    name = (F.when(k % 11 == 0, F.lit(""))
+            .when(k % 7 == 0, F.col("customer_name"))
+            .otherwise(F.replace(F.col("customer_name"), F.lit("#"), F.lit(" "))))
     drink_id = F.when(F.col("p_size") % 9 == 0, F.concat(F.lit("retired-"), F.lower("p_type"))) \
         .otherwise(F.lower("p_type"))
     return j.select(
