@@ -24,3 +24,13 @@ def test_positions_without_single_partition_on_facts(spark):
     assert "SinglePartition" not in p.split("BroadcastExchange")[0]
     assert "BroadcastExchange" in p                # the offsets table (one row per partition)
     assert df.count() > 0
+
+
+def test_catalogue_joins_become_broadcast_after_measuring(spark):
+    """The menu and stock sides are small here, so AQE turns their joins
+    into broadcast joins at run time (nothing is hinted)."""
+    from orderflow.operators import orders as O
+    df = O.enrich_orders(V.last_order(spark, SMOKE), V.menu(spark, SMOKE), V.inventory(spark, SMOKE))
+    df.collect()
+    p = plan(df)
+    assert "isFinalPlan=true" in p and "BroadcastHashJoin" in p
