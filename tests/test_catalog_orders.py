@@ -125,3 +125,14 @@ def test_pack_inventory_guard(spark):
     assert [x.item for x in ok.milks] == ["Oat milk", "Whole milk", "Honey"]
     with pytest.raises(Exception):
         C.pack_inventory(inv(spark), max_items=3).collect()
+
+
+def test_menu_doc_member_kinds(spark):
+    docs = spark.createDataFrame([
+        (1, "[]", None, "[]"),            # null member counts as []
+        (2, '"text"', "[]", "[]"),         # a JSON string is not an array
+        (3, "[]", "[1, 2]", '{"a": []}'),  # an object is not an array
+        (4, "[", "[]", "[]")],             # broken JSON
+        "doc_id int, drinks string, milks string, syrups string")
+    got = {r.doc_id: r.doc_ok for r in C.check_menu_doc(docs).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}

@@ -79,3 +79,16 @@ def test_reports_run(spark):
     got = {r.id: (r.status, r.position) for r in snap.collect()}
     assert got == {"1": ("making", 1), "2": ("complete", None), "3": ("ready", 2)}
     assert [r.id for r in missing.collect()] == ["9"] and [r.id for r in invalid.collect()] == ["1"]
+
+
+def test_reports_with_only_complete_orders(spark):
+    orders = spark.createDataFrame([
+        ("1", T0, "Ann Lee", None, "Latte", "Hot", None, "", [], "", "complete")],
+        "id string, created_at timestamp_ntz, customer_name string, name string, drink string, "
+        "temperature string, temp string, milk string, syrups array<string>, notes string, status string")
+    assert Q.orders_report(orders).count() == 0
+    board, strip = Q.display_report(orders)
+    assert board.count() == 0 and [r.id for r in strip.collect()] == ["1"]
+    empty = orders.filter("false")
+    board, strip = Q.display_report(empty)
+    assert board.count() == 0 and strip.count() == 0
