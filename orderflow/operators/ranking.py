@@ -4,9 +4,8 @@ Positions are computed without a single-partition window and without
 sending a hot group to one task:
 
   1. the rows are range-partitioned on (by..., order...) and sorted within
-     each partition -- the sort key ends
-     in the tie-break, so a hot timestamp or a hot shop is split across
-     partitions by id;
+     each partition -- the sort key ends in the tie-break, so a hot
+     timestamp or a hot shop is split across partitions by id;
   2. a tiny table holds, per (partition, group), the row count and the
      first row's monotonically_increasing_id;
   3. a running sum over that table (rows bounded by partitions + groups)
@@ -20,6 +19,10 @@ checkpoint also cuts the lineage, so a lost executor re-reads files
 instead of re-sorting.  The offsets table has one row per partition
 (by=()) and is broadcast; with groups it has partitions + groups rows and
 AQE picks the join from its measured size.
+
+The previous value per key (``lag_by``, W6) uses the same numbered rows:
+``lag`` per (partition, key), plus the key's last value carried over from
+its previous partition -- one shuffle, and a hot key stays split.
 """
 
 from __future__ import annotations
