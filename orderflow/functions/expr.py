@@ -294,3 +294,7 @@ def whitelist(c, allowed=K.ALLOWED_TEMPS, default=K.DEFAULT_TEMPS) -> Column:
 def distinct_list(c) -> Column:
     """Distinct values, first occurrence order kept."""
     return F.array_distinct(_c(c))
+
+
+# F6 under its survey name (not Spark's bool_or aggregate)
+bool_or = bool_text
