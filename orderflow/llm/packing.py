@@ -82,14 +82,19 @@ class Packer:
         for s, share in self.targets.items():
             self.deficit[s] += share * tokens
         room = tokens
-        while room and self.total:
-            for s in sorted((s for s in self.queues if self.waiting[s]), key=lambda s: -self.deficit[s]):
-                n = min(self.waiting[s], room, max(1, int(self.deficit[s])))
+        order = sorted((s for s in self.queues if self.waiting[s]), key=lambda s: -self.deficit[s])
+        for s in order:
+            n = min(self.waiting[s], room, int(self.deficit[s]))
+            if n > 0:
                 yield from self._take(s, n)
                 self.deficit[s] -= n
                 room -= n
-                if not room:
-                    break
+        while room and self.total:  # some queues were short: a document of the one furthest behind
+            s = max((s for s in self.queues if self.waiting[s]), key=lambda s: self.deficit[s])
+            n = min(room, len(self.queues[s][0][2]))
+            yield from self._take(s, n)
+            self.deficit[s] -= n
+            room -= n
 
     def ready(self):
         """Windows as long as the queues hold several: a source that is late keeps its deficit."""

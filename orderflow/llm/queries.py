@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, simhash
+from . import ann, decontam, packing, quality, records, secrets, simhash, warc
 from .common import crc_mod, ship
 from .encode import vocabulary
 
@@ -40,6 +40,19 @@ def op1_quality(spark, sf_dir):
     return s.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+@register("op2_warc")
+def op2_warc(spark, sf_dir):
+    """Every page written to WARC archives, read back, in capture order."""
+    h = warc.history(warc.write(table(spark, sf_dir, "pages")))
+    return h.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op3_neighbours")
+def op3_neighbours(spark, sf_dir):
+    """The 10 nearest of every hundredth vector among all others."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 @register("op4_secrets")
 def op4_secrets(spark, sf_dir):
     """Secret spans of every document."""
@@ -52,8 +65,23 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4).select("doc_id", "fingerprint", "component_id")
 
 
+@register("op8_decontam")
+def op8_decontam(spark, sf_dir):
+    """Every document with the benchmark items it holds within their error budget."""
+    m = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), [F.col("doc_id")])
+    return m.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"),
+                    F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["item"].cast("string"), h["edits"].cast("string"))), ",").alias("items"))
+
+
 @register("op9_packing")
 def op9_packing(spark, sf_dir):
     """All documents packed into sequences of 2048 tokens."""
     p = packing.Params(vocabulary=vocabulary("word_bpe_49k.json"), end_id=1, length=2048)
     return packing.pack(table(spark, sf_dir, "documents"), p)
+
+
+@register("op10_records")
+def op10_records(spark, sf_dir):
+    """All documents' token ids written as framed records in id order and read back."""
+    files = records.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    return records.read(files).select("doc_id", "start", "n_tokens", "ids_crc32")
