@@ -34,7 +34,7 @@ class Params:
     dims: int = 6
     bits: int = 4
     window: float = 0.18        # share of the rows that a query meets on one curve
-    block_rows: int = 2000
+    block_rows: int = 500
     sample_rows: int = 20_000   # bound on the rows that the grids and blocks are fitted on
     seed: int = 11
 

@@ -19,7 +19,7 @@ def create(folder: str, name: str, suffix: str):
     system, path = place(folder)
     system.create_dir(path, recursive=True)
     file = f"{name}-{uuid.uuid4().hex[:12]}{suffix}"
-    return posixpath.join(folder, file), system.open_output_stream(posixpath.join(path, file))
+    return posixpath.join(folder, file), system.open_output_stream(posixpath.join(path, file), compression=None)
 
 
 def open_stream(uri: str):

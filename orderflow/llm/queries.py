@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, packing, quality, records, secrets, simhash, warc
+from . import ann, decontam, packing, quality, records, secrets, simhash, substrings, warc
 from .common import crc_mod, ship
 from .encode import vocabulary
 
@@ -65,6 +65,12 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4).select("doc_id", "fingerprint", "component_id")
 
 
+@register("op7_substrings")
+def op7_substrings(spark, sf_dir):
+    """Every document without the words of windows of 35 words that recur."""
+    return substrings.dedup(table(spark, sf_dir, "documents"), width=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @register("op8_decontam")
 def op8_decontam(spark, sf_dir):
     """Every document with the benchmark items it holds within their error budget."""
