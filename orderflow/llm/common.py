@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +139,7 @@ class Words:
         off = off - off[0]
         enc = flat.dictionary_encode()
         codes = enc.indices.to_numpy(zero_copy_only=False)
-        self.dictionary = enc.dictionary.to_numpy(zero_copy_only=False)  # str objects
+        self.arrow: pa.StringArray = enc.dictionary
         size = pc.binary_length(enc.dictionary).to_numpy(zero_copy_only=False)
         empty = np.flatnonzero(size == 0)
         if len(empty):  # before leading and after trailing white space
@@ -147,6 +148,11 @@ class Words:
             codes = codes[keep]
         self.codes, self.offsets, self.sizes = codes, off, size
 
+    @cached_property
+    def dictionary(self) -> np.ndarray:
+        """The distinct words as str objects."""
+        return self.arrow.to_numpy(zero_copy_only=False)
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)

@@ -68,16 +68,18 @@ class Encoder:
         return any(m in text for m in self.marks)
 
     def _dropped(self, texts: pa.Array) -> list[bytes]:
-        w = Words(texts)
+        data, cum = self.of_words(Words(texts))
+        out = [data[a:b].tobytes() for a, b in zip(cum[:-1], cum[1:])]
+        return self._redo(texts, out)
+
+    def of_words(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all words one after the other, and where each document's begin and end."""
         got = [self.chunks[x] for x in w.dictionary]
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
         flat = np.frombuffer(b"".join(got), dtype=np.uint32)
-        start = np.concatenate(([0], np.cumsum(size)))[:-1]
+        start = np.cumsum(size) - size
         n = size[w.codes]
-        data = flat[ragged(start[w.codes], n)]
-        cum = np.concatenate(([0], np.cumsum(n)))[w.offsets]
-        out = [data[a:b].tobytes() for a, b in zip(cum[:-1], cum[1:])]
-        return self._redo(texts, out)
+        return flat[ragged(start[w.codes], n)], np.concatenate(([0], np.cumsum(n)))[w.offsets]
 
     def _redo(self, texts, out):
         """Texts that hold a special token's string are encoded as a whole."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, packing, quality, records, secrets, simhash, substrings, warc
+from . import ann, decontam, packing, quality, records, scoring, secrets, simhash, substrings, warc
 from .common import crc_mod, ship
 from .encode import vocabulary
 
@@ -59,6 +59,12 @@ def op4_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@register("op5_scoring")
+def op5_scoring(spark, sf_dir):
+    """Word-model and self-attention scores of every document; crc32(doc_id) mod 7 = 2 is held out."""
+    return scoring.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2, scoring.Params(vocabulary=vocabulary("word_bpe_49k.json")))
+
+
 @register("op6_simhash")
 def op6_simhash(spark, sf_dir):
     """SimHash classes of all documents: 4-word shingles, 4 bits."""

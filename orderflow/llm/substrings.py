@@ -132,7 +132,8 @@ class Shard:
 
     def add(self, group: dict):
         """group: passage -> [weight, occurrences] of one key."""
-        if len(group) > 1 or next(iter(group.values()))[0] > 1:
+        p, (weight, _) = next(iter(group.items()))
+        if len(group) > 1 or weight > 1 or p.count(b" ") >= self.width:  # else a lone window
             self.groups.append(group)
             self.words += sum(p.count(b" ") + 1 for p in group)
 
