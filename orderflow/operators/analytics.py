@@ -103,12 +103,11 @@ def top_items(counts: DataFrame, by: tuple = (), k: int = K.TOP_K) -> DataFrame:
 
 
 def _pack(counts: DataFrame, by: tuple, k: int) -> DataFrame:
-    """One pass over the (small) counts: rank every (by, dim) group, keep
-    the top k of the item dims and all total/temp rows, then one aggregate
-    per group packs totals and the three bounded lists."""
-    w = Window.partitionBy(*by, "dim").orderBy(F.col("cnt").desc(), F.col("item").asc())
-    ranked = counts.withColumn("rnk", F.row_number().over(w).cast("long"))
-    kept = ranked.filter(~F.col("dim").isin(*DIMS) | (F.col("rnk") <= k))
+    """Top k of the item dims (ranked alone, so Spark limits each group
+    before its shuffle) and all total/temp rows, then one aggregate per
+    group packs totals and the three bounded lists."""
+    totals = counts.filter(~F.col("dim").isin(*DIMS)).withColumn("rnk", F.lit(None).cast("long"))
+    kept = totals.unionByName(top_items(counts, by, k))
 
     def lst(d):
         s = F.struct(F.col("rnk"), F.col("item"), F.col("cnt"))

@@ -39,25 +39,6 @@ def ordered_list(df: DataFrame, by, order, payload, name: str = "items") -> Data
     return df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["v"]).alias(name))
 
 
-def pack_inventory(inv: DataFrame, max_items: int = 10_000) -> DataFrame:
-    """G4 packed form: one row, syrups[] and milks[]; empty lists, never
-    null, for an empty input (G6).  The whole catalogue goes into one row,
-    so its size is checked first (a scalar subquery): more than
-    ``max_items`` rows fails the query before anything is collected."""
-    n = inv.agg(F.count(F.lit(1))).scalar()
-    guard = F.when(n > max_items, F.raise_error(F.lit(f"catalogue larger than {max_items} rows; "
-                                                      "use inventory_report (row form)")))
-    rep = inventory_report(inv.filter(F.coalesce(guard.cast("boolean"), F.lit(True))))
-    s = F.struct(F.col("idx"), F.col("item"), F.col("available"), F.col("active"), F.col("sort_order"))
-
-    def lst(t):
-        a = F.array_sort(F.collect_list(F.when(F.col("type") == t, s)))
-        return F.transform(a, lambda x: F.struct(x["item"].alias("item"), F.lit(t).alias("type"),
-                                                 x["available"].alias("available"), x["active"].alias("active"),
-                                                 x["sort_order"].alias("sortOrder")))
-    return rep.agg(lst("syrup").alias("syrups"), lst("milk").alias("milks"))
-
-
 def menu_report(menu: DataFrame, include_inactive: bool = False) -> DataFrame:
     """Q3 drinks: visible drinks by (sort_order, label) with a 0-based index."""
     v = visible(menu, include_inactive)
@@ -146,20 +127,20 @@ def save_menu(docs: DataFrame, key: str = "doc_id"):
     return drinks.join(good, key, "left_semi"), ingredients.join(good, key, "left_semi"), report
 
 
-def normalize_catalog(drinks: DataFrame, defaults: DataFrame | None = None, include_inactive: bool = False) -> DataFrame:
-    """V10 (client normalisation of drinks): default label 'Drink', temps
-    filtered to Hot/Cold in input order and de-duplicated ('Hot' when none),
-    sort_order falls back to the row's position, milk/syrups false when
-    missing, showTemp/active true unless false.  An empty input takes
-    ``defaults``."""
-    src = drinks
-    if defaults is not None:
-        n = drinks.agg(F.count(F.lit(1))).scalar()
-        src = drinks.unionByName(defaults.filter(n == 0), allowMissingColumns=True)
+def normalize_catalog(drinks: DataFrame, defaults: DataFrame | None = None, include_inactive: bool = False,
+                      index: str = "row_index") -> DataFrame:
+    """V10 (client normalisation of drinks): a blank id is the slug of the
+    label or of the numbered drink, default label 'Drink', temps filtered to
+    Hot/Cold in input order and de-duplicated ('Hot' when none), sort_order
+    falls back to the row's position (column ``index``, from 0, required),
+    milk/syrups false when missing, showTemp/active true unless false.  An
+    empty input takes ``defaults``."""
+    src = _or_defaults(drinks, defaults, index)
     temps = F.array_distinct(F.filter(F.coalesce(F.col("temps"), F.array().cast("array<string>")),
                                       lambda t: t.isin(*K.ALLOWED_TEMPS)))
+    numbered = F.concat(F.lit("Drink "), (F.col(index) + 1).cast("string"))
     out = src.select(
-        F.coalesce(F.col("id").cast("string"), X.slug(F.coalesce(F.col("label"), F.lit("")), fallback=F.lit("drink"))).alias("id"),
+        _own_or_slug(F.coalesce(F.nullif(F.col("label"), F.lit("")), numbered), "drink").alias("id"),
         X.default_blank(X.trim_ws(F.col("label")), F.lit("Drink")).alias("label"),
         X.trim_ws(F.coalesce(F.col("description"), F.lit(""))).alias("description"),
         F.when(F.size(temps) > 0, temps).otherwise(F.array(F.lit("Hot"))).alias("temps"),
@@ -167,6 +148,36 @@ def normalize_catalog(drinks: DataFrame, defaults: DataFrame | None = None, incl
         F.coalesce(F.col("has_syrups"), F.lit(False)).alias("has_syrups"),
         F.coalesce(F.col("show_temp"), F.lit(True)).alias("show_temp"),
         F.coalesce(F.col("active"), F.lit(True)).alias("active"),
-        F.coalesce(F.col("sort_order"), F.col("row_index")).alias("sort_order") if "row_index" in src.columns
-        else F.col("sort_order"))
+        F.coalesce(F.col("sort_order"), F.col(index)).alias("sort_order"))
+    return out if include_inactive else out.filter(F.col("active"))
+
+
+def _or_defaults(rows: DataFrame, defaults: DataFrame | None, index: str) -> DataFrame:
+    if index not in rows.columns:
+        raise ValueError(f"the rows need their position in a column {index!r}")
+    if defaults is None:
+        return rows
+    n = rows.agg(F.count(F.lit(1))).scalar()
+    return rows.unionByName(defaults.filter(n == 0), allowMissingColumns=True)
+
+
+def _own_or_slug(name, fallback: str):
+    return F.coalesce(F.nullif(F.col("id").cast("string"), F.lit("")), X.slug(name, fallback=F.lit(fallback)))
+
+
+def normalize_ingredients(rows: DataFrame, defaults: DataFrame | None = None, include_inactive: bool = False,
+                          index: str = "row_index") -> DataFrame:
+    """V10, ingredients: a blank id is the slug of the name or of the
+    numbered type, a blank name is the numbered type, available/active true
+    unless false, sort_order falls back to the position (column ``index``)."""
+    src = _or_defaults(rows, defaults, index)
+    place = (F.col(index) + 1).cast("string")
+    name = X.trim_ws(F.coalesce(F.col("item"), F.lit("")))
+    kind = F.when(F.col("type") == "milk", F.lit("Milk")).otherwise(F.lit("Syrup"))
+    out = src.select(
+        _own_or_slug(F.coalesce(F.nullif(F.col("item"), F.lit("")), F.concat_ws("-", "type", place)), "item").alias("id"),
+        X.default_blank(name, F.concat_ws(" ", kind, place)).alias("item"), "type",
+        F.coalesce(F.col("available"), F.lit(True)).alias("available"),
+        F.coalesce(F.col("active"), F.lit(True)).alias("active"),
+        F.coalesce(F.col("sort_order"), F.col(index)).alias("sort_order"))
     return out if include_inactive else out.filter(F.col("active"))

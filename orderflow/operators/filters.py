@@ -62,9 +62,12 @@ def project_archive(df: DataFrame) -> DataFrame:
 
 def lookup(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Requested ids (text) left-joined to the table; the table side's
-    id is never cast, so the join key stays prunable."""
+    id is never cast, so the join key stays prunable.  The table meets the
+    ids in an inner join, where a small id set is broadcast and the table
+    stays where it is; only the rows found go back to the ids."""
     req = ids.select(F.col(id_col).cast("string").alias("requested_id")).distinct()
-    return req.join(df, req.requested_id == df[id_col], "left")
+    hit = df.join(req, df[id_col] == req.requested_id).withColumnRenamed("requested_id", "_found_id")
+    return req.join(hit, req.requested_id == F.col("_found_id"), "left").drop("_found_id")
 
 
 def in_range(df: DataFrame, col: str, start, end) -> DataFrame:

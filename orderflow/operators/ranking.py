@@ -229,8 +229,16 @@ def catalog_order(df: DataFrame, by_type: bool = True, label: str = "item") -> D
 
 
 def board(df: DataFrame, k: int = K.BOARD_ROWS, by=()) -> DataFrame:
-    """Board rows (making first, then FIFO), first k per shop."""
-    return board_position(df, by).filter(F.col("position") <= k)
+    """Board rows (making first, then FIFO), first k per shop.  Only k
+    rows of a group are needed, so nothing is numbered as a whole: a group
+    limit per shop, or the top k of the table."""
+    q = df.filter(F.col("status").isin(*K.BOARD_STATUSES))
+    first = F.when(F.col("status") == "making", F.lit(0)).otherwise(F.lit(1))
+    order = [first, F.col("created_at"), F.col("id")]
+    if not by:
+        q = q.orderBy(*order).limit(k)      # k rows are left for the window
+    w = Window.partitionBy(*_cols(by)).orderBy(*order)
+    return q.withColumn("position", F.row_number().over(w).cast("long")).filter(F.col("position") <= k)
 
 
 def move_item(df: DataFrame, moves: DataFrame, by, pos: str = "sort_order", id_col: str = "id") -> DataFrame:

@@ -25,17 +25,26 @@ def insert_absent(target: DataFrame, seed: DataFrame, keys) -> DataFrame:
     return target.unionByName(new, allowMissingColumns=True)
 
 
-def last_per_key(updates: DataFrame, keys, order_by) -> DataFrame:
-    """Several updates of one key in a batch -- the last by
-    ``order_by`` wins."""
-    return latest_per(updates, _keys(keys), order_by)
+def one_per_key(updates: DataFrame, keys, order_by=None, keep_first=()) -> DataFrame:
+    """One row per key -- the last by ``order_by``; without an order a
+    key that occurs twice is an error, never a doubled row."""
+    keys = _keys(keys)
+    if order_by is not None:
+        return latest_per(updates, keys, order_by, keep_first=keep_first)
+    rest = [c for c in updates.columns if c not in keys]
+    row = F.first(F.struct(*rest)) if rest else F.lit(None)
+    g = updates.groupBy(*keys).agg(row.alias("_row"), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.lit(f"two updates of one key ({', '.join(keys)}) and no order_by")).cast("boolean")
+    g = g.filter(F.when(F.col("_n") > 1, twice).otherwise(F.lit(True)))
+    return g.select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in updates.columns])
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys, order_by=None,
            keep_first=(), ignore_null: str | None = None) -> DataFrame:
     """Incoming rows win by key.
 
-    order_by     de-duplicate the batch first (last wins, S12)
+    order_by     the batch's last row per key wins (S12); without it a key
+                 that occurs twice is an error
     keep_first   columns kept from the existing row when the key exists,
                  and from the batch's first row otherwise (S13)
     ignore_null  name of a value column: updates whose value is null mean
@@ -45,8 +54,7 @@ def upsert(target: DataFrame, updates: DataFrame, keys, order_by=None,
     u = updates
     if ignore_null:
         u = u.filter(F.col(ignore_null).isNotNull())
-    if order_by is not None:
-        u = latest_per(u, keys, order_by, keep_first=keep_first)
+    u = one_per_key(u, keys, order_by, keep_first)
     kept = target.join(u.select(*keys), keys, "left_anti")
     if keep_first:
         old = target.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in keep_first])
@@ -57,14 +65,12 @@ def upsert(target: DataFrame, updates: DataFrame, keys, order_by=None,
 
 
 def apply_updates(target: DataFrame, changes: DataFrame, keys, cols, order_by=None):
-    """Keyed point updates.  Returns (snapshot, missing): matched rows
+    """Keyed point updates, one per key (see ``one_per_key``).  Returns (snapshot, missing): matched rows
     take the change's values for ``cols``; changes whose key is absent are
     reported in ``missing`` (the 'not found' answer)."""
     keys, cols = _keys(keys), list(cols)
-    ch = changes.select(*keys, *cols)
-    if order_by is not None:
-        ch = latest_per(changes.select(*keys, *cols, *[c for c in _keys(order_by) if c not in keys + cols]),
-                        keys, order_by).select(*keys, *cols)
+    order = [c for c in _keys(order_by) if isinstance(c, str) and c not in keys + cols] if order_by is not None else []
+    ch = one_per_key(changes.select(*keys, *cols, *order), keys, order_by).select(*keys, *cols)
     renamed = ch.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_hit"))
     j = target.join(renamed, keys, "left")
     snap = j.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols

@@ -31,35 +31,10 @@ QUEUE_AS_OF = dt.datetime(1998, 8, 2, 0, 0, 0)
 EVENTS_AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
 
 
-# fact tables and the key they are spread on when a scan is too coarse
-FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition a scan that has fewer splits than the session has
-    task slots (a small file written as one row group is read by one task).
-    On large inputs the scan already has more splits and this is a no-op;
-    it never adds a shuffle there.  Filters and pruning still reach the
-    scan below the exchange."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots, key)
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.  The DataFrame is kept per session and path (the
-    driver's files are read-only), so a query that reads a table several
-    times plans one relation -- resolved once, and identical subtrees for
-    exchange reuse."""
+    """One driver table."""
     pin_utc(spark)
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    cache = spark.__dict__.setdefault("_orderflow_tables", {})
-    if path not in cache:
-        df = spark.read.parquet(path)
-        key = FACT_KEYS.get(name)
-        cache[path] = spread(df, key) if key else df
-    return cache[path]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +137,7 @@ def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cap(c):
-    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 1 << 20)))
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substr(c, F.lit(2))))
 
 
 def menu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +164,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     names (both computed from part by aggregation)."""
     p = table(spark, sf_dir, "part").select("p_brand", "p_name")
     b = p.select(F.col("p_brand").alias("item")).distinct()
-    num = F.substring(F.col("item"), 7, 10).cast("int")
+    num = F.regexp_extract("item", "([0-9]+)$", 1).cast("int")
     milks = b.select(F.concat(F.lit("milk:"), F.col("item")).alias("id"), "item", F.lit("milk").alias("type"),
                      (num % 4 != 0).alias("available"), (num % 10 != 0).alias("active"),
                      num.alias("sort_order"))

@@ -198,7 +198,8 @@ def normalized_menu(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("id") == "medium", F.array(F.lit("Cold"), F.lit("Warm"), F.lit("Cold")))
          .when(F.col("id") == "large", F.array().cast("array<string>")).otherwise(F.col("temps")).alias("temps"),
         F.when(F.col("has_milk"), F.lit(True)).alias("has_milk"),
-        F.col("has_syrups"), F.lit(None).cast("boolean").alias("show_temp"), F.col("active"), F.col("sort_order"))
+        F.col("has_syrups"), F.lit(None).cast("boolean").alias("show_temp"), F.col("active"), F.col("sort_order"),
+        F.col("sort_order").alias("row_index"))
     n = C.normalize_catalog(raw, include_inactive=True)
     return n.select("id", "label", F.array_join("temps", ",").alias("temps"), "has_milk", "show_temp",
                     "active", "sort_order")

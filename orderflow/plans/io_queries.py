@@ -122,7 +122,7 @@ def stream_notify_payloads(spark: SparkSession, sf: str) -> DataFrame:
 def stream_upsert_subscriptions(spark: SparkSession, sf: str) -> DataFrame:
     """Subscription upserts streamed into a versioned snapshot (last
     update per endpoint wins, first id/created_at kept), read back."""
-    s = _event_stream_raw(spark, sf)
+    s = _split_event_stream(spark, sf)
     ups = s.select(
         F.concat(F.lit("sub-"), F.col("event_id").cast("string")).alias("id"),
         F.col("user_id").cast("string").alias("order_id"),
@@ -133,10 +133,14 @@ def stream_upsert_subscriptions(spark: SparkSession, sf: str) -> DataFrame:
     q = ST.stream_upsert(ups, f"{base}/snap", "endpoint", ["updated_at", "seq"], f"{base}/ck",
                          keep_first=("id", "created_at"))
     q.awaitTermination()
-    return SK.read_current_json(spark, f"{base}/snap").select("endpoint", "id", "order_id", "order_name",
+    return SK.read_current(spark, f"{base}/snap").select("endpoint", "id", "order_id", "order_name",
                                                                "created_at", "updated_at")
 
 
-def _event_stream_raw(spark: SparkSession, sf: str) -> DataFrame:
-    from .text_queries import _event_stream
-    return _event_stream(spark, sf)
+def _split_event_stream(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
+    """The events as several time-ranged files, one per micro-batch, so
+    state is carried from batch to batch."""
+    e = V.table(spark, sf, "events")
+    base = _scratch(spark, "events")
+    e.repartitionByRange(files, "ts").write.parquet(base)
+    return ST.stream_changes(spark, base, e.schema, max_files=1)

@@ -39,7 +39,7 @@ def menu_report(menu: DataFrame, inventory: DataFrame, include_inactive: bool =
 
 def orders_report(orders: DataFrame, by=()) -> DataFrame:
     """Q4: active orders with FIFO position, oldest first."""
-    return P.project_orders(R.fifo_position(orders, by))
+    return P.project_orders(R.fifo_position(orders, by)).orderBy(*by, "position")
 
 
 def display_report(orders: DataFrame, by=(), board_rows: int = K.BOARD_ROWS, strip: int = K.READY_STRIP):
@@ -74,9 +74,9 @@ def update_status(orders: DataFrame, changes: DataFrame, order_by=None):
             .withColumn("position", F.lit(None).cast("long"))), missing, invalid
 
 
-def update_inventory(inventory: DataFrame, changes: DataFrame):
-    """Q9: (snapshot, items not found)."""
-    return U.apply_updates(inventory, changes, "item", ["available"])
+def update_inventory(inventory: DataFrame, changes: DataFrame, order_by=None):
+    """Q9: (snapshot, items not found); several changes of an item need an order."""
+    return U.apply_updates(inventory, changes, "item", ["available"], order_by=order_by)
 
 
 def update_settings(settings: DataFrame, changes: DataFrame, order_by=None) -> DataFrame:

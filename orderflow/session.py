@@ -45,8 +45,10 @@ def pin_utc(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from the session (``spark.checkpoint.dir``).  Only when nothing is
-    configured (local tests) a scratch folder is created and registered.
+    Read from the session (``spark.checkpoint.dir``).  Only a local master
+    without one gets a scratch folder: its executors are the driver's own
+    process.  On a cluster an unset folder is an error, as other nodes can't
+    read a folder of the driver's machine.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -57,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     cur = sc.getCheckpointDir()
     if cur:
         return cur
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     d = tempfile.mkdtemp(prefix="orderflow-ckpt-")
     sc.setCheckpointDir(d)
     return d

@@ -1,14 +1,17 @@
 """Sinks (S7, S8).
 
 Appends are partitioned by date so later range filters prune directories.
-A catalogue snapshot is written to a new version directory and only then
-named current (a small pointer file written last), so readers never see a
-half-written catalogue -- the all-or-nothing save of the source.
+A snapshot is written to a new version directory and only then published by
+a marker of its own that is never changed (readers take the greatest), so
+readers never see a half-written snapshot or none -- the all-or-nothing save
+of the source.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,28 +31,59 @@ def append(df: DataFrame, path: str, time_col: str = "created_at", fmt: str = "p
     r.write.mode("append").partitionBy("dt").format(fmt).save(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def versions(spark: SparkSession, base: str) -> list[str]:
+    """Names of the published versions, oldest first.  Only a folder that is
+    proven absent means none; any other failure to list it is raised."""
+    fs, folder = _fs(spark, f"{base.rstrip('/')}/_versions")
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
+def publish(spark: SparkSession, base: str, version: str, parts: dict[str, str]) -> None:
+    """Publish a version whose data is complete: its marker (part -> path) is
+    written aside and renamed into place, and no marker is ever changed."""
+    fs, folder = _fs(spark, f"{base.rstrip('/')}/_versions")
+    jvm = spark.sparkContext._jvm
+    fs.mkdirs(folder)
+    aside = jvm.org.apache.hadoop.fs.Path(folder, f".{version}-{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(json.dumps(parts).encode()))
+    out.close()
+    if not fs.rename(aside, jvm.org.apache.hadoop.fs.Path(folder, version)):
+        raise FileExistsError(f"version {version} of {base} is published already")
+
+
+def published(spark: SparkSession, base: str, version: str) -> dict[str, str]:
+    """part -> path of a published version."""
+    rows = spark.read.text(f"{base.rstrip('/')}/_versions/{version}", wholetext=True).collect()
+    return json.loads(rows[0][0])
+
+
 def replace_snapshot(df: DataFrame, base: str, version: str | None = None) -> str:
-    """Write a whole new version, then switch the pointer.  Returns the
+    """Write a whole new version, then publish its marker.  Returns the
     version path."""
     version = version or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     path = f"{base.rstrip('/')}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    spark = df.sparkSession
-    spark.createDataFrame([(path,)], "current string").coalesce(1).write.mode("overwrite").json(
-        f"{base.rstrip('/')}/_current")
+    if version in versions(df.sparkSession, base):
+        raise FileExistsError(f"version {version} of {base} is published already")
+    df.write.mode("overwrite").parquet(path)  # what an attempt that failed has left
+    publish(df.sparkSession, base, version, {"all": path})
     return path
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
-    """Read the version the pointer names."""
-    cur = spark.read.schema("current string").json(f"{base.rstrip('/')}/_current").first()["current"]
-    return spark.read.parquet(cur)
-
-
-def read_current_json(spark: SparkSession, base: str) -> DataFrame:
-    """Read the snapshot a streaming upsert (R9) names in ``_current``."""
-    cur = spark.read.schema("current string, batch long").json(f"{base.rstrip('/')}/_current").first()["current"]
-    return spark.read.parquet(cur)
+    """Read the greatest published version."""
+    names = versions(spark, base)
+    if not names:
+        raise FileNotFoundError(f"no published version of {base}")
+    return spark.read.parquet(*sorted(set(published(spark, base, names[-1]).values())))
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:

@@ -22,8 +22,8 @@ from .. import constants as K
 from ..functions import expr as X
 from ..operators import analytics as A
 from ..operators.ranking import latest_per
-from ..operators.upsert import upsert
 from ..sources import schemas as S
+from ..sources import sinks
 
 
 @contextlib.contextmanager
@@ -151,35 +151,36 @@ def weekly_top_from_counts(counts: DataFrame, k: int = K.TOP_K) -> DataFrame:
     return A.top_items(summed, ("week_start",), k)
 
 
-def upsert_batch(target: DataFrame, batch: DataFrame, keys, order_by, keep_first=()) -> DataFrame:
-    """R9 core: merge one micro-batch into the current snapshot."""
-    return upsert(target, batch, keys, order_by=order_by, keep_first=keep_first)
-
-
 def stream_upsert(df: DataFrame, base: str, keys, order_by, checkpoint: str, keep_first=(),
-                  trigger: dict | None = None):
-    """Keep the last state per key in a parquet snapshot.  Each
-    micro-batch writes version ``batch=<id>``; a replayed batch id rewrites
-    the same version, so a retry after a failure is harmless."""
+                  trigger: dict | None = None, buckets: int = 64):
+    """Keep the last state per key in a parquet snapshot, hashed into
+    ``buckets`` by key.  A micro-batch rewrites only the buckets it touches
+    and then publishes a marker that names every bucket's files, so a crash
+    leaves the previous version whole and a replayed batch id is a no-op.
+    Only a proven absence of versions means "no snapshot yet"; any other
+    failure stops the stream.  Read it with ``sinks.read_current``."""
     spark = df.sparkSession
+    keys = [keys] if isinstance(keys, str) else list(keys)
 
     def write(batch: DataFrame, batch_id: int):
-        prev = None
+        version = f"{batch_id:020d}"
+        names = sinks.versions(spark, base)
+        if names and names[-1] >= version:
+            return  # already applied
+        old = sinks.published(spark, base, names[-1]) if names else {}
+        own = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        b = latest_per(batch, keys, order_by, keep_first=keep_first).persist()
         try:
-            marker = spark.read.schema("current string, batch long").json(f"{base}/_current")
-            row = marker.first()
-            if row is not None and row["batch"] < batch_id:
-                prev = spark.read.parquet(row["current"])
-            elif row is not None and row["batch"] >= batch_id:
-                return  # already applied
-        except Exception:  # noqa: BLE001  (no snapshot yet)
-            prev = None
-        b = latest_per(batch, keys, order_by, keep_first=keep_first)
-        snap = b if prev is None else upsert(prev, b, keys, keep_first=keep_first)
-        path = f"{base}/batch={batch_id}"
-        snap.write.mode("overwrite").parquet(path)
-        spark.createDataFrame([(path, batch_id)], "current string, batch long").coalesce(1) \
-            .write.mode("overwrite").json(f"{base}/_current")
+            touched = [str(r["_b"]) for r in b.select(own.alias("_b")).distinct().collect()]  # at most ``buckets``
+            paths = [old[t] for t in touched if t in old]
+            # an update that comes late meets the newer one it must not replace
+            both = spark.read.parquet(*paths).unionByName(b, allowMissingColumns=True) if paths else b
+            path = f"{base.rstrip('/')}/v={version}"
+            (latest_per(both, keys, order_by, keep_first=keep_first).withColumn("_b", own)
+             .repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(path))
+        finally:
+            b.unpersist()
+        sinks.publish(spark, base, version, old | {t: f"{path}/_b={t}" for t in touched})
 
     w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))

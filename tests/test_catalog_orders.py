@@ -113,18 +113,25 @@ def test_inventory_report_and_counts(spark):
     assert [(x.type, x.idx, x.item) for x in rep if x.type == "syrup"] == [
         ("syrup", 0, "Vanilla"), ("syrup", 1, "Mocha"), ("syrup", 2, "Honey")]
     assert {x.id for x in rep} >= {"oat-milk", "whole-milk"}
-    packed = C.pack_inventory(inv(spark).filter("false")).first()
-    assert packed.syrups == [] and packed.milks == []
     cnt = {x.type: (x.rows, x.active_rows) for x in C.catalog_counts(inv(spark)).collect()}
     assert cnt == {"milk": (4, 3), "syrup": (3, 3)}
 
 
-def test_pack_inventory_guard(spark):
-    import pytest
-    ok = C.pack_inventory(inv(spark), max_items=100).first()
-    assert [x.item for x in ok.milks] == ["Oat milk", "Whole milk", "Honey"]
-    with pytest.raises(Exception):
-        C.pack_inventory(inv(spark), max_items=3).collect()
+def test_normalize_blank_ids_and_positions(spark):
+    d = spark.createDataFrame([(0, "", "Iced Tea!", None), (1, None, None, None), (2, "own", "", 9)],
+                              "row_index int, id string, label string, sort_order int")
+    for c, t in (("description", "string"), ("temps", "array<string>"), ("has_milk", "boolean"), ("has_syrups", "boolean"),
+                 ("show_temp", "boolean"), ("active", "boolean")):
+        d = d.withColumn(c, F.lit(None).cast(t))
+    got = [(r.id, r.label, r.sort_order) for r in C.normalize_catalog(d).orderBy("sort_order").collect()]
+    assert got == [("iced-tea", "Iced Tea!", 0), ("drink-2", "Drink", 1), ("own", "Drink", 9)]
+    i = spark.createDataFrame([(0, "", "Oat  Milk", "milk", None, None, None), (1, None, " ", "syrup", False, None, None),
+                               (2, "x", None, "milk", True, False, 7)],
+                              "row_index int, id string, item string, type string, available boolean, active boolean, sort_order int")
+    got = [tuple(r) for r in C.normalize_ingredients(i, include_inactive=True).orderBy("sort_order").collect()]
+    assert got == [("oat-milk", "Oat  Milk", "milk", True, True, 0), ("item", "Syrup 2", "syrup", False, True, 1),
+                   ("x", "Milk 3", "milk", True, False, 7)]
+    assert C.normalize_ingredients(i).count() == 2
 
 
 def test_menu_doc_member_kinds(spark):

@@ -87,3 +87,28 @@ def test_settings_scalar(spark):
     assert row.isOpen == "false" and row.other == "x"
     df = spark.range(3)
     assert df.filter(P.is_open(s)).count() == 0
+
+
+def test_two_updates_of_one_key(spark):
+    import pytest
+    tgt = spark.createDataFrame([("a", 1), ("b", 2)], "key string, value int")
+    upd = spark.createDataFrame([("a", 5, 1), ("a", 6, 2), ("c", 7, 3)], "key string, value int, seq int")
+    with pytest.raises(Exception, match="two updates of one key"):
+        U.upsert(tgt, upd.drop("seq"), "key").collect()
+    with pytest.raises(Exception, match="two updates of one key"):
+        U.apply_updates(tgt, upd, "key", ["value"])[0].collect()
+    snap, missing = U.apply_updates(tgt, upd, "key", ["value"], order_by="seq")
+    assert sorted((r.key, r.value) for r in snap.collect()) == [("a", 6), ("b", 2)]
+    assert [(r.key, r.value) for r in missing.collect()] == [("c", 7)]
+
+
+def test_lookup_leaves_the_table_in_place(spark):
+    from orderflow.operators.filters import lookup
+    t = spark.range(200000).selectExpr("cast(id as string) id", "id as v")
+    ids = spark.createDataFrame([("5",), ("7",), ("none",)], "id string")
+    got = lookup(t, ids)
+    assert sorted((r.requested_id, r.v) for r in got.collect()) == [("5", 5), ("7", 7), ("none", None)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Range (0, 200000")].splitlines()
+    first_join = next(x for x in reversed(above) if "Join" in x)
+    assert "BroadcastHashJoin" in first_join, plan

@@ -1,8 +1,11 @@
 import datetime as dt
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from orderflow.sources import sinks
 from orderflow.operators import analytics as A
 from orderflow.operators import ranking as R
 from orderflow.sources import schemas as S
@@ -85,10 +88,35 @@ def test_stream_upsert_replay_safe(spark, scratch):
     q = ST.stream_upsert(stream, f"{scratch}/snap", "endpoint", ["created_at", "seq"], f"{scratch}/ck",
                          keep_first=("id", "created_at"))
     q.awaitTermination()
-    cur = spark.read.schema("current string, batch long").json(f"{scratch}/snap/_current").first()
-    snap = {r.endpoint: (r.id, r.order_id) for r in spark.read.parquet(cur["current"]).collect()}
+    snap = {r.endpoint: (r.id, r.order_id) for r in sinks.read_current(spark, f"{scratch}/snap").collect()}
     assert snap == {"e1": ("s1", "o2"), "e2": ("s3", "o3")}
-    assert os.path.isdir(f"{scratch}/snap/batch=0")
+    assert sinks.versions(spark, f"{scratch}/snap") == [f"{0:020d}"]
+
+
+def test_stream_upsert_fails_rather_than_lose_rows(spark, scratch):
+    schema = "endpoint string, id string, created_at timestamp_ntz, seq long"
+
+    def feed(n, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{scratch}/in")
+        ST.stream_upsert(stream, f"{scratch}/snap", "endpoint", ["created_at", "seq"], f"{scratch}/ck", buckets=2).awaitTermination()
+    feed(1, [("a", "1", T0, 1), ("b", "2", T0, 2)])
+    feed(2, [("c", "3", T0, 3), ("a", "0", T0 - dt.timedelta(days=1), 4)])     # a's update is late
+    got = {r.endpoint: r.id for r in sinks.read_current(spark, f"{scratch}/snap").collect()}
+    assert got == {"a": "1", "b": "2", "c": "3"}
+    marker = f"{scratch}/snap/_versions/{1:020d}"
+    whole = open(marker).read()
+    with open(marker, "w") as f:                                               # damaged between two batches
+        f.write(whole[:5])
+    if os.path.exists(f"{scratch}/snap/_versions/.{1:020d}.crc"):
+        os.remove(f"{scratch}/snap/_versions/.{1:020d}.crc")
+    with pytest.raises(Exception):
+        feed(3, [("d", "4", T0, 5)])
+    with open(marker, "w") as f:
+        f.write(whole)
+    feed(4, [("e", "5", T0, 6)])
+    got = {r.endpoint: r.id for r in sinks.read_current(spark, f"{scratch}/snap").collect()}
+    assert got == {"a": "1", "b": "2", "c": "3", "d": "4", "e": "5"}
 
 
 def test_edge_state_expires_after_ttl(spark, scratch):
