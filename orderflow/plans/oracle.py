@@ -55,90 +55,69 @@ def local_week(ts: str, shift: str = "0") -> str:
             f" + to_weeks({shift})))")
 
 
-def _clean(src: str, extra: str = "") -> str:
-    return (f"SELECT {extra} nullif(trim(coalesce(drink, '')), '') AS drink, "
-            f"nullif(trim(coalesce(temperature, '')), '') AS temperature, "
-            f"nullif(trim(coalesce(milk, '')), '') AS milk, "
-            f"nullif(trim(coalesce(syrups, '')), '') AS syrups FROM {src}")
+def tally(keys: dict[str, str]) -> str:
+    """CTEs up to ``best``: how often each item of each kind occurs per key, ranked.
+    Every archived order gives one tall list of (kind, item): itself, its
+    temperature, drink and milk, and each of its comma-separated syrups."""
+    named = "".join(f"{sql} AS {name}, " for name, sql in keys.items())
+    names = "".join(f"{name}, " for name in keys)
+    return f"""
+{ARCHIVE.strip()},
+tall AS (
+  SELECT {named}unnest(list_concat(
+           [{{'kind': 'order', 'item': '*'}}, {{'kind': 'temp', 'item': lower(temperature)}},
+            {{'kind': 'drink', 'item': drink}}, {{'kind': 'milk', 'item': milk}}],
+           list_transform(string_split(coalesce(syrups, ''), ','), lambda x: {{'kind': 'syrup', 'item': x}}))) AS e
+  FROM archive
+),
+best AS (
+  SELECT {names}e.kind AS kind, trim(e.item) AS item, count(*) AS cnt,
+         row_number() OVER (PARTITION BY {names}e.kind ORDER BY count(*) DESC, trim(e.item)) AS rnk
+  FROM tall WHERE trim(e.item) <> ''
+  GROUP BY {names}e.kind, trim(e.item)
+)"""
+
+
+def _n(kind: str, item: str, name: str) -> str:
+    return f"CAST(coalesce(sum(cnt) FILTER (WHERE kind = '{kind}' AND item = '{item}'), 0) AS BIGINT) AS {name}"
+
+
+def _top(kind: str) -> str:
+    return (f"coalesce(string_agg(item || '=' || cnt, '; ' ORDER BY rnk) FILTER (WHERE kind = '{kind}' AND rnk <= 5), '')"
+            f" AS top_{kind}s")
+
 
+MEASURES = ",\n       ".join([_n("order", "*", "total_orders"), _n("temp", "hot", "hot_orders"), _n("temp", "cold", "cold_orders"),
+                             _top("drink"), _top("milk"), _top("syrup")])
 
-def _weekly_one(offset: int) -> str:
+
+def _week(offset: int) -> str:
+    """One row for the week ``offset`` weeks from the current one, even an empty week."""
     start = local_week(ARCHIVE_AS_OF, str(offset))
-    end = local_week(ARCHIVE_AS_OF, str(offset + 1))
     return f"""
-WITH {ARCHIVE.strip()},
-bounds AS (SELECT {start} AS week_start, {end} AS week_end),
-base AS ({_clean("archive CROSS JOIN bounds WHERE archived_at >= week_start AND archived_at < week_end")}),
-syrup_items AS (
-  SELECT nullif(trim(s), '') AS syrup
-  FROM base, unnest(regexp_split_to_array(coalesce(base.syrups, ''), '\\s*,\\s*')) AS t(s)
-),
-d AS (SELECT drink AS item, count(*) AS cnt FROM base WHERE drink IS NOT NULL GROUP BY drink
-      ORDER BY cnt DESC, item LIMIT 5),
-m AS (SELECT milk AS item, count(*) AS cnt FROM base WHERE milk IS NOT NULL GROUP BY milk
-      ORDER BY cnt DESC, item LIMIT 5),
-s AS (SELECT syrup AS item, count(*) AS cnt FROM syrup_items WHERE syrup IS NOT NULL GROUP BY syrup
-      ORDER BY cnt DESC, item LIMIT 5)
-SELECT CAST({offset} AS INTEGER) AS week_offset,
-       (SELECT week_start FROM bounds) AS week_start,
-       (SELECT week_end FROM bounds) AS week_end,
-       (SELECT count(*) FROM base) AS total_orders,
-       (SELECT count(*) FROM base WHERE lower(temperature) = 'hot') AS hot_orders,
-       (SELECT count(*) FROM base WHERE lower(temperature) = 'cold') AS cold_orders,
-       coalesce((SELECT string_agg(item || '=' || cnt, '; ' ORDER BY cnt DESC, item) FROM d), '') AS top_drinks,
-       coalesce((SELECT string_agg(item || '=' || cnt, '; ' ORDER BY cnt DESC, item) FROM m), '') AS top_milks,
-       coalesce((SELECT string_agg(item || '=' || cnt, '; ' ORDER BY cnt DESC, item) FROM s), '') AS top_syrups
+WITH {tally({"week_start": local_week("archived_at")}).strip()}
+SELECT CAST({offset} AS INTEGER) AS week_offset, {start} AS week_start,
+       {local_week(ARCHIVE_AS_OF, str(offset + 1))} AS week_end,
+       {MEASURES}
+FROM best WHERE week_start = {start}
 """
 
 
-SQL["weekly_summary"] = _weekly_one(0)
-SQL["weekly_summary_prev"] = _weekly_one(-3)
-
-_WEEKLY_LONG = f"""
-{ARCHIVE.strip()},
-base AS ({_clean("archive", extra=local_week("archived_at") + " AS week_start, temperature AS shop,")}),
-items AS (
-  SELECT shop, week_start, 'drink' AS dim, drink AS item FROM base WHERE drink IS NOT NULL
-  UNION ALL SELECT shop, week_start, 'milk', milk FROM base WHERE milk IS NOT NULL
-  UNION ALL SELECT shop, week_start, 'syrup', nullif(trim(s), '')
-    FROM base, unnest(regexp_split_to_array(coalesce(base.syrups, ''), '\\s*,\\s*')) AS t(s)
-),
-counts AS (SELECT shop, week_start, dim, item, count(*) AS cnt FROM items WHERE item IS NOT NULL
-           GROUP BY shop, week_start, dim, item),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY {{part}} dim ORDER BY cnt DESC, item) AS rnk FROM counts)
-"""
+SQL["weekly_summary"] = _week(0)
+SQL["weekly_summary_prev"] = _week(-3)
 
-SQL["weekly_trend"] = "WITH " + f"""
-{ARCHIVE.strip()},
-base AS ({_clean("archive", extra=local_week("archived_at") + " AS week_start,")}),
-items AS (
-  SELECT week_start, 'drink' AS dim, drink AS item FROM base WHERE drink IS NOT NULL
-  UNION ALL SELECT week_start, 'milk', milk FROM base WHERE milk IS NOT NULL
-  UNION ALL SELECT week_start, 'syrup', nullif(trim(s), '')
-    FROM base, unnest(regexp_split_to_array(coalesce(base.syrups, ''), '\\s*,\\s*')) AS t(s)
-),
-counts AS (SELECT week_start, dim, item, count(*) AS cnt FROM items WHERE item IS NOT NULL
-           GROUP BY week_start, dim, item),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY week_start, dim ORDER BY cnt DESC, item) AS rnk FROM counts),
-tops AS (SELECT week_start,
-           coalesce(string_agg(CASE WHEN dim = 'drink' THEN item || '=' || cnt END, '; ' ORDER BY rnk), '') AS top_drinks,
-           coalesce(string_agg(CASE WHEN dim = 'milk' THEN item || '=' || cnt END, '; ' ORDER BY rnk), '') AS top_milks,
-           coalesce(string_agg(CASE WHEN dim = 'syrup' THEN item || '=' || cnt END, '; ' ORDER BY rnk), '') AS top_syrups
-         FROM ranked WHERE rnk <= 5 GROUP BY week_start),
-totals AS (SELECT week_start, count(*) AS total_orders,
-             count(*) FILTER (WHERE lower(temperature) = 'hot') AS hot_orders,
-             count(*) FILTER (WHERE lower(temperature) = 'cold') AS cold_orders
-           FROM base GROUP BY week_start)
-SELECT t.week_start,
-       timezone('UTC', timezone('{TZ}', timezone('{TZ}', timezone('UTC', t.week_start)) + INTERVAL 7 DAY)) AS week_end,
-       total_orders, hot_orders, cold_orders,
-       coalesce(top_drinks, '') AS top_drinks, coalesce(top_milks, '') AS top_milks,
-       coalesce(top_syrups, '') AS top_syrups
-FROM totals t LEFT JOIN tops USING (week_start)
+SQL["weekly_trend"] = f"""
+WITH {tally({"week_start": local_week("archived_at")}).strip()}
+SELECT week_start,
+       timezone('UTC', timezone('{TZ}', timezone('{TZ}', timezone('UTC', week_start)) + INTERVAL 7 DAY)) AS week_end,
+       {MEASURES}
+FROM best GROUP BY week_start
 """
 
-SQL["weekly_top_by_temp"] = "WITH " + _WEEKLY_LONG.replace("{part}", "shop, week_start,") + """
-SELECT shop, week_start, dim, rnk, item, cnt FROM ranked WHERE rnk <= 5
+SQL["weekly_top_by_temp"] = f"""
+WITH {tally({"shop": "trim(temperature)", "week_start": local_week("archived_at")}).strip()}
+SELECT shop, week_start, kind AS dim, rnk, item, cnt FROM best
+WHERE kind IN ('drink', 'milk', 'syrup') AND rnk <= 5
 """
 
 SQL["drink_popularity"] = f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import ARCHIVE, QUEUE, SQL, TZ, _clean, local_week
+from .oracle import ARCHIVE, QUEUE, SQL, TZ, local_week, tally
 from .oracle_events import SC
 
 SQL["order_texts"] = f"""
@@ -93,18 +93,9 @@ SELECT DISTINCT order_id FROM sc WHERE status IN ('ready', 'complete')
 """
 
 SQL["stream_weekly_top"] = f"""
-WITH {ARCHIVE.strip()},
-base AS ({_clean("archive", extra=local_week("archived_at") + " AS week_start,")}),
-items AS (
-  SELECT week_start, 'drink' AS dim, drink AS item FROM base WHERE drink IS NOT NULL
-  UNION ALL SELECT week_start, 'milk', milk FROM base WHERE milk IS NOT NULL
-  UNION ALL SELECT week_start, 'syrup', nullif(trim(s), '')
-    FROM base, unnest(regexp_split_to_array(coalesce(base.syrups, ''), '\\s*,\\s*')) AS t(s)
-),
-counts AS (SELECT week_start, dim, item, count(*) AS cnt FROM items WHERE item IS NOT NULL
-           GROUP BY week_start, dim, item),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY week_start, dim ORDER BY cnt DESC, item) AS rnk FROM counts)
-SELECT week_start, dim, rnk, item, cnt FROM ranked WHERE rnk <= 5
+WITH {tally({"week_start": local_week("archived_at")}).strip()}
+SELECT week_start, kind AS dim, rnk, item, cnt FROM best
+WHERE kind IN ('drink', 'milk', 'syrup') AND rnk <= 5
 """
 
 SQL["syrup_items"] = f"""
