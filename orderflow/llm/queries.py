@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from . import ann, decontam, packing, quality, records, scoring, secrets, simhash, substrings, warc
 from .common import crc_mod, ship
 from .encode import vocabulary
+from .oracle import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def register(name: str):
