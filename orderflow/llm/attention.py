@@ -15,11 +15,11 @@ import numpy as np
 @dataclass
 class Shape:
     dim: int = 16
-    classes: int = 64       # of the output
+    classes: int = 48       # of the output
     symbols: int = 1024     # of the input
-    window: int = 32        # inputs seen together
-    stride: int = 24        # of which the last `stride` are scored
-    steps: int = 300
+    window: int = 24        # inputs seen together
+    stride: int = 18        # of which the last `stride` are scored
+    steps: int = 500
     batch: int = 64
     rate: float = 0.01
     seed: int = 3
@@ -53,48 +53,65 @@ class Model:
     tables: dict = field(default_factory=dict)
 
     def prepare(self):
-        """Projections of every input symbol: at scoring a position is a table row."""
+        """Projections of every input symbol: at scoring a position is a table row.  A last column masks padding."""
         w, d = self.weights, self.shape.dim
-        self.tables = {"q": (w["E"] @ w["Q"] / np.sqrt(d)).astype(np.float32), "k": (w["E"] @ w["K"]).astype(np.float32),
-                       "v": (w["E"] @ w["V"]).astype(np.float32), "r": (w["E"] @ w["R"]).astype(np.float32), "bias": bias(w["B"], self.shape).astype(np.float32)}
+        one, mask = np.ones((len(w["E"]), 1)), np.zeros((len(w["E"]), 1))
+        mask[0] = -1e9
+        self.tables = {"q": np.hstack((w["E"] @ w["Q"] / np.sqrt(d), one)), "k": np.hstack((w["E"] @ w["K"], mask)),
+                       "v": np.hstack((w["E"] @ w["V"], one)), "r": w["E"] @ w["R"], "bias": bias(w["B"], self.shape), "U": np.vstack((w["U"], w["u"]))}
+        self.tables = {k: np.ascontiguousarray(v, dtype=np.float32) for k, v in self.tables.items()}
+        t = self.tables
+        t["bound"] = float(np.linalg.norm(t["q"][:, :-1], axis=1).max() * np.linalg.norm(t["k"][:, :-1], axis=1).max() + w["B"].max())
         return self
 
     def windows(self, ids: np.ndarray, offsets: np.ndarray):
         """Input symbols, targets (-1: none) and document of every window; each id is a target once."""
         s, n = self.shape, np.diff(offsets)
-        many = -(-n // s.stride)
+        lead, many = s.window - s.stride, -(-n // s.stride)
         doc = np.repeat(np.arange(len(n)), many)
-        first = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * s.stride
-        at = first[:, None] + np.arange(s.stride)[None, :]
-        ok = at < n[doc][:, None]
-        base = offsets[:-1][doc][:, None]
-        target = np.where(ok, ids[np.minimum(base + at, len(ids) - 1)], -1)
-        back = first[:, None] + np.arange(s.stride - s.window, s.stride)[None, :] - 1  # inputs: one before their targets
-        real = (back >= 0) & (back < n[doc][:, None])
-        symbols = np.where(real, self.symbol[ids[np.clip(base + back, 0, len(ids) - 1)]], 0)
-        symbols[back == -1] = 1
-        return symbols, target, doc
+        # each document's inputs after `lead` paddings and the begin, its targets from 0, both in whole strides
+        room = many * s.stride
+        base = np.cumsum(room) - room
+        at = np.arange(len(ids)) + np.repeat(base - offsets[:-1], n)
+        target = np.full(int(room.sum()), -1, dtype=np.int64)
+        target[at] = ids
+        wide = room + lead
+        wide[many == 0] = 0
+        far = np.cumsum(wide) - wide
+        symbols = np.zeros(int(wide.sum()) + 1, dtype=np.int64)
+        into = np.arange(len(ids)) + np.repeat(far - offsets[:-1], n) + lead + 1
+        symbols[into] = self.symbol[ids]
+        symbols[(far + room + lead)[many > 0]] = 0  # a document's last id is no input
+        symbols[far[many > 0] + lead] = 1
+        first = np.repeat(far, many) + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * s.stride
+        return np.lib.stride_tricks.sliding_window_view(symbols, s.window)[first] if len(first) else np.zeros((0, s.window), dtype=np.int64), target.reshape(-1, s.stride), doc
 
     def log_probs(self, symbols: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Sum of log probabilities of each window's targets."""
-        s, t, w = self.shape, self.tables, self.weights
+        s, t = self.shape, self.tables
         own = symbols[:, -s.stride:]
-        x = t["q"][own] @ t["k"][symbols].transpose(0, 2, 1)
+        x = t["q"].take(own, axis=0) @ t["k"].take(symbols, axis=0).transpose(0, 2, 1)
         x += t["bias"]
-        x -= (symbols == 0)[:, None, :] * np.float32(1e9)
-        x -= x.max(axis=-1, keepdims=True)
+        if t["bound"] > 60:
+            np.minimum(x, 60, out=x)
         np.exp(x, out=x)
-        x /= x.sum(axis=-1, keepdims=True)
-        h = np.tanh(t["r"][own] + x @ t["v"][symbols])
-        o = h.reshape(-1, s.dim) @ w["U"] + w["u"]
-        o -= o.max(axis=-1, keepdims=True)
+        c = x @ t["v"].take(symbols, axis=0)  # its last column is the sum of the weights
+        z = t["r"].take(own, axis=0)
+        z += c[..., :-1] / np.maximum(c[..., -1:], 1e-30)
+        h = np.empty((*own.shape, s.dim + 1), dtype=np.float32)
+        h[..., -1] = 1
+        np.divide(z, 1 + np.abs(z), out=h[..., :-1])
+        o = h.reshape(-1, s.dim + 1) @ t["U"]
         hit = target.reshape(-1)
         ok = hit >= 0
         hit = np.where(ok, hit, 0)
-        p = o[np.arange(len(o)), self.kind[hit]] - np.log(np.exp(o).sum(axis=-1)) + self.inside[hit]
+        pick = o[np.arange(len(o)), self.kind[hit]]
+        top = o.max() if len(o) else 0.0
+        np.exp(np.subtract(o, top, out=o), out=o)
+        p = pick - top - np.log(o @ np.ones(s.classes, dtype=np.float32)) + self.inside[hit]
         return np.where(ok, p, 0.0).reshape(target.shape).sum(axis=1, dtype=np.float64)
 
-    def score(self, ids: np.ndarray, offsets: np.ndarray, chunk: int = 256) -> np.ndarray:
+    def score(self, ids: np.ndarray, offsets: np.ndarray, chunk: int = 192) -> np.ndarray:
         """log10 probability of each document's ids."""
         out = np.zeros(len(offsets) - 1)
         if not len(ids):
@@ -134,7 +151,8 @@ def gradients(m: Model, symbols: np.ndarray, target: np.ndarray) -> tuple[float,
     q, key, v = xq @ w["Q"] / np.sqrt(d), x @ w["K"], x @ w["V"]
     a = q @ key.transpose(0, 2, 1) + bias(w["B"], s) - (symbols == 0)[:, None, :] * 1e9
     a = _softmax(a)
-    h = np.tanh(xq @ w["R"] + a @ v)
+    z = xq @ w["R"] + a @ v
+    h = z / (1 + np.abs(z))
     p = _softmax(h @ w["U"] + w["u"])
     ok = target >= 0
     kind = m.kind[np.where(ok, target, 0)]
@@ -145,7 +163,7 @@ def gradients(m: Model, symbols: np.ndarray, target: np.ndarray) -> tuple[float,
     np.put_along_axis(do, kind[..., None], (pick - 1)[..., None], axis=-1)
     do *= (ok / n)[..., None]
     g = {"U": np.einsum("bik,bij->kj", h, do), "u": do.sum((0, 1))}
-    dz = do @ w["U"].T * (1 - h * h)
+    dz = do @ w["U"].T / (1 + np.abs(z)) ** 2
     g["R"] = np.einsum("bik,bij->kj", xq, dz)
     dxq = dz @ w["R"].T
     da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
