@@ -42,6 +42,7 @@ class Params:
     length: int = 2048
     window: int = 32           # sequences filled together to the target proportions
     fan_in: int = 256
+    hold: int = 4_000_000      # tokens a task's queues may hold for a late source
 
 
 class Packer:
@@ -52,7 +53,7 @@ class Packer:
         self.deficit = dict.fromkeys(targets, 0.0) | (deficits or {})
         self.queues: dict[str, deque] = {s: deque() for s in targets}
         self.waiting: dict[str, int] = dict.fromkeys(targets, 0)
-        self.total, self.at = 0, 0  # tokens in queues; tokens placed so far
+        self.total, self.at, self.due = 0, 0, 0  # tokens in queues; tokens placed so far; when to look again
 
     def queue(self, source: str) -> str:
         return source if source in self.queues else REST
@@ -97,10 +98,14 @@ class Packer:
             room -= n
 
     def ready(self):
-        """Windows as long as the queues hold several: a source that is late keeps its deficit."""
+        """Windows as long as every source can give its part; a source that is late is waited for until `hold`
+        tokens are in the queues, from then on it keeps its deficit."""
         w = self.p.length * self.p.window
-        while self.total >= 4 * w:
+        if self.total < self.due:
+            return
+        while self.total >= 4 * w and (self.total >= self.p.hold or all(self.waiting[s] >= share * w + self.deficit[s] for s, share in self.targets.items())):
             yield from self.fill(w)
+        self.due = self.total + w // 4
 
     def finish(self):
         """Whole sequences of what is left."""
