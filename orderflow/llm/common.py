@@ -106,9 +106,15 @@ def over_slices(fn: Callable, col: str, limit: int = SLICE_BYTES) -> Callable:
                 out = fn(s, state)
                 if out is not None:
                     yield out
+            release()
     return run
 
 
+def release() -> None:
+    """Give Arrow's free memory back: a worker that is used again would hold it beside its other tasks'."""
+    pa.default_memory_pool().release_unused()
+
+
 class Generations(dict):
     """A bounded cache in two generations: what was used lately stays when the older half goes."""
 

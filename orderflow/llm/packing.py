@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_u32, slices, stored, utf8
+from .common import crc32_u32, release, slices, stored, utf8
 from .encode import encoder
 
 MAX_QUEUES = 4096
@@ -161,6 +161,7 @@ def _pack_texts(p: Params, targets):
                     x = np.concatenate((np.frombuffer(raw, dtype=np.uint32), end))
                     k.add(source, doc_id, 0, x, len(x))
                 yield from _rows(k.ready(), home, 1)
+            release()
         yield from _rows(k.finish(), home, 1)
         yield from _tail(k, home)
     return lambda batches: _batches(rows(batches), _arrow())

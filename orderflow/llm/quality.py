@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import Words, over_slices, ragged, utf8
 
 END = "</s>"
+SLICE = 2 << 20  # bytes of text whose features are in memory together
 
 
 @dataclass
@@ -90,7 +91,7 @@ def _featurize(p: Params):
             rows.append((u.astype(np.int32).tobytes(), (share / share.sum()).astype(np.float32).tobytes()))
         return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([r[0] for r in rows], pa.binary()),
                                            pa.array([r[1] for r in rows], pa.binary())], names=["k", "y", "ids", "shares"])
-    return over_slices(run, "text")
+    return over_slices(run, "text", SLICE)
 
 
 def sgd(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +160,7 @@ def _scorer(p: Params, prior: float, table):
         keep = [i for i, x in enumerate(names) if x != "text"]
         return pa.RecordBatch.from_arrays([cols[i] for i in keep] + [pa.array(score, pa.float64())],
                                           names=[names[i] for i in keep] + ["score"])
-    return over_slices(run, "text")
+    return over_slices(run, "text", SLICE)
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text") -> DataFrame:
