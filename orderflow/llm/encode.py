@@ -32,7 +32,7 @@ class Encoder:
     dropped.  Lower-casing vocabularies are recognised from the tokenizer's own output.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -41,8 +41,8 @@ class Encoder:
         self.lower = plain("A") == plain("a")
         self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.letters = byte_letters()
-        self.cores = Generations(self._core, CACHE_CHUNKS)
-        self.chunks = Generations(self.chunk, CACHE_CHUNKS)
+        self.cores = Generations(self._core, cache)
+        self.chunks = Generations(self.chunk, cache)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -116,11 +116,11 @@ class Encoder:
         return self._redo(t, out)
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache: int = CACHE_CHUNKS) -> Encoder:
+    """The worker's encoder for a vocabulary file; `cache` bounds its memory."""
+    if (path, cache) not in _ENCODERS:
+        _ENCODERS[path, cache] = Encoder(path, cache)
+    return _ENCODERS[path, cache]
 
 
 def vocabulary(name: str) -> str:

@@ -43,6 +43,8 @@ class Params:
     window: int = 32           # sequences filled together to the target proportions
     fan_in: int = 256
     hold: int = 4_000_000      # tokens a task's queues may hold for a late source
+    cache: int = 125_000       # chunks of text whose ids a worker remembers
+    slice_bytes: int = 2 << 20  # bytes of text encoded together
 
 
 class Packer:
@@ -152,10 +154,10 @@ def _arrow():
 
 def _pack_texts(p: Params, targets):
     def rows(batches):
-        enc, home = encoder(p.vocabulary), TaskContext.get().partitionId()
+        enc, home = encoder(p.vocabulary, p.cache), TaskContext.get().partitionId()
         k, end = Packer(targets, p), np.array([p.end_id], dtype=np.uint32)
         for b in batches:
-            for s in slices(b, "text"):
+            for s in slices(b, "text", p.slice_bytes):
                 ids = enc.ids(s.column("text"))
                 for doc_id, source, raw in zip(s.column("doc_id").to_pylist(), s.column("source").to_pylist(), ids):
                     x = np.concatenate((np.frombuffer(raw, dtype=np.uint32), end))
