@@ -26,6 +26,7 @@ from .common import Words, over_slices, ragged, utf8
 
 END = "</s>"
 SLICE = 2 << 20  # bytes of text whose features are in memory together
+PARTS = 16  # the sample reaches the driver in so many parts, one at a time
 
 
 @dataclass
@@ -40,6 +41,10 @@ class Params:
     seed: int = 7
 
 
+def _bucket_type(p: Params):
+    return np.uint16 if p.buckets <= 1 << 16 else np.int32
+
+
 @dataclass
 class Model:
     params: Params
@@ -88,7 +93,7 @@ def _featurize(p: Params):
             code, n = np.unique(np.concatenate((w.codes[a:b], [len(w.dictionary)])), return_counts=True)
             u, at = np.unique(f[ragged(starts[code], sizes[code])], return_inverse=True)
             share = np.bincount(at, weights=np.repeat(n, sizes[code]))
-            rows.append((u.astype(np.int32).tobytes(), (share / share.sum()).astype(np.float32).tobytes()))
+            rows.append((u.astype(_bucket_type(p)).tobytes(), (share / share.sum()).astype(np.float32).tobytes()))
         return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([r[0] for r in rows], pa.binary()),
                                            pa.array([r[1] for r in rows], pa.binary())], names=["k", "y", "ids", "shares"])
     return over_slices(run, "text", SLICE)
@@ -131,8 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None, train:
     sample = (d.join(F.broadcast(lab), "k").select("k", "text", "y")
                .mapInArrow(_featurize(p), "k long, y int, ids binary, shares binary"))
     seen = {}
-    for r in sample.collect():  # at most p.train_rows ids
-        seen.setdefault(r["k"], (r["y"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)))
+    for r in sample.repartition(PARTS).toLocalIterator():  # at most p.train_rows ids
+        seen.setdefault(r["k"], (r["y"], np.frombuffer(r["ids"], _bucket_type(p)), np.frombuffer(r["shares"], np.float32)))
     keys = sorted(seen)  # the same order of steps wherever the rows came from
     y = np.array([seen[k][0] for k in keys], dtype=np.int64)
     if len(set(y.tolist())) < 2:
