@@ -105,7 +105,9 @@ def stream_first_ready(df: DataFrame, seeded: DataFrame | None = None, start=Non
                        watermark: str = "7 days") -> DataFrame:
     """First-ready events, each order once; orders already ready in the
     initial snapshot (``seeded``, a static DataFrame of order_id) are
-    silent.  De-duplication state lasts as long as the watermark."""
+    silent.  De-duplication state lasts as long as the watermark.  Which of
+    an order's ready rows inside one micro-batch is kept is not defined;
+    ``first_ready`` on the batch gives the earliest."""
     r = df.filter(F.col("status").isin(*K.READY_STATUSES))
     if start is not None:
         r = r.filter(F.col("ts") >= F.lit(start))
