@@ -1,4 +1,5 @@
-"""A small causal self-attention model over subword ids, trained and applied in numpy.
+"""A small causal self-attention model over subword ids, trained and applied in numpy; tasks train from a
+common state (``Trainer``), which the caller averages.
 
 One attention layer with learned relative-position biases.  The next subword's probability is that of its
 class given the context (the model) times that of the subword in its class (corpus counts, add-one), so it
@@ -7,7 +8,7 @@ sums to one over the vocabulary.  Frequent subwords are classes and inputs of th
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -19,8 +20,8 @@ class Shape:
     symbols: int = 1024     # of the input
     window: int = 24        # inputs seen together
     stride: int = 18        # of which the last `stride` are scored
-    steps: int = 500
-    batch: int = 64
+    steps: int = 500        # at least: a small corpus is passed again
+    batch: int = 128
     rate: float = 0.01
     seed: int = 3
 
@@ -39,6 +40,12 @@ def class_table(counts: np.ndarray, classes: int) -> np.ndarray:
 
 
 def _softmax(x):
+    if x.size and x.max() <= 60:  # the largest of a row is taken off only where exp needs it
+        e = np.exp(x)
+        total = e @ np.ones((x.shape[-1], 1), dtype=x.dtype)
+        if total.min() > 1e-20:
+            e /= total
+            return e
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
@@ -143,58 +150,100 @@ def build(counts: np.ndarray, shape: Shape) -> Model:
     return Model(shape, symbol, kind, inside, w).prepare()
 
 
+def _scatter(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """n rows: the sum of the rows of x at each index."""
+    wide = x.shape[-1]
+    flat = (at.reshape(-1, 1) * wide + np.arange(wide)).ravel()
+    return np.bincount(flat, weights=x.ravel(), minlength=n * wide).reshape(n, wide).astype(x.dtype)
+
+
 def gradients(m: Model, symbols: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-    """Mean loss of the classes and its gradient in every weight."""
+    """Mean loss of the classes and its gradient in every weight; projections are made and pulled back once a symbol."""
     s, w = m.shape, m.weights
-    d, k = s.dim, s.stride
-    x, xq = w["E"][symbols], w["E"][symbols[:, -k:]]
-    q, key, v = xq @ w["Q"] / np.sqrt(d), x @ w["K"], x @ w["V"]
-    a = q @ key.transpose(0, 2, 1) + bias(w["B"], s) - (symbols == 0)[:, None, :] * 1e9
+    d, k, e = s.dim, s.stride, w["E"]
+    scale = e.dtype.type(1 / np.sqrt(d))
+    to = np.hstack((w["Q"] * scale, w["R"], w["K"], w["V"]))
+    table = e @ to
+    own = symbols[:, -k:]
+    qr, kv = table[:, :2 * d].take(own, axis=0), table[:, 2 * d:].take(symbols, axis=0)
+    q, key, v = qr[..., :d], kv[..., :d], kv[..., d:]
+    a = q @ key.transpose(0, 2, 1)
+    a += bias(w["B"], s)
+    a += np.where(symbols == 0, e.dtype.type(-1e9), e.dtype.type(0))[:, None, :]
     a = _softmax(a)
-    z = xq @ w["R"] + a @ v
+    c = a @ v
+    z = qr[..., d:] + c
     h = z / (1 + np.abs(z))
-    p = _softmax(h @ w["U"] + w["u"])
-    ok = target >= 0
-    kind = m.kind[np.where(ok, target, 0)]
+    flat = h.reshape(-1, d)
+    p = _softmax(flat @ w["U"] + w["u"])
+    hit = target.reshape(-1)
+    ok = hit >= 0
+    at = np.arange(len(hit)), m.kind[np.where(ok, hit, 0)]
     n = max(1, int(ok.sum()))
-    pick = np.take_along_axis(p, kind[..., None], axis=-1)[..., 0]
-    loss = -(np.log(pick + 1e-30) * ok).sum() / n
-    do = p.copy()
-    np.put_along_axis(do, kind[..., None], (pick - 1)[..., None], axis=-1)
-    do *= (ok / n)[..., None]
-    g = {"U": np.einsum("bik,bij->kj", h, do), "u": do.sum((0, 1))}
-    dz = do @ w["U"].T / (1 + np.abs(z)) ** 2
-    g["R"] = np.einsum("bik,bij->kj", xq, dz)
-    dxq = dz @ w["R"].T
-    da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (a * da).sum(-1, keepdims=True))
+    loss = -(np.log(p[at] + 1e-30) * ok).sum() / n
+    p[at] -= 1
+    p *= (ok / e.dtype.type(n))[:, None]
+    g = {"U": flat.T @ p, "u": p.sum(0)}
+    dz = (p @ w["U"].T).reshape(h.shape)
+    dz /= (1 + np.abs(z)) ** 2
+    ds = a * (dz @ v.transpose(0, 2, 1) - (dz * c).sum(-1, keepdims=True))
     gap = np.arange(s.window - k, s.window)[:, None] - np.arange(s.window)[None, :]
     g["B"] = np.bincount(np.maximum(gap, 0).ravel(), weights=(ds.sum(0) * (gap >= 0)).ravel(), minlength=s.window)
-    dq, dk = ds @ key / np.sqrt(d), ds.transpose(0, 2, 1) @ q
-    g["Q"], g["K"], g["V"] = np.einsum("bik,bij->kj", xq, dq), np.einsum("bik,bij->kj", x, dk), np.einsum("bik,bij->kj", x, dv)
-    dxq += dq @ w["Q"].T
-    dx = dk @ w["K"].T + dv @ w["V"].T
-    dx[:, -k:] += dxq
-    g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], symbols, dx)
+    mine = _scatter(own, np.concatenate((ds @ key, dz), axis=-1), len(e))
+    theirs = _scatter(symbols, np.concatenate((ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz), axis=-1), len(e))
+    back = np.hstack((mine, theirs))
+    g["E"] = back @ to.T
+    g["Q"], g["R"], g["K"], g["V"] = np.split(e.T @ back, 4, axis=1)
+    g["Q"] = g["Q"] * scale
     return loss, g
 
 
-def train(m: Model, ids: np.ndarray, offsets: np.ndarray) -> Model:
-    """Adam on random batches of windows."""
-    s = m.shape
-    if not len(ids):
-        return m
-    symbols, target, _ = m.windows(ids, offsets)
-    rng = np.random.default_rng(s.seed)
-    one, two = ({k: np.zeros_like(v) for k, v in m.weights.items()} for _ in range(2))
-    for step in range(1, s.steps + 1):
-        at = rng.integers(0, len(symbols), s.batch)
-        _, g = gradients(m, symbols[at], target[at])
-        rate = s.rate * (1 - (step - 1) / s.steps)
-        for k, x in g.items():
-            one[k] += 0.1 * (x - one[k])
-            two[k] += 0.001 * (x * x - two[k])
-            m.weights[k] -= rate * (one[k] / (1 - 0.9 ** step)) / (np.sqrt(two[k] / (1 - 0.999 ** step)) + 1e-8)
-    m.weights = {k: v.astype(np.float32) for k, v in m.weights.items()}
-    return m.prepare()
+def _views(m: Model, flat: np.ndarray) -> dict:
+    """The weights as parts of one vector."""
+    out, at = {}, 0
+    for k in sorted(m.weights):
+        n = m.weights[k].size
+        out[k] = flat[at:at + n].reshape(m.weights[k].shape)
+        at += n
+    return out
+
+
+def state_of(m: Model) -> np.ndarray:
+    """What training starts from, as one vector: the weights, Adam's two moments and the steps taken."""
+    w = np.concatenate([m.weights[k].ravel() for k in sorted(m.weights)])
+    return np.concatenate((w, np.zeros(2 * len(w) + 1)))
+
+
+def with_state(m: Model, state: np.ndarray) -> Model:
+    """The model with a state's weights, ready to score."""
+    return replace(m, weights=_views(m, state[:len(state) // 3].astype(np.float32))).prepare()
+
+
+class Trainer:
+    """Adam over every window that is given, from a common state."""
+
+    def __init__(self, m: Model, state: np.ndarray):
+        self.w, self.one, self.two = (x.astype(np.float32) for x in np.split(state[:-1], 3))
+        self.steps, self.windows = float(state[-1]), 0
+        self.m = replace(m, weights=_views(m, self.w), tables={})
+        self.rng = np.random.default_rng(m.shape.seed)
+
+    def run(self, ids: np.ndarray, offsets: np.ndarray, rate: float, passes: int = 1) -> None:
+        """Every window `passes` times, in batches of random order."""
+        symbols, target, _ = self.m.windows(ids, offsets)
+        n = len(symbols)
+        if not n:
+            return
+        order = np.concatenate([self.rng.permutation(n) for _ in range(passes)])
+        for at in np.array_split(order, -(-len(order) // self.m.shape.batch)):
+            _, g = gradients(self.m, symbols[at], target[at])
+            x = np.concatenate([g[k].ravel() for k in sorted(g)]).astype(np.float32)
+            self.steps += 1
+            self.one += np.float32(0.1) * (x - self.one)
+            self.two += np.float32(0.001) * (x * x - self.two)
+            far = rate / (1 - 0.9 ** self.steps)
+            self.w -= np.float32(far) * self.one / (np.sqrt(self.two * np.float32(1 / (1 - 0.999 ** self.steps))) + np.float32(1e-8))
+        self.windows += n
+
+    def state(self) -> np.ndarray:
+        return np.concatenate((self.w, self.one, self.two, [self.steps])).astype(np.float64)

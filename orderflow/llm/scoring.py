@@ -4,12 +4,16 @@ Two scores come from one pass over the texts.  The base is an add-one word model
 training document; words with 1/HEAVY of all tokens or more (HEAVY at most) are broadcast and scored in
 place, each block of documents sends its other words once, with the documents that hold them, to the word's
 count, and the sums come back by block.  The model is a causal self-attention network over subword ids
-(``attention``): its weights are trained in numpy on a bounded sample of training documents (`sample_rows`,
-the smallest hashes of the id), its subword statistics are the counts of the whole training corpus, and
-overlapping windows score each subword once.
+(``attention``): its subword statistics are the counts of the whole training corpus, its weights are trained
+on every window of every training document, and overlapping windows score each subword once.  Training runs in
+rounds over disjoint shares of the documents, each twice the share before it: every task starts from the common
+state, passes over its windows with numpy, and the tasks' states are averaged by their windows (treeAggregate),
+so what is learned from grows with the corpus and the driver holds one state.  A task has TASK_TOKENS subwords
+or more, else it would average states that have hardly moved; a corpus of under `steps` batches is passed again.
+The weights depend on how the documents lie in files, as sums depend on their order.
 
 Defined cases: null and empty texts are the end alone; null ids are scored, and train as the empty id does;
-repeated rows are counted and scored each; without training rows every count is 0 and the weights are untrained.
+repeated rows are counted, trained on and scored each; without training rows every count is 0 and the weights are untrained.
 """
 
 from __future__ import annotations
@@ -23,12 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention import Shape, build, train
-from .common import Words, binary_array, over_slices, stored, text_of
+from .attention import Model, Shape, Trainer, build, state_of, with_state
+from .common import Words, binary_array, over_slices, release, slices, stored, text_of
 from .encode import encoder
 
 HEAVY = 100_000
 BLOCK_BYTES = 12 << 20
+TRAIN_BYTES = 2 << 20
+TASK_TOKENS = 2_000_000
+ROUNDS = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16))  # from and to, in 16 shares of the documents
 PAIR = np.dtype([("row", "<u4"), ("n", "<u4")])
 SUM = np.dtype([("row", "<u4"), ("known", "<u4"), ("value", "<f8")])
 PASS = "word string, block long, pairs binary, row int, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
@@ -39,7 +46,6 @@ PASS_ARROW = pa.schema([("word", pa.string()), ("block", pa.int64()), ("pairs",
 @dataclass
 class Params:
     vocabulary: str = ""
-    sample_rows: int = 400      # bound on the documents that the weights are trained on
     shape: Shape = field(default_factory=Shape)
 
 
@@ -189,8 +195,7 @@ def score(docs: DataFrame, held_out: Column, params: Params, id_col: str = "doc_
     for r in sub:
         n_sub[r["id"]] = r["n"]
     n_sub[-1] = end_count
-    sample = rows.filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_rows).collect()  # bounded
-    model = train(build(n_sub, p.shape), *sequences([r["text"] for r in sample], p.vocabulary, size - 1))
+    model = fit(rows, build(n_sub, p.shape), p.vocabulary, int(n_sub.sum()))
     part = x.mapInArrow(_pass(p.vocabulary, spark.sparkContext.broadcast(([r["word"] for r in heavy], [r["c"] for r in heavy])),
                               spark.sparkContext.broadcast(model)), PASS)
     part = stored(part, "scored")
@@ -206,7 +211,46 @@ def score(docs: DataFrame, held_out: Column, params: Params, id_col: str = "doc_
                             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
-def sequences(texts: list[str], vocabulary: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+def sequences(texts: pa.Array, vocabulary: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Subword ids of texts, each with its end."""
-    ids, offsets = encoder(vocabulary).of_words(Words(pa.array(texts, pa.string()), lower=True)) if texts else (np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64))
+    ids, offsets = encoder(vocabulary).of_words(Words(texts, lower=True))
     return np.insert(np.minimum(ids, end).astype(np.int64), offsets[1:], end), offsets + np.arange(len(offsets))
+
+
+def _train(vocabulary: str, common, rate: float, passes: int):
+    """Texts -> the task's state after all their windows, and their number."""
+    def run(batches):
+        trainer = None
+        for b in batches:
+            for s in slices(b, "text", TRAIN_BYTES):
+                trainer = trainer or Trainer(*common.value)
+                trainer.run(*sequences(s.column("text"), vocabulary, len(trainer.m.kind) - 1), rate, passes)
+            release()
+        if trainer:
+            yield pa.RecordBatch.from_arrays([pa.array([trainer.state().tobytes()], pa.binary()), pa.array([trainer.windows])], names=["state", "windows"])
+    return run
+
+
+def _add(total, row):
+    state, n = np.frombuffer(row["state"]) * row["windows"], row["windows"]
+    return (state, n) if total is None else (total[0] + state, total[1] + n)
+
+
+def _merge(a, b):
+    return b if a is None else a if b is None else (a[0] + b[0], a[1] + b[1])
+
+
+def fit(rows: DataFrame, model: Model, vocabulary: str, tokens: int) -> Model:
+    """The model trained on all rows (doc_id, text), which have `tokens` subwords."""
+    sc, s, state = rows.sparkSession.sparkContext, model.shape, state_of(model)
+    passes = max(1, -(-s.steps * s.batch * s.stride // max(tokens, 1)))
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS[-1][1]))
+    x = rows.select("text", share.alias("share")).coalesce(max(1, tokens // TASK_TOKENS))
+    for a, b in ROUNDS:
+        common = sc.broadcast((model, state))
+        rate = s.rate * (1 - (a + b) / 2 / ROUNDS[-1][1])
+        done = x.filter((F.col("share") >= a) & (F.col("share") < b)).select("text").mapInArrow(_train(vocabulary, common, rate, passes), "state binary, windows long")
+        total = done.rdd.treeAggregate(None, _add, _merge)
+        if total is not None:
+            state = total[0] / total[1]
+    return with_state(model, state)

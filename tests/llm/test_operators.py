@@ -176,6 +176,25 @@ def test_scoring_base(spark, docs, none):
     assert scoring.score(none, F.lit(False), p).count() == 0
 
 
+def test_attention_trains_on_every_window(spark, monkeypatch):
+    path = vocabulary("word_bpe_49k.json")
+    shape = attention.Shape(steps=1, batch=4, rate=0.05)
+    texts = [" ".join(f"one two three four {'five six' if i % 3 else 'seven'}" for _ in range(1 + i % 40)) for i in range(900)]
+    rows = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    end = Encoder(path).tok.get_vocab_size()
+    ids, offsets = scoring.sequences(pa.array(texts), path, end)
+    fresh = attention.build(np.bincount(ids, minlength=end + 1).astype(float), shape)
+    before = fresh.score(ids, offsets).sum()
+    got = scoring.fit(rows, fresh, path, len(ids))
+    assert got.score(ids, offsets).sum() > before + 0.1 * len(ids)
+    monkeypatch.setattr(scoring, "with_state", lambda m, state: state[-1])
+    steps, windows = scoring.fit(rows, fresh, path, len(ids)), len(fresh.windows(ids, offsets)[0])
+    # one task: as many batches as all windows fill, besides one that is not full in each round and slice
+    assert windows / 4 <= steps <= windows / 4 + 5 * 5
+    assert len({i for a, b in scoring.ROUNDS for i in range(a, b)}) == sum(b - a for a, b in scoring.ROUNDS) == scoring.ROUNDS[-1][1]
+    assert scoring.fit(rows.filter("false"), fresh, path, 0) == 0
+
+
 def test_simhash(spark, docs, none):
     rng = np.random.default_rng(1)
     base = " ".join(f"t{rng.integers(500)}" for _ in range(300)).split()
