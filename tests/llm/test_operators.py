@@ -159,6 +159,19 @@ def test_attention_gradients_and_probabilities():
     assert total == pytest.approx(10 ** m.score(np.array([3, 4]), np.array([0, 2]))[0], rel=1e-4)
 
 
+def test_attention_scores_as_its_gradients_see_it():
+    s = attention.Shape()
+    assert (s.window, s.stride, s.classes) >= (32, 24, 64) and s.window - s.stride >= 8
+    rng = np.random.default_rng(4)
+    ids, offsets = rng.integers(0, 300, 500), np.array([0, 130, 130, 131, 500])
+    for far in (1, 40):  # also with products and outputs that exp cannot take as they are
+        m = attention.build(rng.integers(1, 50, 300).astype(float), s)
+        m.weights = {k: v * (far if k in "QU" else 1) for k, v in m.weights.items()}
+        loss, _ = attention.gradients(m, *m.windows(ids, offsets)[:2])
+        exp = -loss * len(ids) + m.inside[ids].sum()
+        assert m.prepare().score(ids, offsets).sum() * np.log(10) == pytest.approx(exp, rel=1e-4)
+
+
 def test_scoring_base(spark, docs, none):
     p = scoring.Params(vocabulary=vocabulary("word_bpe_49k.json"), shape=attention.Shape(steps=5))
     d = docs.select("doc_id", "text", "source")
