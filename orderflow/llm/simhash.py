@@ -16,6 +16,8 @@ never a component's smallest id (a component of null ids alone has a null id).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -227,9 +229,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4,
-                    segments: int = 3) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id and the component's root fingerprint."""
-    fps = stored(fingerprint_rows(docs, [F.col(id_col).alias("doc_id")], text_col, words), "fingerprints")
+                    segments: int = 3, keep: Sequence[Column] = ()) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, the component's root fingerprint and `keep`."""
+    fps = stored(fingerprint_rows(docs, [F.col(id_col).alias("doc_id"), *keep], text_col, words), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "classes")
     roots = components(links(classes.select("fp"), distance, segments))
     linked = stored(classes.join(roots, classes["fp"] == roots["node"], "left")
@@ -237,4 +239,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
     by_fp = attach(linked.withColumnRenamed("n", "rows"), stored(low, "low"), "root").withColumnRenamed("rows", "n")
     return (attach(fps, by_fp, "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"))
+            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *fps.columns[1:-1]))

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from orderflow.llm import ann, attention, decontam, packing, quality, records, scoring, secrets, simhash, substrings, warc
 from orderflow.llm.common import attach, recurring
 from orderflow.llm.encode import Encoder, vocabulary
@@ -239,6 +240,35 @@ def test_simhash(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, docs, none):
+    base = " ".join(f"t{i * i % 97}" for i in range(300))
+    more = [(None, "a null id and its own text about rivers", "a"), (None, "another null id that tells of mountains", "a"), (None, base, "a"), (70, base, "b"), (60, base, "c"), (60, base, "c"),
+            (60, base, None), (60, "the same id with quite another text on ships", "a"), (5, "the same id with quite another text on ships", "a"), (80, "only one of its id", "a"),
+            (80, "a second text under that id", "a"), (80, "only one of its id", "b")]
+    d = docs.union(spark.createDataFrame([(*r, 1.0) for r in more], docs.schema))
+    rows = [tuple(r) for r in d.collect()]
+    fp = simhash.fingerprints(pa.array([r[1] or "" for r in rows]), 4).astype(np.uint64)
+    at = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if int(fp[i] ^ fp[j]).bit_count() <= 4:
+                at = [at[j] if x == at[i] else x for x in at]
+    groups = collections.defaultdict(list)
+    for r, g in zip(rows, at):
+        groups[g].append(r)
+    got = corpus_pipeline.keep_one_of_each(spark, d, "")
+    assert got.columns == d.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert len(kept) == len(groups)
+    for g in groups.values():
+        mine = [r for r in kept if r in g]
+        ids = [r[0] for r in g if r[0] is not None]
+        assert len(mine) == 1 and mine[0][0] == (min(ids) if ids else None)
+    assert sum(r[0] is None for r in kept) == 3 and sum(r[0] == 80 for r in kept) == 2
+    assert sorted(map(key, kept)) == sorted(key(tuple(r)) for r in corpus_pipeline.keep_one_of_each(spark, d.repartition(7), "").collect())
+    assert corpus_pipeline.keep_one_of_each(spark, none, "").count() == 0
+
+
 def test_links_in_split_buckets(spark):
     rng = np.random.default_rng(2)
     fps = {int(np.uint64(0).astype(np.int64))} | {sum(1 << int(b) for b in rng.integers(0, 63, 3)) for _ in range(400)}
