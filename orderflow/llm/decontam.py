@@ -7,8 +7,10 @@ split in budget + 1 pieces: a passage within the budget holds one piece unchange
 bit-parallel distance decides there.  Items are dealt in shards of at most `shard_chars` characters; each
 shard's automaton is broadcast (bounded by that size) and runs over all documents.
 
-Defined cases: null and empty texts match nothing; items shorter than `min_chars` after normalising take no
-part; repeated items count once per id; null ids are kept.
+An item of so few characters that its budget is 0 is one piece and must stand as whole words: no letter or
+digit joins it on either side, except in scripts written without spaces.
+
+Defined cases: null and empty texts match nothing, nor do items empty after normalising; repeated items count once per id; null ids are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from .common import over_slices, utf8
 @dataclass
 class Params:
     max_error: float = 0.05     # edits per character of an item
-    min_chars: int = 40
     shard_chars: int = 4_000_000
 
 
@@ -40,6 +41,20 @@ def split(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cut, cut[1:])]
 
 
+# scripts written without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana and ideographs
+UNSPACED = ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xABFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B2FF), (0x20000, 0x3FFFF))
+
+
+def joined(a: str, b: str) -> bool:
+    """Whether two neighbouring characters are of one word."""
+    return a.isalnum() and b.isalnum() and not any(x <= ord(c) <= y for c in (a, b) for x, y in UNSPACED)
+
+
+def whole(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] begins and ends where words do."""
+    return not (a > 0 and joined(text[a - 1], text[a])) and not (b < len(text) and joined(text[b - 1], text[b]))
+
+
 class Myers:
     """Least edits between a pattern and any passage of a text, a bit per pattern character."""
 
@@ -92,9 +107,14 @@ class Matcher:
         if not self.items or not text:
             return {}
         spans: dict[int, list[list[int]]] = {}
+        out: dict[int, int] = {}
         for end, (size, where) in self.auto.iter(text):
             for n, start in where:
-                _, t, k = self.items[n]
+                i, t, k = self.items[n]
+                if not k:  # the piece is the item
+                    if out.get(i) != 0 and whole(text, end + 1 - size, end + 1):
+                        out[i] = 0
+                    continue
                 a = end + 1 - size - start
                 own = spans.setdefault(n, [])
                 lo, hi = max(0, a - k), min(len(text), a + len(t) + k)
@@ -102,7 +122,6 @@ class Matcher:
                     own[-1][0], own[-1][1] = min(lo, own[-1][0]), max(hi, own[-1][1])
                 else:
                     own.append([lo, hi])
-        out = {}
         for n, own in spans.items():
             i, t, k = self.items[n]
             m = self.myers.setdefault(n, Myers(t))
@@ -129,7 +148,7 @@ def _shards(rows, p: Params):
     shard, size = [], 0
     for r in rows:
         t = normal(r[1])
-        if len(t) < p.min_chars:
+        if not t:
             continue
         if shard and size + len(t) > p.shard_chars:
             yield shard

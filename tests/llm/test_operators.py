@@ -329,6 +329,24 @@ def test_decontamination(spark, docs, none):
     assert decontam.matches(none, bench, [F.col("doc_id")]).count() == 0 and decontam.matches(docs, bench.filter("false"), [F.col("doc_id")]).count() == docs.count()
 
 
+def test_decontamination_by_short_items(spark, docs, none):
+    items = ["Paris", "x = 4", "who wrote it?", "7", "the  answer\nis 42 then", "what is the name of that river", "東京", " \t"]
+    bench = spark.createDataFrame([*enumerate(items), (9, None)], "item_id long, text string")
+    texts = ["In PARIS,", "comparison parisian", "paris", "so x = 4.", "x = 45", "Who  wrote\nit? nobody", "a 7 b", "a 77 b", "the answer is 42 then", "he said the answr is 42 then",
+             "what is the name of that rivers", "what is the nme of that river", "what is th nme of that rivr", "私は東京に住む", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def holds(item, text):
+        n, t = decontam.normal(item), decontam.normal(text or "")
+        if len(n) >= 20:
+            return edits(n, t) <= int(0.05 * len(n))
+        return bool(n) and re.search((r"(?<![a-z0-9])" if n[0].isascii() else "") + re.escape(n) + (r"(?![a-z0-9])" if n[-1].isalnum() and n.isascii() else ""), t) is not None
+    got = {r.doc_id: [h["item"] for h in r.hits] for r in decontam.matches(d, bench, [F.col("doc_id")]).collect()}
+    assert got == {i: [n for n, item in enumerate(items) if holds(item, t)] for i, t in enumerate(texts)}
+    assert [i for i, h in got.items() if not h] == [1, 4, 7, 12, 14, 15]
+    assert sorted(r.doc_id for r in decontam.decontaminate(d, bench).collect()) == [1, 4, 7, 12, 14, 15]
+
+
 @pytest.mark.parametrize("targets", [None, {"a": 3.0, "b": 1.0}])
 def test_packing(spark, docs, none, targets):
     p = packing.Params(vocabulary=vocabulary("word_bpe_49k.json"), length=64, window=4, fan_in=2)
