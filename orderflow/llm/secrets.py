@@ -50,6 +50,14 @@ MORE = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE + MORE
+# What is redacted of a private key is the whole block: to the END line of its kind with no other BEGIN or END
+# between, else to the end of the key's lines (headers, full lines and a shorter last one).  Possessive, so that
+# no text makes the regex engine recurse.  The scan's span stays the BEGIN line, as its SQL has it.
+LINE = r"(?:\s|\\[rn])"
+KEY = Rule("private_key", r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END \1PRIVATE KEY-----|"
+           rf"(?:{LINE}*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/]{{16,}}+={{0,2}}+(?![A-Za-z0-9+/=_-])))*+"
+           rf"(?:{LINE}++[A-Za-z0-9+/]++={{0,2}}+(?=\\[rn]|[\r\n]|(?![\s\S])))?+)")
+REDACTED = tuple(KEY if r.kind == KEY.kind else r for r in RULES)
 GAP = "\x00"
 MOST = 64
 
@@ -189,7 +197,7 @@ def _of_kind(n: int):
     return lambda s: s["kind"] == n
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", rules=RULES) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", rules=REDACTED) -> DataFrame:
     """The rows of docs with each secret (overlapping spans as one) replaced by a mark; other texts, null too, stay."""
     cols = docs.columns
     x = find(docs, [F.col(c).alias(f"c{i}") for i, c in enumerate(cols)], id_col, text_col, rules)
