@@ -208,9 +208,31 @@ def last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def queue_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every queue order, a row per line with the line's part as the drink; an order without lines has one row."""
+    q = queue(spark, sf_dir).select("id", "customer_key", "customer_name", "temperature")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    j = (q.join(li, q.id == li.l_orderkey.cast("string"), "left")
+          .join(p, F.col("l_partkey") == F.col("p_partkey"), "left"))
+    k = F.col("customer_key")
+    return j.select(
+        F.concat_ws("-", "id", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+        F.when(k % 11 == 0, F.lit("")).when(k % 7 == 0, F.col("customer_name"))
+         .otherwise(F.replace(F.col("customer_name"), F.lit("#"), F.lit(" "))).alias("customer_name"),
+        F.when(F.col("p_size") % 9 == 0, F.concat(F.lit("retired-"), F.lower("p_type")))
+         .otherwise(F.lower("p_type")).alias("drink_id"),
+        _cap(F.col("p_type")).alias("drink_label"),
+        F.col("temperature").alias("temp"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.col("p_brand")).alias("milk"),
+        F.split(F.col("p_name"), " ").alias("syrups"),
+        F.lit("").alias("notes"),
+    )
+
+
 VIEWS = {
     "archive": archive, "queue": queue, "catalogue": catalogue, "inventory": inventory, "menu": menu,
-    "last_order": last_order, "status_changes": status_changes,
+    "last_order": last_order, "queue_orders": queue_orders, "status_changes": status_changes,
     "subscription_updates": subscription_updates, "settings_log": settings_log,
 }
 

@@ -219,3 +219,26 @@ def required_fields(spark: SparkSession, sf: str) -> DataFrame:
     ok, bad = QY.check_required(V.last_order(spark, sf), ["customer_name", "milk"])
     return (ok.select(F.lit(True).alias("valid")).unionByName(bad.select(F.lit(False).alias("valid")))
               .groupBy("valid").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+@register("validate_queue_orders")
+def validate_queue_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """V1: every line of every queue order checked against menu and stock."""
+    v = O.validate_orders(V.queue_orders(spark, sf), V.menu(spark, sf), V.inventory(spark, sf))
+    return v.select("id", "error_drink", "error_name", "error_milk", "error_syrups", "valid")
+
+
+@register("enrich_queue_orders")
+def enrich_queue_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of every queue order with menu row and stock flags."""
+    e = O.enrich_orders(V.queue_orders(spark, sf), V.menu(spark, sf), V.inventory(spark, sf))
+    return e.select("id", "m_id", "m_has_milk", "milk_in_stock", "first_out_of_stock_syrup",
+                    F.array_join("in_stock_syrups", ",").alias("in_stock_syrups"))
+
+
+@register("required_queue_fields")
+def required_queue_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """V5: lines of all queue orders with a non-blank name and milk, counted valid/invalid."""
+    ok, bad = QY.check_required(V.queue_orders(spark, sf), ["customer_name", "milk"])
+    return (ok.select(F.lit(True).alias("valid")).unionByName(bad.select(F.lit(False).alias("valid")))
+              .groupBy("valid").agg(F.count(F.lit(1)).alias("cnt")))

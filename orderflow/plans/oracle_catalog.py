@@ -305,3 +305,22 @@ WITH {LAST_ORDER.strip()}
 SELECT coalesce(trim(customer_name) <> '', false) AND coalesce(trim(milk) <> '', false) AS valid, count(*) AS cnt
 FROM lo GROUP BY 1
 """
+
+QUEUE_ORDERS = f"""
+{QUEUE.strip()},
+lines AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
+lo AS (
+  SELECT concat_ws('-', queue.id, l_linenumber, l_partkey, l_suppkey) AS id,
+         CASE WHEN c_custkey % 11 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN c_name
+              ELSE replace(c_name, '#', ' ') END AS customer_name,
+         CASE WHEN p_size % 9 = 0 THEN 'retired-' || lower(p_type) ELSE lower(p_type) END AS drink_id,
+         CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS milk,
+         string_split(p_name, ' ') AS syrups
+  FROM queue LEFT JOIN lines ON queue.id = CAST(l_orderkey AS VARCHAR)
+       LEFT JOIN part ON l_partkey = p_partkey
+       JOIN customer ON customer_key = c_custkey
+)"""
+
+for _last, _all in (("validate_orders", "validate_queue_orders"), ("enrich_orders", "enrich_queue_orders"),
+                    ("required_fields", "required_queue_fields")):
+    SQL[_all] = SQL[_last].replace(LAST_ORDER.strip(), QUEUE_ORDERS.strip())

@@ -143,3 +143,10 @@ def test_menu_doc_member_kinds(spark):
         "doc_id int, drinks string, milks string, syrups string")
     got = {r.doc_id: r.doc_ok for r in C.check_menu_doc(docs).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_all_queue_orders_are_checked(spark):
+    from conftest import SMOKE
+    from orderflow.plans import adapters as V
+    rows = V.queue_orders(spark, SMOKE).select(F.substring_index("id", "-", 1).alias("order")).distinct()
+    assert rows.count() == V.queue(spark, SMOKE).count()
