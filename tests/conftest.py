@@ -27,4 +27,7 @@ def scratch():
     return tempfile.mkdtemp(prefix="orderflow-test-")
 
 
-SMOKE = "/root/testdata/sf0.001"
+@pytest.fixture(scope="session")
+def smoke():
+    """Folder of the smallest driver tables."""
+    return "/root/testdata/sf0.001"

@@ -145,8 +145,7 @@ def test_menu_doc_member_kinds(spark):
     assert got == {1: True, 2: False, 3: False, 4: False}
 
 
-def test_all_queue_orders_are_checked(spark):
-    from conftest import SMOKE
+def test_all_queue_orders_are_checked(spark, smoke):
     from orderflow.plans import adapters as V
-    rows = V.queue_orders(spark, SMOKE).select(F.substring_index("id", "-", 1).alias("order")).distinct()
-    assert rows.count() == V.queue(spark, SMOKE).count()
+    rows = V.queue_orders(spark, smoke).select(F.substring_index("id", "-", 1).alias("order")).distinct()
+    assert rows.count() == V.queue(spark, smoke).count()
