@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, packing, quality, records, scoring, secrets, simhash, substrings, warc
+from . import ann, bytepairs, decontam, infill, packing, quality, records, scoring, secrets, simhash, substrings, warc
 from .common import crc_mod, ship
 from .encode import vocabulary
 from .oracle import SQL  # noqa: F401
@@ -97,3 +97,22 @@ def op10_records(spark, sf_dir):
     """All documents' token ids written as framed records in id order and read back."""
     files = records.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
     return records.read(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@register("op12_infill")
+def op12_infill(spark, sf_dir):
+    """Every document cut in three for infilling, and restored from the result."""
+    x = infill.restore(infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return x.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                    F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+@register("op13_bytepairs")
+def op13_bytepairs(spark, sf_dir):
+    """Every document's byte-level BPE ids, and the text decoded from them."""
+    import public_tokenizers
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    x = bytepairs.decode(bytepairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    return x.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                    F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                    F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
