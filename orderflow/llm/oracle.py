@@ -70,3 +70,38 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(t) AS restored_sha256
 FROM p
 """
+
+# crc32 of a decimal, bit by bit: the reflected polynomial
+_CRC = "list_reduce(list_transform(string_split(CAST(k AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), " \
+       "lambda crc, c: list_reduce(range(8), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END, xor(crc, c)), 4294967295)"
+SQL["op11_prefixes"] = f"""
+WITH t AS (
+  SELECT conv_id AS k, coalesce(text, '') AS text, CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '') AS body, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT k, text, sha256(body) AS d, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, sha256(body)) AS place FROM t),
+ids AS (SELECT k, k - k % 100 AS base, xor({_CRC}, 4294967295) % 6 AS h FROM (SELECT DISTINCT k FROM t)),
+mixed AS (
+  SELECT ids.k, 0 AS own, o.place, o.d, o.text FROM ids JOIN o ON o.k = ids.base AND o.place <= ids.h
+  UNION ALL SELECT o.k, 1, o.place, o.d, o.text FROM o JOIN ids USING (k) WHERE o.place > ids.h),
+turns AS (SELECT k, text, d, row_number() OVER (PARTITION BY k ORDER BY own, place) AS depth FROM mixed),
+paths AS (
+  SELECT k, 0 AS depth, '' AS path, 0 AS chars FROM ids
+  UNION ALL SELECT k, depth, string_agg(d, '/') OVER (PARTITION BY k ORDER BY depth), length(text) FROM turns),
+lasts AS (SELECT k, max(depth) AS depth FROM paths GROUP BY k),
+nodes AS (
+  SELECT path, depth, min(k) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FILTER (WHERE (k, depth) IN (SELECT (k, depth) FROM lasts)), '')) AS ends_sha256
+  FROM paths GROUP BY path, depth),
+up AS (
+  SELECT n.path, n.depth, q.conv_id AS parent_conv_id FROM nodes n JOIN paths p ON p.k = n.conv_id AND p.depth = n.depth - 1
+  JOIN nodes q ON q.path = p.path AND q.depth = p.depth),
+kids AS (SELECT p.path, p.depth, count(*) AS n_children FROM nodes n JOIN paths p ON p.k = n.conv_id AND p.depth = n.depth - 1 GROUP BY ALL),
+totals AS (
+  SELECT p.path, p.depth, count(*) FILTER (WHERE kids.n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM nodes n LEFT JOIN kids ON kids.path = n.path AND kids.depth = n.depth
+  JOIN paths p ON p.k = n.conv_id AND p.depth <= n.depth GROUP BY ALL)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.parent_conv_id, n.n_convs, coalesce(kids.n_children, 0) AS n_children, totals.n_leaves,
+       CAST(totals.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals ON totals.path = n.path AND totals.depth = n.depth
+LEFT JOIN kids ON kids.path = n.path AND kids.depth = n.depth LEFT JOIN up ON up.path = n.path AND up.depth = n.depth
+"""

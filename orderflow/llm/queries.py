@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytepairs, decontam, infill, packing, quality, records, scoring, secrets, simhash, substrings, warc
+from . import ann, bytepairs, decontam, infill, packing, quality, records, scoring, secrets, simhash, substrings, trie, warc
 from .common import crc_mod, ship
 from .encode import vocabulary
 from .oracle import SQL  # noqa: F401
@@ -99,6 +99,13 @@ def op10_records(spark, sf_dir):
     return records.read(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@register("op11_prefixes")
+def op11_prefixes(spark, sf_dir):
+    """Every distinct prefix of the rebuilt conversations, with the totals of its subtree."""
+    x = trie.prefixes(table(spark, sf_dir, "conversations"))
+    return x.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 @register("op12_infill")
 def op12_infill(spark, sf_dir):
     """Every document cut in three for infilling, and restored from the result."""
