@@ -25,6 +25,30 @@ def insert_absent(target: DataFrame, seed: DataFrame, keys) -> DataFrame:
     return target.unionByName(new, allowMissingColumns=True)
 
 
+def registers(df: DataFrame, keys, order_by) -> DataFrame:
+    """S13 as mergeable state: df's rows with the order key of their first and last values (_first_at, _last_at).
+    Rows with equal order keys are told apart by a hash of the row, so the result never depends on arrival."""
+    rest = [c for c in df.columns if c not in _keys(keys)]
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(_keys(order_by))], F.xxhash64(*rest).alias("tie"))
+    return df.withColumn("_first_at", at).withColumn("_last_at", at)
+
+
+def merge_registers(df: DataFrame, keys, keep_first=()) -> DataFrame:
+    """One row per key of rows with registers: columns in ``keep_first`` from the row of the least _first_at, the
+    others from that of the greatest _last_at, and both order keys.  Associative and commutative, so parts may be
+    merged in any order and any grouping; a hot key combines on the map side."""
+    keys = _keys(keys)
+    rest = [c for c in df.columns if c not in [*keys, "_first_at", "_last_at"]]
+    first, last = [c for c in rest if c in keep_first], [c for c in rest if c not in keep_first]
+    aggs = [F.min("_first_at").alias("_first_at"), F.max("_last_at").alias("_last_at")]
+    if first:
+        aggs.append(F.min_by(F.struct(*first), "_first_at").alias("_f"))
+    if last:
+        aggs.append(F.max_by(F.struct(*last), "_last_at").alias("_l"))
+    g = df.groupBy(*keys).agg(*aggs)
+    return g.select(*[F.col(c) if c in [*keys, "_first_at", "_last_at"] else F.col(f"_f.{c}" if c in first else f"_l.{c}").alias(c) for c in df.columns])
+
+
 def one_per_key(updates: DataFrame, keys, order_by=None, keep_first=()) -> DataFrame:
     """One row per key -- the last by ``order_by``; without an order a
     key that occurs twice is an error, never a doubled row."""

@@ -133,7 +133,7 @@ def stream_upsert_subscriptions(spark: SparkSession, sf: str) -> DataFrame:
     q = ST.stream_upsert(ups, f"{base}/snap", "endpoint", ["updated_at", "seq"], f"{base}/ck",
                          keep_first=("id", "created_at"))
     q.awaitTermination()
-    return SK.read_current(spark, f"{base}/snap").select("endpoint", "id", "order_id", "order_name",
+    return ST.current_rows(spark, f"{base}/snap").select("endpoint", "id", "order_id", "order_name",
                                                                "created_at", "updated_at")
 
 

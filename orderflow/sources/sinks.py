@@ -31,6 +31,9 @@ def append(df: DataFrame, path: str, time_col: str = "created_at", fmt: str = "p
     r.write.mode("append").partitionBy("dt").format(fmt).save(path)
 
 
+NOTE = "#"  # a marker's entries under this prefix are notes, not paths
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -83,7 +86,8 @@ def read_current(spark: SparkSession, base: str) -> DataFrame:
     names = versions(spark, base)
     if not names:
         raise FileNotFoundError(f"no published version of {base}")
-    return spark.read.parquet(*sorted(set(published(spark, base, names[-1]).values())))
+    parts = published(spark, base, names[-1])
+    return spark.read.parquet(*sorted({path for part, path in parts.items() if not part.startswith(NOTE)}))
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:

@@ -21,9 +21,10 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from .. import constants as K
 from ..functions import expr as X
 from ..operators import analytics as A
-from ..operators.ranking import latest_per
+from ..operators.upsert import merge_registers, registers
 from ..sources import schemas as S
 from ..sources import sinks
+from ..sources.buckets import Buckets
 
 
 @contextlib.contextmanager
@@ -154,35 +155,29 @@ def weekly_top_from_counts(counts: DataFrame, k: int = K.TOP_K) -> DataFrame:
 
 
 def stream_upsert(df: DataFrame, base: str, keys, order_by, checkpoint: str, keep_first=(),
-                  trigger: dict | None = None, buckets: int = 64):
+                  trigger: dict | None = None, buckets: int = 64, source: str = "upsert"):
     """Keep the last state per key in a parquet snapshot, hashed into
-    ``buckets`` by key.  A micro-batch rewrites only the buckets it touches
-    and then publishes a marker that names every bucket's files, so a crash
-    leaves the previous version whole and a replayed batch id is a no-op.
-    Only a proven absence of versions means "no snapshot yet"; any other
-    failure stops the stream.  Read it with ``sinks.read_current``."""
+    ``buckets`` by key.  The snapshot keeps, per key, the order key of its
+    first and of its last values, and merging takes the least and the
+    greatest of them: batches that arrive in any order give what one batch
+    gives.  A micro-batch rewrites only the buckets it touches and a
+    replayed batch id is a no-op (``sources.buckets``).  Only a proven
+    absence of versions means "no snapshot yet"; any other failure stops
+    the stream.  Read it with ``current_rows``."""
     spark = df.sparkSession
-    keys = [keys] if isinstance(keys, str) else list(keys)
+    table = Buckets(spark, base, keys, buckets)
 
     def write(batch: DataFrame, batch_id: int):
-        version = f"{batch_id:020d}"
-        names = sinks.versions(spark, base)
-        if names and names[-1] >= version:
-            return  # already applied
-        old = sinks.published(spark, base, names[-1]) if names else {}
-        own = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        b = latest_per(batch, keys, order_by, keep_first=keep_first).persist()
+        if table.applied(source, batch_id):
+            return
+        b = merge_registers(registers(batch, keys, order_by), keys, keep_first).persist()
         try:
-            touched = [str(r["_b"]) for r in b.select(own.alias("_b")).distinct().collect()]  # at most ``buckets``
-            paths = [old[t] for t in touched if t in old]
-            # an update that comes late meets the newer one it must not replace
-            both = spark.read.parquet(*paths).unionByName(b, allowMissingColumns=True) if paths else b
-            path = f"{base.rstrip('/')}/v={version}"
-            (latest_per(both, keys, order_by, keep_first=keep_first).withColumn("_b", own)
-             .repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(path))
+            touched = table.touched(b)
+            old = table.read(touched)
+            both = old.unionByName(b, allowMissingColumns=True) if old is not None else b
+            table.replace(merge_registers(both, keys, keep_first), touched, source, batch_id)
         finally:
             b.unpersist()
-        sinks.publish(spark, base, version, old | {t: f"{path}/_b={t}" for t in touched})
 
     w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -190,6 +185,11 @@ def stream_upsert(df: DataFrame, base: str, keys, order_by, checkpoint: str, kee
         return w.start()
 
 
+def current_rows(spark: SparkSession, base: str) -> DataFrame:
+    """The rows of a snapshot that ``stream_upsert`` keeps."""
+    return sinks.read_current(spark, base).drop("_first_at", "_last_at")
+
+
 # R4 and R7 under their survey names
 announce = announce_batch
 stream_weekly = stream_weekly_counts

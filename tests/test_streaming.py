@@ -140,3 +140,22 @@ def test_edge_state_expires_after_ttl(spark, scratch):
                                        .option("recursiveFileLookup", "true").parquet(f"{scratch}/ttl"),
                                        state_ttl=30 * day), f"{scratch}/ttl_out2")
     assert spark.read.parquet(f"{scratch}/ttl_out2/out").count() == 0
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (0, 2, 1), (2, 1, 0), (1, 2, 0)])
+def test_stream_upsert_gives_the_batch_result_in_any_batch_order(spark, scratch, order):
+    schema = "endpoint string, id string, created_at timestamp_ntz, updated_at timestamp_ntz, seq long, order_id string"
+    parts = [[("e1", f"s{k}", T0 + k * dt.timedelta(days=1), T0 + k * dt.timedelta(days=1), k, f"o{k}"),
+              ("e2", f"t{k}", T0, T0, 0, f"p{k}"),                      # equal order keys
+              (f"only{k}", "x", T0, T0, k, None)] for k in range(3)]
+    rows = [r for p in parts for r in p]
+    for k in order:
+        spark.createDataFrame(parts[k], schema).coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{scratch}/in")
+        ST.stream_upsert(stream, f"{scratch}/snap", "endpoint", ["updated_at", "seq"], f"{scratch}/ck",
+                         keep_first=("id", "created_at"), buckets=3).awaitTermination()
+    got = {r.endpoint: tuple(r) for r in ST.current_rows(spark, f"{scratch}/snap").select(*schema.replace(",", "").split()[::2]).collect()}
+    assert got["e1"] == ("e1", "s0", T0, T0 + 2 * dt.timedelta(days=1), 2, "o2") and len(got) == 5
+    from orderflow.operators.upsert import merge_registers, registers
+    whole = merge_registers(registers(spark.createDataFrame(rows, schema), "endpoint", ["updated_at", "seq"]), "endpoint", ("id", "created_at"))
+    assert got == {r.endpoint: tuple(r) for r in whole.drop("_first_at", "_last_at").collect()}
