@@ -1,5 +1,4 @@
-"""Registered round trips through the sources and sinks
-and the stream-side announcement and fan-out (R4, R5).
+"""Registered round trips through the sources and sinks (S1-S4, S7-S9, G11) and the streamed upsert.
 
 Files are written under the session's checkpoint folder (the shared folder
 named by ``spark.checkpoint.dir``), never a machine-local path.
@@ -12,7 +11,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import notify as N
 from ..session import checkpoint_dir
 from ..sources import readers as SR
 from ..sources import schemas as S
@@ -20,7 +18,6 @@ from ..sources import sinks as SK
 from ..streaming import streams as ST
 from . import adapters as V
 from .registry import register
-from .text_queries import _run, _status_stream
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -88,36 +85,6 @@ def json_rows(spark: SparkSession, sf: str) -> DataFrame:
     return SR.to_json_rows(c.select("id", "item", "available", "active", "sort_order"))
 
 
-@register("stream_announce")
-def stream_announce(spark: SparkSession, sf: str) -> DataFrame:
-    """One announcement per micro-batch -- the newest new-ready edge
-    (customer rule) of the batch."""
-    edges = ST.stream_ready_edges(_status_stream(spark, sf), fire_on=("ready", "complete"),
-                                  done=("ready", "complete"))
-    base = _scratch(spark, "announce")
-
-    def write(batch, batch_id):
-        # one directory per batch, overwritten: a replayed batch id rewrites, never duplicates
-        ST.announce_batch(batch).write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
-    with ST.state_partitions(spark):
-        q = (edges.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/ck")
-             .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("order_id", "ts", "seq", "status")
-
-
-@register("stream_notify_payloads")
-def stream_notify_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Push edges on the stream joined with the current subscriptions
-    (static side), one payload per (edge, subscription)."""
-    edges = ST.stream_ready_edges(_status_stream(spark, sf))
-    subs = N.current_subscriptions(V.subscription_updates(spark, sf))
-    out = ST.stream_notify(edges.select("order_id", "seq"), subs)
-    got = _run(out.select("endpoint", "order_id", F.col("payload.body").alias("body"),
-                          F.col("payload.url").alias("url")), "notify")
-    return got
-
-
 @register("stream_upsert_subscriptions")
 def stream_upsert_subscriptions(spark: SparkSession, sf: str) -> DataFrame:
     """Subscription upserts streamed into a versioned snapshot (last

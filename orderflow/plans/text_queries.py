@@ -122,29 +122,6 @@ def _run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.parquet(f"{base}/out")
 
 
-def _status_stream(spark, sf):
-    s = _event_stream(spark, sf)
-    st = (F.when(F.col("event_type") == "view", F.lit("waiting")).when(F.col("event_type") == "click", F.lit("making"))
-          .when(F.col("event_type") == "signup", F.lit("ready")).when(F.col("event_type") == "purchase", F.lit("complete")))
-    return (s.select(F.col("user_id").cast("string").alias("order_id"), "ts", F.col("event_id").alias("seq"),
-                     st.alias("status")).filter(F.col("status").isNotNull()))
-
-
-@register("stream_ready_edges")
-def stream_ready_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """R1 + R2: push-rule edges by the stateful stream operator."""
-    return _run(ST.stream_ready_edges(_status_stream(spark, sf)), "edges").select(
-        "order_id", "ts", "seq", "status", "prev_status")
-
-
-@register("stream_first_ready")
-def stream_first_ready(spark: SparkSession, sf: str) -> DataFrame:
-    """First ready change per order on the stream (one file, one batch;
-    the watermark spans the whole month)."""
-    r = ST.stream_first_ready(_status_stream(spark, sf), watermark="60 days")
-    return _run(r, "first").select("order_id")
-
-
 @register("stream_weekly_top")
 def stream_weekly_top(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly counts on the line-item stream joined to static parts,

@@ -47,8 +47,10 @@ class Buckets:
         paths = [p for b, p in sorted(parts.items()) if not b.startswith(sinks.NOTE) and (buckets is None or b in buckets)]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def replace(self, rows: DataFrame, buckets: list[str], source: str = "load", batch: int = 0) -> str:
-        """Commit ``rows`` as the new content of ``buckets`` (all rows must hash into them).  Returns the version."""
+    def replace(self, rows: DataFrame, buckets: list[str], source: str = "load", batch: int = 0,
+                notes: dict[str, str] | None = None) -> str:
+        """Commit ``rows`` as the new content of ``buckets`` (all rows must hash into them), with notes for the
+        marker.  Returns the version."""
         number, old = self.state()
         version = f"{number + 1:020d}"
         path = f"{self.base}/v={version}-{uuid.uuid4().hex[:8]}"  # what a failed attempt left is never read
@@ -61,7 +63,7 @@ class Buckets:
                     new[b] = f"{path}/_b={b}"
                 else:
                     new.pop(b, None)  # no row is left in it
-        sinks.publish(self.spark, self.base, version, new | {APPLIED + source: str(batch)})
+        sinks.publish(self.spark, self.base, version, new | (notes or {}) | {APPLIED + source: str(batch)})
         return version
 
     def load(self, rows: DataFrame) -> str:

@@ -1,22 +1,18 @@
-"""Structured Streaming twins of the batch operators.
+"""Structured Streaming twins of the batch operators.
 
 The source application polls and diffs snapshots; here the same rules run
-on change streams.  Every stateful operator bounds its state: the edge
-detector keeps one small row per order and drops it after an event-time
-timeout; first-ready de-duplication lives as long as the watermark; the
-weekly counts close a week once the watermark passes its end.
+on change streams.  State is bounded: the weekly counts close a week once
+the watermark passes its end, and an upsert keeps one row per key in a
+bucketed table.  The change streams of orders (R2-R6) are in ledgers.py.
 """
 
 from __future__ import annotations
 
 import contextlib
-import datetime as dt
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import constants as K
 from ..functions import expr as X
@@ -52,75 +48,9 @@ def stream_changes(spark: SparkSession, path: str, schema: T.StructType = S.STAT
     return r.load(path)
 
 
-EDGE_OUT = T.StructType([T.StructField("order_id", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
-                         T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()),
-                         T.StructField("prev_status", T.StringType())])
-EDGE_STATE = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("seq", T.LongType()),
-                           T.StructField("status", T.StringType())])
-
-
-def _edge_fn(fire_on, done, timeout_ms):
-    fire_on, done = set(fire_on), set(done)
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        prev = state.get[2] if state.exists else None
-        parts = [p for p in pdfs]
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
-        statuses = pdf["status"].tolist()
-        prevs = [prev] + statuses[:-1]
-        pdf = pdf.assign(prev_status=prevs)
-        fired = pdf[pdf["status"].isin(fire_on) & ~pdf["prev_status"].isin(done)]
-        last = pdf.iloc[-1]
-        last_ts = last["ts"].to_pydatetime() if hasattr(last["ts"], "to_pydatetime") else last["ts"]
-        state.update((last_ts, int(last["seq"]), last["status"]))
-        if timeout_ms:
-            # expire relative to the order's own last event (timestamps are UTC wall clocks)
-            event_ms = int(last_ts.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
-            state.setTimeoutTimestamp(max(event_ms, state.getCurrentWatermarkMs()) + timeout_ms)
-        if len(fired):
-            yield fired[["order_id", "ts", "seq", "status", "prev_status"]]
-    return fn
-
-
-def stream_ready_edges(df: DataFrame, fire_on=("complete",), done=tuple(K.READY_STATUSES),
-                       watermark: str = "1 hour", state_ttl: dt.timedelta | None = dt.timedelta(days=2)) -> DataFrame:
-    """R2: W6 on a stream.  State per order = its last (ts, seq, status);
-    rows inside a micro-batch are ordered by (ts, seq).  With ``state_ttl``
-    an order's state is dropped once the watermark passes its last event
-    by that much; the next ready row of such an order counts as an edge."""
-    timeout_ms = int(state_ttl.total_seconds() * 1000) if state_ttl else 0
-    src = df.withColumn("_evt", F.col("ts").cast("timestamp")).withWatermark("_evt", watermark) \
-        if timeout_ms else df
-    cols = src.select("order_id", "ts", "seq", "status", *(["_evt"] if timeout_ms else []))
-    return cols.groupBy("order_id").applyInPandasWithState(
-        _edge_fn(fire_on, done, timeout_ms), EDGE_OUT, EDGE_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
-
-
-def stream_first_ready(df: DataFrame, seeded: DataFrame | None = None, start=None,
-                       watermark: str = "7 days") -> DataFrame:
-    """First-ready events, each order once; orders already ready in the
-    initial snapshot (``seeded``, a static DataFrame of order_id) are
-    silent.  De-duplication state lasts as long as the watermark.  Which of
-    an order's ready rows inside one micro-batch is kept is not defined;
-    ``first_ready`` on the batch gives the earliest."""
-    r = df.filter(F.col("status").isin(*K.READY_STATUSES))
-    if start is not None:
-        r = r.filter(F.col("ts") >= F.lit(start))
-    if seeded is not None:
-        r = r.join(seeded.select("order_id").distinct(), "order_id", "left_anti")
-    return (r.withColumn("_evt", F.col("ts").cast("timestamp")).withWatermark("_evt", watermark)
-             .dropDuplicatesWithinWatermark(["order_id"]).drop("_evt"))
-
-
 def announce_batch(batch: DataFrame) -> DataFrame:
-    """The one announcement of a micro-batch -- its newest-created new
-    ready order."""
+    """The newest change of a micro-batch; R4's rule, by creation time among
+    orders never announced, is ``ledgers.stream_ready_orders``."""
     return batch.orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(1)
 
 
@@ -190,6 +120,5 @@ def current_rows(spark: SparkSession, base: str) -> DataFrame:
     return sinks.read_current(spark, base).drop("_first_at", "_last_at")
 
 
-# R4 and R7 under their survey names
-announce = announce_batch
+# R7 under its survey name
 stream_weekly = stream_weekly_counts

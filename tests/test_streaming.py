@@ -3,34 +3,13 @@ import os
 
 import pytest
 
-from pyspark.sql import functions as F
-
 from orderflow.sources import sinks
 from orderflow.operators import analytics as A
-from orderflow.operators import ranking as R
-from orderflow.sources import schemas as S
 from orderflow.streaming import streams as ST
 
 T0 = dt.datetime(2024, 1, 1)
 
 
-def changes(spark):
-    rows = []
-    seq = 0
-    for o in range(30):
-        for k, st in enumerate(["waiting", "ready", "complete", "making", "complete"][: 2 + o % 4]):
-            seq += 1
-            rows.append((f"o{o}", T0 + dt.timedelta(minutes=5 * k + o), seq, st))
-    return spark.createDataFrame(rows, S.STATUS_CHANGES)
-
-
-def write_in_time_order(df, path, parts=3):
-    """Split rows into files in time order (later files hold later rows)."""
-    w = df.withColumn("_b", F.ntile(parts).over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("ts", "seq")))
-    for b in range(1, parts + 1):
-        w.filter(F.col("_b") == b).drop("_b").coalesce(1).write.mode("overwrite").parquet(f"{path}/part={b}")
-
-
 def run_to_table(df, base, mode="append"):
     if mode == "append":
         q = (df.writeStream.format("parquet").option("path", f"{base}/out")
@@ -43,28 +22,6 @@ def run_to_table(df, base, mode="append"):
     q.awaitTermination()
 
 
-def test_stream_edges_equal_batch(spark, scratch):
-    src = changes(spark)
-    write_in_time_order(src, f"{scratch}/in")
-    stream = spark.readStream.schema(S.STATUS_CHANGES).option("maxFilesPerTrigger", 1) \
-        .option("recursiveFileLookup", "true").parquet(f"{scratch}/in")
-    run_to_table(ST.stream_ready_edges(stream), f"{scratch}/edges")
-    got = sorted((r.order_id, r.seq) for r in spark.read.parquet(f"{scratch}/edges/out").collect())
-    want = sorted((r.order_id, r.seq) for r in R.ready_edges(src).collect())
-    assert got == want and len(want) > 0
-
-
-def test_stream_first_ready_with_seed(spark, scratch):
-    src = changes(spark)
-    src.write.parquet(f"{scratch}/in2")
-    stream = spark.readStream.schema(S.STATUS_CHANGES).parquet(f"{scratch}/in2")
-    seeded = spark.createDataFrame([("o1",), ("o2",)], "order_id string")
-    run_to_table(ST.stream_first_ready(stream, seeded), f"{scratch}/first")
-    got = {r.order_id for r in spark.read.parquet(f"{scratch}/first/out").collect()}
-    want = {r.order_id for r in R.first_ready(src).collect()} - {"o1", "o2"}
-    assert got == want
-
-
 def test_stream_weekly_equals_batch(spark, scratch):
     rows = [(dt.datetime(2024, 3, 1) + dt.timedelta(hours=9 * i), ["Latte", "Tea"][i % 2], "Hot",
              ["Oat", ""][i % 2], ["A , B", "B"][i % 2]) for i in range(80)]
@@ -119,29 +76,6 @@ def test_stream_upsert_fails_rather_than_lose_rows(spark, scratch):
     assert got == {"a": "1", "b": "2", "c": "3", "d": "4", "e": "5"}
 
 
-def test_edge_state_expires_after_ttl(spark, scratch):
-    day = dt.timedelta(days=1)
-    files = [
-        [("o1", T0, 1, "ready"), ("o2", T0, 2, "waiting")],
-        [("o1", T0 + dt.timedelta(hours=1), 3, "ready"), ("o2", T0 + 3 * day, 4, "waiting")],  # o1 kept, o2 moves time on
-        [("o2", T0 + 4 * day, 5, "making")],                           # watermark passes o1's last event + 2 days
-        [("o1", T0 + 4 * day + dt.timedelta(hours=2), 6, "complete")],
-    ]
-    for i, rows in enumerate(files):
-        spark.createDataFrame(rows, S.STATUS_CHANGES).coalesce(1).write.parquet(f"{scratch}/ttl/part={i}")
-    stream = spark.readStream.schema(S.STATUS_CHANGES).option("maxFilesPerTrigger", 1) \
-        .option("recursiveFileLookup", "true").parquet(f"{scratch}/ttl")
-    run_to_table(ST.stream_ready_edges(stream, state_ttl=2 * day), f"{scratch}/ttl_out")
-    got = [(r.order_id, r.seq, r.prev_status) for r in spark.read.parquet(f"{scratch}/ttl_out/out").collect()]
-    # o1's state (last 'ready') expired before its 'complete' arrived, so the push fires
-    assert got == [("o1", 6, None)]
-    # with a long TTL the 'ready' is remembered and nothing fires
-    run_to_table(ST.stream_ready_edges(spark.readStream.schema(S.STATUS_CHANGES).option("maxFilesPerTrigger", 1)
-                                       .option("recursiveFileLookup", "true").parquet(f"{scratch}/ttl"),
-                                       state_ttl=30 * day), f"{scratch}/ttl_out2")
-    assert spark.read.parquet(f"{scratch}/ttl_out2/out").count() == 0
-
-
 @pytest.mark.parametrize("order", [(0, 1, 2), (0, 2, 1), (2, 1, 0), (1, 2, 0)])
 def test_stream_upsert_gives_the_batch_result_in_any_batch_order(spark, scratch, order):
     schema = "endpoint string, id string, created_at timestamp_ntz, updated_at timestamp_ntz, seq long, order_id string"
