@@ -157,3 +157,7 @@ SELECT id, archived_at, original_order_id, archived_at AS time,
        coalesce(status, '') AS status
 FROM archive ORDER BY archived_at DESC, id DESC LIMIT 50
 """
+
+# the rank index gives what the full ranking gives
+SQL["order_status_indexed"] = SQL["order_status"]
+SQL["place_orders_indexed"] = SQL["place_orders"]

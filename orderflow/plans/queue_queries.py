@@ -4,6 +4,7 @@ T7, P1, P2, P5-P7, J9, U3, Q4-Q7, Q12-Q14, S5, S15, G11)."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,14 @@ from ..operators import filters as P
 from ..operators import orders as O
 from ..operators import ranking as R
 from ..operators import upsert as U
+from ..operators.rank_index import RankIndex
+from ..session import checkpoint_dir
 from ..sources import readers as SR
 from . import adapters as V
 from .registry import register
 
 PLACE_CUTOFF = dt.datetime(2001, 6, 1)
+INDEX_ROWS = 2000  # keys a range: several ranges at the small sizes
 DELETE_WEEK = (dt.datetime(1998, 6, 15, 7), dt.datetime(1998, 6, 22, 7))
 
 
@@ -132,6 +136,40 @@ def place_orders(spark: SparkSession, sf: str) -> DataFrame:
     return placed
 
 
+def _new_orders(spark: SparkSession, sf: str):
+    """Orders before the cut-off, and those from it on as JSON documents that are ingested."""
+    q = V.queue(spark, sf)
+    old = q.filter(F.col("created_at") < F.lit(PLACE_CUTOFF))
+    docs = q.filter(F.col("created_at") >= F.lit(PLACE_CUTOFF)).select("id", "created_at", "shop_id", "customer_key", F.to_json(F.struct(
+        F.col("customer_name").alias("name"), "drink", F.col("temperature").alias("temp"), "milk",
+        "syrups", "notes", F.col("id").alias("drinkId"))).alias("doc"))
+    return old, SR.ingest_order_json(docs).select(*old.columns)
+
+
+def _index(spark: SparkSession, name: str) -> RankIndex:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/index/{name}-{uuid.uuid4().hex}"
+    return RankIndex(spark, path, rows=INDEX_ROWS, buckets=8)
+
+
+@register("order_status_indexed")
+def order_status_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """J9/Q6 by the stored rank index: every queue id plus one unknown id per customer."""
+    q = V.queue(spark, sf)
+    unknown = V.table(spark, sf, "customer").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("id"))
+    index = _index(spark, "status").build(q)
+    s = index.order_status(q.select("id").unionByName(unknown))
+    return s.select("requested_id", "found", "status", "position", "orders_ahead", "name", "drink", "temp")
+
+
+@register("place_orders_indexed")
+def place_orders_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Q7 by the stored rank index: the batch updates the index and gets its positions from it."""
+    old, rows = _new_orders(spark, sf)
+    settings = U.latest_per(V.settings_log(spark, sf), "key", ["ts", "seq"])
+    accepted, _ = O.gate_orders(rows, settings)
+    return _index(spark, "place").build(old).place_orders(0, accepted)
+
+
 @register("lookup_orders")
 def lookup_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Text ids (line-item order keys) looked up in the queue."""

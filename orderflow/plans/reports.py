@@ -19,6 +19,7 @@ from ..operators import filters as P
 from ..operators import orders as O
 from ..operators import ranking as R
 from ..operators import upsert as U
+from ..operators.rank_index import RankIndex
 
 
 def status_report(settings: DataFrame) -> DataFrame:
@@ -56,9 +57,9 @@ def display_report(orders: DataFrame, by=(), board_rows: int = K.BOARD_ROWS, str
     return b, r
 
 
-def order_status(ids: DataFrame, orders: DataFrame, by=()) -> DataFrame:
-    """Q6: status and position of requested orders."""
-    return O.order_status(ids, orders, by=by)
+def order_status(ids: DataFrame, orders: DataFrame | None = None, by=(), index: RankIndex | None = None) -> DataFrame:
+    """Q6: status and position of requested orders; with an ``index`` only the buckets and ranges they need are read."""
+    return index.order_status(ids) if index is not None else O.order_status(ids, orders, by=by)
 
 
 def place_orders(orders: DataFrame, new_orders: DataFrame, settings: DataFrame, by=()):

@@ -64,9 +64,13 @@ def publish(spark: SparkSession, base: str, version: str, parts: dict[str, str])
 
 
 def published(spark: SparkSession, base: str, version: str) -> dict[str, str]:
-    """part -> path of a published version."""
-    rows = spark.read.text(f"{base.rstrip('/')}/_versions/{version}", wholetext=True).collect()
-    return json.loads(rows[0][0])
+    """part -> path of a published version; read by the driver, no job runs."""
+    fs, p = _fs(spark, f"{base.rstrip('/')}/_versions/{version}")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def replace_snapshot(df: DataFrame, base: str, version: str | None = None) -> str:
