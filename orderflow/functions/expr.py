@@ -298,3 +298,14 @@ def distinct_list(c) -> Column:
 
 # F6 under its survey name (not Spark's bool_or aggregate)
 bool_or = bool_text
+
+
+def last_at_most(bounds: Column, key: Column) -> Column:
+    """Index of the last of the sorted ``bounds`` that is not above ``key`` (0 where all are), by halving."""
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = F.get(bounds, mid) <= key
+        return F.when(s["hi"] - s["lo"] <= 1, s).when(up, F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(bounds) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi")), halve)["lo"]

@@ -53,9 +53,9 @@ def catalog_counts(inv: DataFrame) -> DataFrame:
                                    F.count_if(F.coalesce(F.col("active"), F.lit(False))).alias("active_rows"))
 
 
-def type_ordered(inv: DataFrame) -> DataFrame:
-    """T5: (type rank, sort_order, item) as one sortable key column."""
-    return inv.withColumn("_type_rank", type_rank())
+def order_counts(orders: DataFrame) -> DataFrame:
+    """G10, orders: one row, all orders and the active ones."""
+    return orders.agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("status") != "complete").alias("active_orders"))
 
 
 # ------------------------------------------------------- menu documents
@@ -111,8 +111,21 @@ def ingest_menu_json(docs: DataFrame, key: str = "doc_id"):
     return drinks, ingredients
 
 
-def save_menu(docs: DataFrame, key: str = "doc_id"):
+def bad_flags(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """V8: (key, bad_flags) of the documents with flags that are no boolean text, and how many."""
+    def flags(member, schema, names):
+        bad = [(F.col(f"x.{n}").isNotNull() & X.bool_text(F.col(f"x.{n}")).isNull()).cast("int") for n in names]
+        return (docs.select(key, F.explode(F.from_json(F.col(member), schema)).alias("x"))
+                    .select(key, sum(bad[1:], bad[0]).alias("n")))
+    each = (flags("drinks", DRINK_DOC, ("milk", "syrups", "showTemp", "active"))
+            .unionByName(flags("milks", ITEM_DOC, ("available", "active"))).unionByName(flags("syrups", ITEM_DOC, ("available", "active"))))
+    return each.filter(F.col("n") > 0).groupBy(key).agg(F.sum("n").alias("bad_flags"))
+
+
+def save_menu(docs: DataFrame, key: str = "doc_id", strict: bool = False):
     """Q11: validate (V8), ingest (S6) and check item uniqueness (V6).
+    With ``strict`` a flag that is no boolean text rejects the document too,
+    and the report has a column bad_flags; else such a flag takes its default.
     Returns (drinks, ingredients, report) where report has one row per
     document: doc_ok, duplicate_items, saved.  A document with a
     duplicate ingredient name or a bad member is not saved (its rows are
@@ -123,6 +136,9 @@ def save_menu(docs: DataFrame, key: str = "doc_id"):
     report = (checked.join(dups, key, "left")
               .select(key, "doc_ok", F.coalesce(F.col("duplicate_items"), F.lit(0)).cast("long").alias("duplicate_items"))
               .withColumn("saved", F.col("doc_ok") & (F.col("duplicate_items") == 0)))
+    if strict:
+        report = (report.join(bad_flags(docs, key), key, "left").withColumn("bad_flags", F.coalesce("bad_flags", F.lit(0)).cast("long"))
+                  .withColumn("saved", F.col("saved") & (F.col("bad_flags") == 0)))
     good = report.filter("saved").select(key)
     return drinks.join(good, key, "left_semi"), ingredients.join(good, key, "left_semi"), report
 

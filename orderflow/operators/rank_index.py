@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import expr as X
 from ..sources import sinks
 from .filters import project_orders
 from .ranking import active_orders
@@ -142,20 +143,13 @@ class RankIndex:
 
     def _located(self, keys: DataFrame, directory: list[list]) -> DataFrame:
         """keys with _slot: the place in the directory of the range that holds (created_at, id), or would."""
-        n = len(directory)
-        if not n:
+        if not directory:
             return keys.withColumn("_slot", F.lit(0))
         bounds = F.from_json(F.lit(json.dumps([str(m - LEAST).zfill(20) + i for _, m, i, _ in directory])), "array<string>")  # folded to one literal
         # a text that sorts as (created_at, id) does
         key = F.concat(F.lpad((self._micros().cast("decimal(20,0)") - F.lit(LEAST).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0"), F.col("id"))
 
-        def halve(s, _):  # least <= key below `hi`, from `lo` on
-            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-            up = F.get(bounds, mid) <= key
-            return F.when(s["hi"] - s["lo"] <= 1, s).when(up, F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
-
-        start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-        return keys.withColumn("_slot", F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), start, halve)["lo"])
+        return keys.withColumn("_slot", X.last_at_most(bounds, key))
 
     def positions(self, keys: DataFrame) -> DataFrame:
         """(id, position) of active orders given as (id, created_at).  Which ranges they fall into is asked first, by
@@ -196,7 +190,6 @@ class RankIndex:
 
     def place_orders(self, batch: int, accepted: DataFrame) -> DataFrame:
         """Q7: add accepted orders and report each one's position (null for one that is complete on arrival)."""
-        from ..functions import expr as X
         self.apply(batch, placed=accepted)
         pos = self.positions(active_orders(accepted).select("id", "created_at"))
         return accepted.select("id").join(pos, "id", "left").select("id", "position", X.orders_ahead("position").cast("long").alias("orders_ahead"))

@@ -27,8 +27,10 @@ its previous partition -- one shuffle, and a hot key stays split.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import expr as X
@@ -241,13 +243,25 @@ def board(df: DataFrame, k: int = K.BOARD_ROWS, by=()) -> DataFrame:
     return q.withColumn("position", F.row_number().over(w).cast("long")).filter(F.col("position") <= k)
 
 
-def move_item(df: DataFrame, moves: DataFrame, by, pos: str = "sort_order", id_col: str = "id") -> DataFrame:
+def _one_move(moves: DataFrame, by: list[str]) -> DataFrame:
+    """moves, where a list has one; a second one without an order is an error."""
+    rest = [c for c in moves.columns if c not in by]
+    g = moves.groupBy(*by).agg(F.first(F.struct(*rest)).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.lit(f"two moves of one list ({', '.join(by)}) and no order")).cast("boolean")
+    return g.filter(F.when(F.col("_n") > 1, twice).otherwise(F.lit(True))).select(*by, "_m.*")
+
+
+def move_item(df: DataFrame, moves: DataFrame, by, pos: str = "sort_order", id_col: str = "id", order=None) -> DataFrame:
     """Move item ``from_id`` to the place of ``to_id`` in each list
     (``by`` keys), re-indexing that list 0..n-1.  Lists whose move names an
     unknown id, or from = to, are left unchanged.  ``df`` carries the
     current 0-based position in ``pos``.  Closed form: p = from -> to;
-    from < p <= to -> p - 1; to <= p < from -> p + 1."""
+    from < p <= to -> p - 1; to <= p < from -> p + 1.  Several moves of a
+    list need their ``order`` and are composed (``apply_moves``)."""
     by = [by] if isinstance(by, str) else list(by)
+    if order is not None:
+        return apply_moves(df, moves, by, order, pos, id_col)
+    moves = _one_move(moves.select(*by, "from_id", "to_id"), by)
     cur = df.select(*by, F.col(id_col).alias("_id"), F.col(pos).alias("_p"))
     m = (moves.join(cur.withColumnRenamed("_id", "from_id").withColumnRenamed("_p", "_from"), [*by, "from_id"])
               .join(cur.withColumnRenamed("_id", "to_id").withColumnRenamed("_p", "_to"), [*by, "to_id"])
@@ -260,10 +274,14 @@ def move_item(df: DataFrame, moves: DataFrame, by, pos: str = "sort_order", id_c
     return j.withColumn(pos, new.cast("int")).drop("_from", "_to")
 
 
-def swap_neighbour(df: DataFrame, moves: DataFrame, by, pos: str = "sort_order", id_col: str = "id") -> DataFrame:
+def swap_neighbour(df: DataFrame, moves: DataFrame, by, pos: str = "sort_order", id_col: str = "id", order=None) -> DataFrame:
     """W10 (arrow buttons): swap ``id`` with the item ``direction`` (+1/-1)
-    places away; off either end leaves the list unchanged."""
+    places away; off either end leaves the list unchanged.  Several swaps of
+    a list need their ``order`` and are composed (``apply_moves``)."""
     by = [by] if isinstance(by, str) else list(by)
+    if order is not None:
+        return apply_moves(df, moves, by, order, pos, id_col)
+    moves = _one_move(moves.select(*by, "from_id", "direction"), by)
     cur = df.select(*by, F.col(id_col).alias("from_id"), F.col(pos).alias("_from"))
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     m = (moves.join(cur, [*by, "from_id"]).join(sizes, by)
@@ -276,5 +294,83 @@ def swap_neighbour(df: DataFrame, moves: DataFrame, by, pos: str = "sort_order",
     return j.withColumn(pos, new.cast("int")).drop("_from", "_to")
 
 
+class Rope:
+    """A list's positions after moves, as runs of positions that stayed side by side: [first, last] of each run."""
+
+    def __init__(self, n: int):
+        self.runs = [(0, n - 1)]
+
+    def place(self, first: int) -> int:
+        """Where the item that began at ``first`` stands now."""
+        at = 0
+        for a, z in self.runs:
+            if a <= first <= z:
+                return at + first - a
+            at += z - a + 1
+        raise ValueError(f"no position {first}")
+
+    def _cut(self, at: int) -> int:
+        """Make a run begin at place ``at``; its number among the runs."""
+        for i, (a, z) in enumerate(self.runs):
+            if at == 0:
+                return i
+            if at <= z - a:
+                self.runs[i:i + 1] = [(a, a + at - 1), (a + at, z)]
+                return i + 1
+            at -= z - a + 1
+        return len(self.runs)
+
+    def move(self, source: int, target: int) -> None:
+        """Take the item at place ``source`` out and put it back so that it stands at ``target``."""
+        i = self._cut(source)
+        self._cut(source + 1)
+        item = self.runs.pop(i)
+        self.runs.insert(self._cut(target), item)
+
+    def shifts(self) -> list[tuple[int, int]]:
+        """(first position of a run, how far its items went), by first position."""
+        out, at = [], 0
+        for a, z in self.runs:
+            out.append((a, at - a))
+            at += z - a + 1
+        return sorted(out)
+
+
+def apply_moves(df: DataFrame, moves: DataFrame, by, order, pos: str = "sort_order", id_col: str = "id") -> DataFrame:
+    """W10 for any number of moves of a list, applied one after the other by ``order`` (unique in a list): rows of
+    ``moves`` have from_id and to_id (to the place of that item) or direction (so many places on; off either end
+    changes nothing).  A list's moves are composed to one permutation, given as at most three runs of positions for
+    each move; the list's items only look their run up, so they are never gathered and no row is lost or made."""
+    by, order = ([x] if isinstance(x, str) else list(x) for x in (by, order))
+    cur = df.select(*by, F.col(id_col).alias("_id"), F.col(pos).alias("_p"))
+    m = moves.select(*by, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "from_id",
+                     (F.col("to_id") if "to_id" in moves.columns else F.lit(None).cast("string")).alias("to_id"),
+                     (F.col("direction").cast("int") if "direction" in moves.columns else F.lit(None).cast("int")).alias("direction"))
+    named = (m.join(cur.withColumnRenamed("_id", "from_id").withColumnRenamed("_p", "_from"), [*by, "from_id"], "left")
+              .join(cur.withColumnRenamed("_id", "to_id").withColumnRenamed("_p", "_to"), [*by, "to_id"], "left")
+              .join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+              .filter(F.col("_from").isNotNull() & (F.col("_to").isNotNull() | F.col("direction").isNotNull())))
+    keys = [f"_o{i}" for i in range(len(order))]
+    src = named.select(*by, *keys, F.col("_from").cast("long").alias("_from"), F.col("_to").cast("double").alias("_to"),
+                       F.col("direction").cast("double").alias("_by"), "_n")
+    schema = T.StructType([*[src.schema[c] for c in by], T.StructField("_first", T.ArrayType(T.LongType())), T.StructField("_shift", T.ArrayType(T.LongType()))])
+
+    def compose(group, pdf):
+        rope = Rope(int(pdf["_n"].iloc[0]))
+        for r in pdf.sort_values(keys, kind="mergesort").itertuples(index=False, name=None):
+            source, to, step, n = r[-4], r[-3], r[-2], r[-1]
+            here = rope.place(int(source))
+            there = rope.place(int(to)) if to == to else here + int(step)
+            if 0 <= there < n and there != here:
+                rope.move(here, there)
+        runs = rope.shifts()
+        return pd.DataFrame([[*group, [a for a, _ in runs], [d for _, d in runs]]], columns=schema.names)
+
+    runs = src.groupBy(*by).applyInPandas(compose, schema)
+    p = F.col(pos).cast("long")
+    shift = F.get("_shift", X.last_at_most(F.col("_first"), p))
+    return df.join(runs, by, "left").withColumn(pos, (p + F.coalesce(shift, F.lit(0))).cast("int")).select(*df.columns)
+
+
 def with_orders_ahead(df: DataFrame, pos: str = "position", out: str = "orders_ahead") -> DataFrame:
     return df.withColumn(out, X.orders_ahead(pos).cast("long"))

@@ -57,6 +57,22 @@ def display_report(orders: DataFrame, by=(), board_rows: int = K.BOARD_ROWS, str
     return b, r
 
 
+def pickup_names(strip: DataFrame, k: int = K.READY_STRIP_NAMES) -> DataFrame:
+    """One row, the first names of the strip's newest ``k`` orders, " · " between them."""
+    top = strip.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(k)
+    names = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), "id", "first_name")),
+                         lambda a, b: F.when(a["t"] != b["t"], F.when(a["t"] < b["t"], -1).otherwise(1))
+                         .otherwise(F.when(a["id"] > b["id"], -1).when(a["id"] < b["id"], 1).otherwise(0)))
+    return top.agg(F.array_join(F.transform(names, lambda x: x["first_name"]), " · ").alias("names"))
+
+
+def display(orders: DataFrame, settings: DataFrame, by=(), board_rows: int = K.BOARD_ROWS, strip: int = K.READY_STRIP):
+    """Q5 whole: (head, board, ready strip); head is one row: is_open, message, pickup_names."""
+    b, r = display_report(orders, by, board_rows, strip)
+    head = status_report(settings).select("is_open", "message", pickup_names(r).scalar().alias("pickup_names"))
+    return head, b, r
+
+
 def order_status(ids: DataFrame, orders: DataFrame | None = None, by=(), index: RankIndex | None = None) -> DataFrame:
     """Q6: status and position of requested orders; with an ``index`` only the buckets and ranges they need are read."""
     return index.order_status(ids) if index is not None else O.order_status(ids, orders, by=by)
@@ -86,8 +102,8 @@ def update_settings(settings: DataFrame, changes: DataFrame, order_by=None) -> D
 
 
 def save_menu(docs: DataFrame, key: str = "doc_id"):
-    """Q11: (drinks, ingredients, per-document report)."""
-    return C.save_menu(docs, key)
+    """Q11: (drinks, ingredients, per-document report); a bad member, flag or doubled item rejects a document."""
+    return C.save_menu(docs, key, strict=True)
 
 
 def clear_completed(orders: DataFrame, as_of: dt.datetime):

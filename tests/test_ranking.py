@@ -2,6 +2,7 @@ import datetime as dt
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from orderflow.operators import ranking as R
@@ -136,3 +137,31 @@ def test_lag_by_across_partitions_with_hot_key(spark):
     want = df.withColumn("prev", F.lag("status").over(w))
     assert got.count() == 4000
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_several_moves_of_a_list_equal_one_by_one(spark):
+    rng = random.Random(1)
+    rows, moves, expect = [], [], {}
+    for g in range(60):
+        items = [f"i{k}" for k in range(rng.randrange(1, 9))]
+        rows += [(g, it, p) for p, it in enumerate(items)]
+        for k in range(rng.randrange(0, 7)):
+            f = rng.choice([*items, "zz"])
+            if rng.random() < 0.5:
+                t = rng.choice([*items, "zz"])
+                moves.append((g, k, f, t, None))
+                items = splice(items, f, t)
+            else:
+                d = rng.choice([-1, 1])
+                moves.append((g, k, f, None, d))
+                if f in items and 0 <= items.index(f) + d < len(items):
+                    items = splice(items, f, items[items.index(f) + d])
+        expect[g] = items
+    df = spark.createDataFrame([(*r, "kept") for r in rows], "list int, id string, sort_order int, extra string")
+    mv = spark.createDataFrame(moves, "list int, n int, from_id string, to_id string, direction int")
+    out = R.move_item(df, mv.orderBy(F.rand(3)), "list", order="n").collect()
+    assert len(out) == len(rows) and {r.extra for r in out} == {"kept"}
+    for g, items in expect.items():
+        assert [r.id for r in sorted((r for r in out if r.list == g), key=lambda r: r.sort_order)] == items, g
+    with pytest.raises(Exception, match="two moves of one list"):
+        R.move_item(df, mv.filter("to_id is not null"), "list").collect()
