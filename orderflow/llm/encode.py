@@ -15,6 +15,7 @@ import pyarrow as pa
 from .common import Generations, Words, ragged
 
 CACHE_CHUNKS = 250_000
+MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"  # a run of them behind letters is a piece of its own
 _ENCODERS: dict = {}
 
 
@@ -53,8 +54,11 @@ class Encoder:
         return array("I", [t.id for t in self.tok.model.tokenize(data)]).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        """ids of one chunk (no white space inside, but for one leading space)."""
-        core = chunk.rstrip(".,|!?;:")
+        """ids of one chunk (no space inside, but for a leading one)."""
+        at = chunk.find("\n") if self.leading_space else -1
+        if 0 < at < len(chunk) - 1 and not chunk[at - 1].isspace() and not chunk[at + 1].isspace():
+            return self.chunks[chunk[:at]] + self.chunks["\n"] + self.chunks[chunk[at + 1:]]  # a line's end is a piece of its own
+        core = chunk.rstrip(MARKS)
         word = core[1:] if core[:1] == " " else core
         if not word.isalpha() or not (word.isascii() or max(word) < "\u0130"):
             return self.whole(chunk)
