@@ -88,7 +88,7 @@ def op8_decontam(spark, sf_dir):
 @register("op9_packing")
 def op9_packing(spark, sf_dir):
     """All documents packed into sequences of 2048 tokens."""
-    p = packing.Params(vocabulary=vocabulary("word_bpe_49k.json"), end_id=1, length=2048)
+    p = packing.Params(vocabulary=vocabulary("word_bpe_49k.json"), end_id=1, length=2048, cache=250_000, slice_bytes=4 << 20)
     return packing.pack(table(spark, sf_dir, "documents"), p)
 
 
