@@ -31,14 +31,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each SimHash group (4-word shingles, 4 bits): its smallest (id, hash of the text, hash of the row), null
     ids last.  Rows with the same hashes and id are the same in every column, and one of them stays."""
     ship(spark)
-    cols = docs.columns
-    at = F.xxhash64(*[x for c in cols for x in (F.col(c), F.col(c).isNull())])
-    keyed = docs.select(*cols, F.xxhash64(F.col("text"), F.col("text").isNull()).alias("key_text"), at.alias("key_row"))
+    at = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
+    # the row goes along as one struct: no column of documents can clash with a name used here
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64(F.col("text"), F.col("text").isNull()).alias("key_text"), at.alias("key_row"))
     groups = simhash.near_duplicates(keyed, words=4, distance=4, keep=[F.col("key_text"), F.col("key_row")])
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_text", "key_row")).alias("first"))
     keep = first.select("root", F.col("first.doc_id").alias("keep_id"), F.col("first.key_text").alias("keep_text"), F.col("first.key_row").alias("keep_row"))
     one = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key_text") == F.col("keep_text")) & (F.col("key_row") == F.col("keep_row"))
-    return keyed.join(keep, one, "inner").dropDuplicates(["root"]).select(*cols)
+    return keyed.join(keep, one, "inner").dropDuplicates(["root"]).select("row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
