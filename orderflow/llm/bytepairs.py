@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import over_slices, text_of
 from .transducer import RankEncoder, id_lists, read_ranks, text_of_ids
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 IDS_SLICE = 1 << 20
 _ENCODERS: dict = {}
 _TABLES: dict = {}
@@ -52,18 +52,28 @@ def kept_columns(df: DataFrame, *gone: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with its text replaced by its token ids."""
-    kept = kept_columns(docs, text, out)
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with its text replaced by its token ids, and, where ``decoded`` names a column, by the text decoded from
+    these ids: ``decode`` in the same pass, by the same worker."""
+    kept = kept_columns(docs, text, out, *([decoded] if decoded else []))
     src = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], text_of(text).alias("t"))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())][:2 if decoded else 1]
+    schema = T.StructType([*src.schema.fields[:-1], *added])
 
     def run(b: pa.RecordBatch, state: dict) -> pa.RecordBatch:
         ids = id_lists(encoder(vocabulary, pattern).ids(b.column("t")))
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=schema.names)
+        back = [pa.array(texts_of(ids, token_table(vocabulary)), pa.string())] if decoded else []
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], ids, *back], names=schema.names)
 
     x = src.mapInArrow(over_slices(run, "t", SLICE), schema)
-    return x.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("ids").alias(out))
+    return x.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("ids").alias(out), *([F.col("decoded").alias(decoded)] if decoded else []))
+
+
+def texts_of(lists: pa.ListArray, table: list[bytes | None]) -> list[str]:
+    """The text of each row's ids (null: none)."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat, cum = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    return [text_of_ids(flat[a:z], table) for a, z in zip(cum[:-1], cum[1:])]
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -82,9 +92,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "de
             while a < len(sizes):  # runs of at most IDS_SLICE ids, or one row
                 z = max(a + 1, int(np.searchsorted(cum, cum[a] + IDS_SLICE, side="right")) - 1)
                 part = b.slice(a, z - a)
-                flat = part.column(at).flatten().to_numpy(zero_copy_only=False)
-                own = cum[a:z + 1] - cum[a]
-                texts = [text_of_ids(flat[x:y], table) for x, y in zip(own[:-1], own[1:])]
+                texts = texts_of(part.column(at), table)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
                 a = z
 

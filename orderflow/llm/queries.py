@@ -119,7 +119,7 @@ def op13_bytepairs(spark, sf_dir):
     """Every document's byte-level BPE ids, and the text decoded from them."""
     import public_tokenizers
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    x = bytepairs.decode(bytepairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    x = bytepairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded="decoded")
     return x.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                     F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                     F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

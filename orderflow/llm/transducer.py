@@ -22,9 +22,10 @@ import pyarrow as pa
 from .common import Generations
 from .encode import Encoder
 
-STATES = 250_000
+STATES = 300_000
 BLOCK = 4096
-PAIRS = 200_000
+PAIRS = 250_000
+EDGES = 20_000
 PIECES = 250_000
 CHUNKS = 100_000
 ROOT = 0
@@ -58,28 +59,52 @@ class Transducer:
                     self.token.append(-1)
                     self.depth.append(self.depth[key >> 8] + 1)
             self.token[node] = rank
-        self.own = Generations(lambda t: self.merged(self.bytes_of[t]) == [t], PAIRS)
-        # neighbours by first << 32 | second; the second is then its own encoding too
-        self.pair = Generations(lambda p: self.merged(self.bytes_of[p >> 32] + self.bytes_of[p & 0xFFFFFFFF]) == [p >> 32, p & 0xFFFFFFFF], PAIRS)
+        self.own = Generations(lambda t: len(self.merged(self.bytes_of[t])) == 1, EDGES)
+        # neighbours by first << 32 | second
+        self.pair = Generations(lambda p: self.apart(p >> 32, p & 0xFFFFFFFF), PAIRS)
+        self.edges = Generations(lambda e: self.edge(self.bytes_of[e >> 1], e & 1), EDGES)
         self.forget()
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The merges themselves, lowest rank first and leftmost among equals, on the few bytes of one or two tokens."""
+    def merged(self, piece: bytes, stop: int = 1) -> list[bytes]:
+        """The merges themselves, lowest rank first and leftmost among equals, on the few bytes of a token, until
+        ``stop`` parts are left or nothing merges."""
         parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             ranked = [(self.ranks.get(a + b, -1), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
             found = [x for x in ranked if x[0] >= 0]
             if not found:
                 break
             i = min(found)[1]
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[x] for x in parts]
+        return parts
+
+    def edge(self, token: bytes, right: int) -> list[tuple[bytes, int]]:
+        """The parts that stand at a token's left or right edge while it is merged, each with the rank that ends it."""
+        out, end = [(token, len(self.ranks))], self.ranks[token]
+        while len(token) > 1:
+            token = self.merged(token, 2)[-1 if right else 0]
+            out.append((token, end))
+            end = self.ranks[token]
+        return out
+
+    def apart(self, first: int, second: int) -> bool:
+        """Whether no merge joins two neighbours: a part of the first's right edge and one of the second's left edge
+        merge if their rank comes before either ends; of equal ranks the left one comes first."""
+        if not self.own[second]:
+            return False
+        get = self.ranks.get
+        for a, a_end in self.edges[first << 1 | 1]:
+            for b, b_end in self.edges[second << 1]:
+                r = get(a + b)
+                if r is not None and r < a_end and r <= b_end:
+                    return False
+        return True
 
     def forget(self) -> None:
         """Drop all states but the first: one start at the root without a left neighbour."""
         self.states: list[tuple[int, ...]] = [(ROOT,)]
         self.number = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, int] = {}
 
     def numbered(self, state: tuple[int, ...]) -> int:
         n = self.number.get(state)
@@ -88,8 +113,8 @@ class Transducer:
             self.states.append(state)
         return n
 
-    def move(self, state: int, byte: int) -> tuple[int, int]:
-        """The state after a byte, and the token that ends there.  A start is (left neighbour + 1) << 32 | node."""
+    def move(self, state: int, byte: int) -> int:
+        """The state after a byte << 32 | the token that ends there.  A start is (left neighbour + 1) << 32 | node."""
         step, token, inner, pair = self.step, self.token, self.inner, self.pair
         alive, ended = [], -1
         for start in self.states[state]:
@@ -105,7 +130,7 @@ class Transducer:
         if ended < 0:
             raise ValueError(f"no token of the vocabulary ends with byte {byte}")
         alive.append(ended + 1 << 32 | ROOT)
-        got = self.moves[state << 8 | byte] = (self.numbered(tuple(alive)), ended)
+        got = self.moves[state << 8 | byte] = self.numbered(tuple(alive)) << 32 | ended
         return got
 
     def settled(self, ends: list[int], state: int) -> int:
@@ -143,8 +168,10 @@ class Transducer:
                 moves, state = self.moves, self.numbered(kept)
             for b in piece[a:a + BLOCK] if len(piece) > BLOCK else piece:
                 got = moves.get(state << 8 | b)
-                state, t = got if got is not None else self.move(state, b)
-                ends.append(t)
+                if got is None:
+                    got = self.move(state, b)
+                state = got >> 32
+                ends.append(got & 0xFFFFFFFF)
         return out + self.back(ends, len(ends))
 
 

@@ -111,6 +111,8 @@ def test_byte_pair_tables(spark, docs, none, library):
     assert sorted(repr((r.doc_id, list(r.ids), r.decoded)) for r in got) == sorted(
         repr((r.doc_id, library.encode_ordinary(r.text or ""), r.text or "")) for r in texts)
     assert {(r.c0, r.t) for r in got} == {("kept", 7)}
+    both = bytepairs.encode(d.withColumn("Decoded", F.lit(0)), RANKS, public_tokenizers.PATTERN, decoded="decoded").collect()
+    assert sorted(repr((r.doc_id, r.ids, r.decoded)) for r in both) == sorted(repr((r.doc_id, r.ids, r.decoded)) for r in got)
     assert bytepairs.decode(bytepairs.encode(none, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
     odd = spark.createDataFrame([(1, None), (2, []), (3, [160])], "k int, ids array<int>")
     assert [r.decoded for r in bytepairs.decode(odd, RANKS).orderBy("k").collect()][:2] == ["", ""]
