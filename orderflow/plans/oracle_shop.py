@@ -11,6 +11,12 @@ WITH {QUEUE.strip()}
 SELECT status, count(*) AS archived, CAST(0 AS BIGINT) AS remaining FROM queue GROUP BY status
 """
 
+SQL["archive_commits"] = f"""
+WITH {QUEUE.strip()}
+SELECT id, 1 AS move, CASE WHEN status = 'complete' THEN 'archive' ELSE 'queue' END AS place, CAST(1 AS BIGINT) AS rows FROM queue
+UNION ALL SELECT id, 2, 'archive', 1 FROM queue
+"""
+
 SQL["place_orders_closed"] = f"""
 WITH {QUEUE.strip()}
 SELECT id, 'Queue closed' AS reason FROM queue WHERE created_at >= TIMESTAMP '2001-06-01 00:00:00'

@@ -14,10 +14,12 @@ from ..operators import filters as P
 from ..operators import orders as O
 from ..operators import ranking as R
 from ..operators import upsert as U
+from ..operators.archive_commit import ShopLedger
 from ..sources import readers as SR
 from . import adapters as V
 from . import reports as Q
 from .catalog_queries import _menu_docs
+from .io_queries import _scratch
 from .queue_queries import _new_orders
 from .registry import _render_summary, register
 
@@ -40,6 +42,24 @@ def clear_all_closed(spark: SparkSession, sf: str) -> DataFrame:
         "status", "archived", remaining.agg(F.count(F.lit(1))).scalar().alias("remaining"))
 
 
+@register("archive_commits")
+def archive_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """U3/Q12/Q13 as commits: complete orders are archived, and, the shop closed, all others; where each order is
+    after the first move and after the second."""
+    ledger = ShopLedger(spark, _scratch(spark, "shop"))
+    ledger.load(V.queue(spark, sf).select("id", "created_at", "customer_name", "drink", "temperature", "milk", "syrups", "notes", "status"))
+    ledger.clear_completed(V.QUEUE_AS_OF)
+    left, moved = ledger.read()
+    ledger.clear_all(closed_settings(spark, sf), V.QUEUE_AS_OF)
+    queue, archive = ledger.read()
+    places = [left.select("id", F.lit("queue").alias("place"), F.lit(1).alias("move")),
+              moved.select(F.col("original_order_id").alias("id"), F.lit("archive").alias("place"), F.lit(1).alias("move")),
+              queue.select("id", F.lit("queue").alias("place"), F.lit(2).alias("move")),
+              archive.select(F.col("original_order_id").alias("id"), F.lit("archive").alias("place"), F.lit(2).alias("move"))]
+    every = places[0].unionByName(places[1]).unionByName(places[2]).unionByName(places[3])
+    return every.groupBy("id", "move", "place").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("place_orders_closed")
 def place_orders_closed(spark: SparkSession, sf: str) -> DataFrame:
     """V2/Q7 while the shop is closed: every new order is rejected with the reason."""
