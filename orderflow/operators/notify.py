@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from .analytics import delivery_summary
-from .filters import expired, retain
+from .filters import expired, retain, retention_cutoff
 from .ranking import latest_per
 from .upsert import upsert
 
-SUB_COLS = ["id", "order_id", "endpoint", "customer_name", "order_name"]
-
 
 def current_subscriptions(updates: DataFrame, order_by=("updated_at", "seq")) -> DataFrame:
     """S13 for push subscriptions: one row per endpoint, the last update
@@ -58,3 +56,9 @@ def retention_job(subs: DataFrame, as_of: dt.datetime, days: int | None = 30, co
     """The periodic clean-up -- (kept, removed_count)."""
     return retain(subs, col, days, as_of), expired(subs, col, days, as_of).agg(
         F.count(F.lit(1)).alias("removed"))
+
+
+def retention_commit(table, as_of: dt.datetime, days: int | None = 30) -> int:
+    """R8 as a commit on a ``sources.time_buckets.TimeBuckets`` table: expired days leave it by a new marker, only the
+    day that the limit cuts is written again, and a rerun is a no-op.  Returns how many rows went."""
+    return table.retain(retention_cutoff(days, as_of))

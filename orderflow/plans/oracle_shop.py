@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .oracle import ARCHIVE, QUEUE, SQL
+from .oracle import ARCHIVE, EVENTS_AS_OF, QUEUE, SQL
 from .oracle_catalog import DOC_LINES, REINDEXED
+from .oracle_events import SUBS
 from .oracle_queue import _first_word
 
 SQL["clear_all_closed"] = f"""
@@ -98,3 +99,12 @@ SELECT p_partkey, CAST(greatest(1, least(CASE WHEN p_size % 7 <> 0 THEN p_size *
 """
 
 SQL["tables_read"] = "SELECT p_type, count(*) AS parts FROM part GROUP BY p_type"
+
+SQL["retention_commits"] = f"""
+WITH {SUBS.strip()},
+x AS (SELECT endpoint, created_at, coalesce(created_at < {EVENTS_AS_OF} - INTERVAL 28 DAY, false) AS first,
+             coalesce(created_at < {EVENTS_AS_OF} - INTERVAL 20 DAY, false) AS second FROM subs)
+SELECT endpoint, created_at, (SELECT count(*) FROM x WHERE first) AS removed_0, (SELECT count(*) FROM x WHERE second AND NOT first) AS removed_1,
+       CAST(0 AS BIGINT) AS removed_2
+FROM x WHERE NOT second
+"""

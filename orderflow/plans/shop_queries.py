@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from ..operators import archive as AR
 from ..operators import catalog as C
 from ..operators import filters as P
+from ..operators import notify as N
 from ..operators import orders as O
 from ..operators import ranking as R
 from ..operators import upsert as U
 from ..operators.archive_commit import ShopLedger
 from ..sources import readers as SR
+from ..sources.time_buckets import TimeBuckets
 from . import adapters as V
 from . import reports as Q
 from .catalog_queries import _menu_docs
@@ -155,3 +157,14 @@ def tables_read(spark: SparkSession, sf: str) -> DataFrame:
     """Parts read with a declared schema."""
     t = SR.read_table(spark, f"{sf}/part.parquet", V.table(spark, sf, "part").schema)
     return t.groupBy("p_type").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@register("retention_commits")
+def retention_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """R8/P10 as commits: subscriptions in day buckets, a 28-day and then a 20-day retention, and the latter again;
+    what is kept, and how many rows each of the three took."""
+    table = TimeBuckets(spark, _scratch(spark, "retention"))
+    subs = N.current_subscriptions(V.subscription_updates(spark, sf))
+    table.load(subs.select("endpoint", "id", "created_at"))
+    gone = [N.retention_commit(table, V.EVENTS_AS_OF, d) for d in (28, 20, 20)]
+    return table.read().select("endpoint", "created_at", *[F.lit(n).cast("long").alias(f"removed_{i}") for i, n in enumerate(gone)])
