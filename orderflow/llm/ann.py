@@ -3,17 +3,20 @@
 Each of `curves` orderings projects the vectors on `dims` random orthonormal directions, cuts every axis at
 (shifted) quantiles of a bounded sample, and orders the grid cells by the Hilbert curve; equal cells are
 ordered by a hash, so a crowded cell spans many blocks.  An ordering is range-partitioned in blocks; a query
-meets the candidates of its own and the neighbouring blocks, `window` of all rows in sum, keeps the nearest
-of each block by exact distance, and the lists of all orderings merge.
+meets the candidates of its own and the `reach` neighbouring blocks on each side, `window` of all rows in sum,
+keeps the nearest of each block by exact distance, and the lists of all orderings merge.
 
 Vectors without structure (isotropic directions) have neighbours hardly nearer than the rest, so a curve
 places a neighbour near its query only a little more often than chance: the window is a share of the rows, not
-a number, chosen to hold recall@10 above 0.9 at every size.  Equal vectors are one representative with its
-k + 1 smallest ids: a hot vector is neither a hot block nor lost among its ties.
+a number, and curves * window is the work against a full scan.  The number of blocks follows from the window
+alone, so a query yields equally many lists at every size; a block that outgrows one task is cut by a hash into
+pieces of at most about `block_rows` candidates and `block_queries` queries, each piece of the one meeting each
+piece of the other.  Equal vectors are one representative with its k + 1 smallest ids, searched for once
+however many queries hold it: a hot vector is neither a hot block nor lost among its ties.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
-those of another dimension than the most frequent one; null ids take no part; repeated rows count once; fewer
-candidates than k are all returned.
+those of another dimension than the most frequent one; null ids take no part; repeated rows count once; an id
+given with several vectors takes part with the one that sorts first; fewer candidates than k are all returned.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import attach, stored
 
 
 @dataclass
 class Params:
-    curves: int = 12
-    dims: int = 6
-    bits: int = 4
-    window: float = 0.18        # share of the rows that a query meets on one curve
-    block_rows: int = 500
+    curves: int = 16
+    dims: int = 12
+    bits: int = 2
+    window: float = 0.06        # share of the rows that a query meets on one curve
+    reach: int = 2              # blocks met on each side of a query's own
+    block_rows: int = 50_000    # candidates and queries that one task compares at a time
+    block_queries: int = 20_000
     sample_rows: int = 20_000   # bound on the rows that the grids and blocks are fitted on
     seed: int = 11
 
@@ -84,11 +89,11 @@ class Curves:
         return np.searchsorted(self.borders[c], self.position(c, vectors, spread), side="right")
 
 
-def fit(sample: np.ndarray, spread: np.ndarray, rows: int, p: Params) -> Curves:
+def fit(sample: np.ndarray, spread: np.ndarray, p: Params) -> Curves:
     rng, n = np.random.default_rng(p.seed), sample.shape[1]
     dims, cells = min(p.dims, n), 1 << p.bits
     out = Curves([], [], [], p.bits)
-    blocks = int(max(1, min(rows // p.block_rows, len(sample) // 10)))
+    blocks = max(1, min(round((2 * p.reach + 1) / p.window), len(sample)))
     for c in range(p.curves):
         d = np.linalg.qr(rng.standard_normal((n, dims)))[0]
         y = sample @ d
@@ -101,38 +106,51 @@ def fit(sample: np.ndarray, spread: np.ndarray, rows: int, p: Params) -> Curves:
     return out
 
 
-def _matrix(column: pa.Array, n: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+def _matrix(column: pa.Array, n: int, kind) -> np.ndarray:
+    """Vectors packed as bytes, in double precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).astype(np.float64).reshape(-1, n)
 
 
-def _deal(curves, n: int, reach: int):
-    """(kind, id, spread, v) -> a row per curve and block: candidates in their own, queries also in the neighbouring ones."""
+def _packed(v: np.ndarray) -> pa.Array:
+    width = v.shape[1] * v.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(np.arange(len(v) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(v))])
+
+
+def _deal(curves, n: int, reach: int, kind, pieces: int, shares: int):
+    """A row per curve and cell: candidates in their own block, the queries among them also in the neighbouring ones.
+    A cell is a block's piece of candidates and share of queries."""
+    def rows(c, block, piece, share, query, ids, v):
+        for a in range(0, len(block), 20_000):
+            s = slice(a, a + 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block[s]), c, dtype=np.int32)), pa.array(((block[s] * pieces + piece[s]) * shares + share[s]).astype(np.int64)),
+                                              pa.array(np.full(len(block[s]), query)), pa.array(ids[s]), _packed(v[s])], names=["curve", "cell", "query", "id", "v"])
+
     def run(batches):
         cv = curves.value
         for b in batches:
             if not b.num_rows:
                 continue
-            v, spread = _matrix(b.column("v"), n), b.column("spread").to_numpy()
-            query = b.column("query").to_numpy(zero_copy_only=False)
+            raw = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, n)
+            v, spread, ids = raw.astype(np.float64), b.column("spread").to_numpy(), b.column("id").to_numpy()
+            asks = np.flatnonzero(b.column("query").to_numpy(zero_copy_only=False))
+            every = np.repeat(np.arange(len(ids)), shares)
+            own_share = np.tile(np.arange(shares), len(ids))
             for c in range(len(cv.directions)):
                 own, last = cv.block(c, v, spread), len(cv.borders[c])
-                lo = np.where(query, np.maximum(own - reach, 0), own)
-                hi = np.where(query, np.minimum(own + reach, last), own)
+                yield from rows(c, own[every], spread[every] % pieces, own_share, False, ids[every], raw[every])
                 # at an end of the curve the window goes on inwards
-                lo, hi = np.where(query, np.maximum(np.minimum(lo, hi - 2 * reach), 0), lo), np.where(query, np.minimum(np.maximum(hi, lo + 2 * reach), last), hi)
-                many = hi - lo + 1
-                at = np.repeat(np.arange(len(own)), many)
-                block = np.repeat(lo, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                for a in range(0, len(at), 20_000):
-                    i = pa.array(at[a:a + 20_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), c, dtype=np.int32)), pa.array(block[a:a + 20_000].astype(np.int32)),
-                                                      b.column("query").take(i), b.column("id").take(i), b.column("v").take(i)],
-                                                     names=["curve", "block", "query", "id", "v"])
+                lo = np.clip(own[asks] - reach, 0, max(last - 2 * reach, 0))
+                hi = np.minimum(lo + 2 * reach, last)
+                many = (hi - lo + 1) * pieces
+                at = np.repeat(np.arange(len(asks)), many)
+                step = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                q = asks[at]
+                yield from rows(c, lo[at] + step // pieces, step % pieces, spread[q] // pieces % shares, True, ids[q], raw[q])
     return run
 
 
-def _nearest(n: int, k: int, chunk: int = 2048):
-    """Blocks one after the other, queries first: the k nearest candidates of each query in a block."""
+def _nearest(n: int, k: int, kind, chunk: int = 2048):
+    """Cells one after the other, queries first: the k nearest candidates of each query in a cell."""
     def best(q, ids, v, found):
         if not len(q[0]) or not len(ids):
             return
@@ -141,7 +159,9 @@ def _nearest(n: int, k: int, chunk: int = 2048):
             d = (x * x).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * (x @ v.T)
             m = min(k, len(ids))
             kth = np.partition(d, m - 1, axis=1)[:, m - 1]
-            r, c = np.nonzero(d <= kth[:, None] + 1e-9 * (1 + np.abs(kth[:, None])))
+            # room for the rounding of the expanded square
+            room = 1e-12 * ((x * x).sum(1) + (v * v).sum(1).max())[:, None]
+            r, c = np.nonzero(d <= kth[:, None] + 1e-9 * np.abs(kth[:, None]) + room)
             diff = x[r] - v[c]
             score = np.sqrt((diff * diff).sum(1))
             for i in range(len(x)):
@@ -156,15 +176,15 @@ def _nearest(n: int, k: int, chunk: int = 2048):
         rows = [(int(q[0][i]), rid, s) for i, own in found.items() for s, rid in own]
         if rows:
             a = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.float64())], names=["query_id", "rep", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.float64())], names=["asked", "rep", "score"])
 
     def run(batches):
         key, q, found = None, None, {}
         for b in batches:
             for a in range(0, b.num_rows, chunk):
                 s = b.slice(a, chunk)
-                tag = s.column("curve").to_numpy().astype(np.int64) << 32 | s.column("block").to_numpy()
-                query, ids, v = s.column("query").to_numpy(zero_copy_only=False), s.column("id").to_numpy(), _matrix(s.column("v"), n)
+                tag = s.column("curve").to_numpy().astype(np.int64) << 48 | s.column("cell").to_numpy()
+                query, ids, v = s.column("query").to_numpy(zero_copy_only=False), s.column("id").to_numpy(), _matrix(s.column("v"), n, kind)
                 cut = np.concatenate(([0], np.flatnonzero(tag[1:] != tag[:-1]) + 1, [len(tag)]))
                 for x, y in zip(cut[:-1], cut[1:]):
                     if tag[x] != key:
@@ -191,26 +211,33 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, params: Params | No
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n = dims["n"]
     v = v.filter(F.size("v") == n)
+    v = v.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("query").alias("query"))
     # equal vectors: the k + 1 smallest ids are all that a list of k can need
-    w = Window.partitionBy("v").orderBy("vec_id")
-    few = v.select("v", "vec_id").distinct().withColumn("i", F.row_number().over(w)).filter(F.col("i") <= k + 1)
-    reps = stored(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("id", F.col("ids")[0]), "representatives")
-    rows = reps.count()
+    few = v.withColumn("i", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("i") <= k + 1)
+    asking = v.filter("query").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    reps = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).join(asking, "v", "left")
     spread = F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    sample = reps.select("id", spread.alias("spread"), "v").orderBy(F.xxhash64("id"), "id").limit(p.sample_rows).collect()  # bounded
-    cv = fit(np.array([r["v"] for r in sample], dtype=np.float64), np.array([r["spread"] for r in sample], dtype=np.int64), rows, p)
+    reps = stored(reps.withColumn("id", F.col("ids")[0]).withColumn("spread", spread), "representatives")
+    size = reps.agg(F.count(F.lit(1)).alias("rows"), F.count("n").alias("queries")).first()
+    sample = reps.select("id", "spread", "v").orderBy(F.xxhash64("id"), "id").limit(p.sample_rows).collect()  # bounded
+    cv = fit(np.array([r["v"] for r in sample], dtype=np.float64).reshape(-1, n), np.array([r["spread"] for r in sample], dtype=np.int64), p)
     blocks = len(cv.borders[0]) + 1
-    reach = int(np.ceil(p.window * blocks / 2)) if blocks > 1 else 0
-    asked = v.filter("query").select(F.col("vec_id").alias("id"), F.lit(True).alias("query"), F.xxhash64("vec_id").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("spread"), "v").dropDuplicates(["id"])
-    both = reps.select("id", F.lit(False).alias("query"), spread.alias("spread"), "v").unionByName(asked)
-    kind = v.schema["v"].dataType.simpleString()
+    pieces = -(-size["rows"] // (blocks * p.block_rows)) or 1
+    shares = -(-size["queries"] * (2 * p.reach + 1) // (blocks * p.block_queries)) or 1
+    kind = np.float32 if v.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(parts, "id").mapInArrow(_deal(spark.sparkContext.broadcast(cv), n, reach), f"curve int, block int, query boolean, id long, v {kind}")
-    near = (dealt.repartition(parts, "curve", "block").sortWithinPartitions("curve", "block", F.desc("query"), "id")
-                 .mapInArrow(_nearest(n, k + 1), "query_id long, rep long, score double").distinct())
-    top = Window.partitionBy("query_id").orderBy("score", "rep")
+    deal = _deal(spark.sparkContext.broadcast(cv), n, p.reach, kind, pieces, shares)
+    dealt = reps.select("id", "spread", F.col("n").isNotNull().alias("query"), "v").mapInArrow(deal, "curve int, cell long, query boolean, id long, v binary")
+    near = (dealt.repartition(parts, "curve", "cell").sortWithinPartitions("curve", "cell", F.desc("query"), "id")
+                 .mapInArrow(_nearest(n, k + 1, kind), "asked long, rep long, score double").distinct())
+    top = Window.partitionBy("asked").orderBy("score", "rep")
     near = near.withColumn("i", F.row_number().over(top)).filter(F.col("i") <= k + 1)
-    out = (near.join(reps.select(F.col("id").alias("rep"), "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id"))
-               .filter("vec_id <> query_id"))
-    rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return out.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    lists = (near.join(reps.select(F.col("id").alias("rep"), "ids"), "rep").select("asked", F.explode("ids").alias("vec_id"), "score")
+                 .withColumn("i", F.row_number().over(Window.partitionBy("asked").orderBy("score", "vec_id"))).filter(F.col("i") <= k + 1)
+                 .groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near")))
+    # every query takes the list of its vector, without itself
+    lists = reps.filter("n is not null").select("v", "n", F.col("id").alias("asked")).join(lists, "asked").select("v", "n", "near")
+    own = attach(v.filter("query").select(F.col("vec_id").alias("query_id"), "v"), lists, "v", size["rows"], "inner")
+    hits = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = own.select("query_id", F.posexplode(hits).alias("at", "hit"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", "hit.score")

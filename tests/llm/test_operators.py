@@ -116,6 +116,43 @@ def test_neighbours(spark):
     assert [r.vec_id for r in ann.search(v.filter("vec_id in (100, 101, 102)"), F.col("vec_id") % 100 == 0).collect()].__len__() == 2
 
 
+def nearest(rows, k=10):
+    """Brute force over (id, vector) rows, an id's first vector standing for it."""
+    first = {}
+    for i, v in sorted(rows, key=lambda r: (r[0], r[1])):
+        first.setdefault(i, np.array(v))
+    out = {}
+    for q in (i for i in first if i % 100 == 0):
+        out[q] = sorted((float(np.sqrt(((v - first[q]) ** 2).sum())), i) for i, v in first.items() if i != q)[:k]
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"block_rows": 40, "block_queries": 3}])
+def test_neighbours_of_repeated_ids_and_hot_vectors(spark, limits):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(700)]
+    rows += [(1, [9.0] * 6), (1, [-9.0] * 6), (200, rng.standard_normal(6).tolist()), (200, rows[300][1]), (5, rows[5][1])]
+    rows += [(i, rows[300][1]) for i in range(700, 1100)]   # a third hold one vector, four queries among them
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    whole = ann.Params(curves=3, window=1.0, reach=3, **limits)   # every block is met: the result is exact
+    got = collections.defaultdict(list)
+    for r in ann.search(v, F.col("vec_id") % 100 == 0, params=whole).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r.query_id]) + 1
+        got[r.query_id].append((r.score, r.vec_id))
+    want = nearest(rows)
+    assert sorted(got) == sorted(want)
+    for q, near in want.items():
+        assert [i for _, i in got[q]] == [i for _, i in near] and np.allclose([s for s, _ in got[q]], [s for s, _ in near], atol=1e-12)
+
+
+def test_neighbours_work_stays_in_proportion():
+    """A query meets as many blocks at every size, and less than all rows in sum."""
+    p, rng = ann.Params(), np.random.default_rng(1)
+    assert p.curves * p.window < 1
+    counts = {len(ann.fit(rng.standard_normal((m, 16)), rng.integers(0, 1 << 32, m), p).borders[0]) for m in (500, 2000, 20_000)}
+    assert len(counts) == 1
+
+
 BASE = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12),
         ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16)]
 
