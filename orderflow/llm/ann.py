@@ -8,7 +8,7 @@ keeps the nearest of each block by exact distance, and the lists of all ordering
 
 Vectors without structure (isotropic directions) have neighbours hardly nearer than the rest, so a curve
 places a neighbour near its query only a little more often than chance: the window is a share of the rows, not
-a number, and curves * window (1.28 here) is the work against a full scan.  At 0.96 recall@10 was 0.86 on 500 and
+a number, and curves * window (1.44 here) is the work against a full scan.  At 0.96 recall@10 was 0.86 on 500 and
 0.90 on 2,000 such vectors, so the window is wider.  The number of blocks follows from the window
 alone, so a query yields equally many lists at every size; a block that outgrows one task is cut by a hash into
 pieces of at most about `block_rows` candidates and `block_queries` queries, each piece of the one meeting each
@@ -37,7 +37,7 @@ class Params:
     curves: int = 16
     dims: int = 12
     bits: int = 2
-    window: float = 0.08        # share of the rows that a query meets on one curve
+    window: float = 0.09        # share of the rows that a query meets on one curve
     reach: int = 2              # blocks met on each side of a query's own
     block_rows: int = 50_000    # candidates and queries that one task compares at a time
     block_queries: int = 20_000
