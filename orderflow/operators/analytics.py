@@ -103,15 +103,16 @@ def top_items(counts: DataFrame, by: tuple = (), k: int = K.TOP_K) -> DataFrame:
 
 
 def _pack(counts: DataFrame, by: tuple, k: int) -> DataFrame:
-    """Top k of the item dims (ranked alone, so Spark limits each group
-    before its shuffle) and all total/temp rows, then one aggregate per
-    group packs totals and the three bounded lists."""
-    totals = counts.filter(~F.col("dim").isin(*DIMS)).withColumn("rnk", F.lit(None).cast("long"))
-    kept = totals.unionByName(top_items(counts, by, k))
+    """One window limits every (group, dim) -- the item dims to their top k,
+    the temperatures to hot and cold, the total to itself -- before its
+    shuffle, and one aggregate per group packs totals and lists, so the
+    facts are read and counted once."""
+    named = (F.col("dim") == "temp") & F.col("item").isin("hot", "cold")
+    kept = top_k(counts, [*by, "dim"], max(k, 2), [named.desc(), F.col("cnt").desc(), F.col("item").asc()])
 
     def lst(d):
         s = F.struct(F.col("rnk"), F.col("item"), F.col("cnt"))
-        arr = F.array_sort(F.collect_list(F.when(F.col("dim") == d, s)))
+        arr = F.array_sort(F.collect_list(F.when((F.col("dim") == d) & (F.col("rnk") <= k), s)))
         return F.transform(arr, lambda x: F.struct(x["item"].alias("item"), x["cnt"].alias("count")))
 
     def tot(d, item):
@@ -150,13 +151,31 @@ def weekly_trend(df: DataFrame, by: tuple = (), k: int = K.TOP_K, tz: str = K.SH
                  time_col: str = "archived_at") -> DataFrame:
     """The weekly summary for every week at once, one row per
     (by, week_start); week_end is the next local Monday."""
-    counts = weekly_counts(df, by, tz, time_col)
+    return trend_of(weekly_counts(df, by, tz, time_col), by, k, tz)
+
+
+def trend_of(counts: DataFrame, by: tuple = (), k: int = K.TOP_K, tz: str = K.SHOP_TZ) -> DataFrame:
+    """G8 from counts per (by, week_start, dim, item)."""
     packed = _pack(counts, (*by, "week_start"), k)
     end = X.from_local(F.timestamp_add("WEEK", F.lit(1), X.local_time("week_start", tz)), tz)
     return packed.select(*by, "week_start", end.alias("week_end"),
                          *[c for c in packed.columns if c not in (*by, "week_start")])
 
 
+def with_empty_weeks(trend: DataFrame, tz: str = K.SHOP_TZ) -> DataFrame:
+    """G6 for the trend over all shops: every local week from the first to
+    the last, those without orders with zeros and empty lists.  A row
+    without a week (orders without a time) is left out."""
+    local = X.local_time("week_start", tz)
+    span = trend.agg(F.min(local).alias("lo"), F.max(local).alias("hi")).filter(F.col("lo").isNotNull())
+    weeks = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAYS"))).alias("_local"))
+    end = X.from_local(F.timestamp_add("WEEK", F.lit(1), F.col("_local")), tz)
+    spine = weeks.select(X.from_local("_local", tz).alias("week_start"), end.alias("week_end"))
+    blank = {c: F.lit(0) if c.endswith("_orders") else F.array() for c in trend.columns if c not in spine.columns}
+    return spine.join(trend.drop("week_end"), "week_start", "left").select(
+        *spine.columns, *[F.coalesce(F.col(c), v.cast(trend.schema[c].dataType)).alias(c) for c, v in blank.items()])
+
+
 def weekly_top_long(df: DataFrame, by: tuple = (), k: int = K.TOP_K, tz: str = K.SHOP_TZ,
                     time_col: str = "archived_at") -> DataFrame:
     """G8 long form: (by, week_start, dim, rnk, item, cnt)."""

@@ -23,6 +23,7 @@ def load_all():
     from . import event_queries, oracle_events, text_queries, oracle_texts  # noqa: F401
     from . import io_queries, oracle_io  # noqa: F401
     from . import ledger_queries, oracle_ledgers, shop_queries, oracle_shop  # noqa: F401
+    from . import weekly_queries, oracle_weekly  # noqa: F401
 
 
 def register(name: str):
