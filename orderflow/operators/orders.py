@@ -80,25 +80,31 @@ def match_menu(df: DataFrame, menu: DataFrame, id_col: str = "drink_id", label_c
 
 
 def _with_stock(m: DataFrame, stock: DataFrame, key: str) -> DataFrame:
-    """Stock facts per order, joined back on ``key`` (unique per order).
-
-    Only (key, position, item) is exploded -- the milk at position 0, the
-    syrups after it -- so the shuffle carries narrow rows, not the order
-    row once per item.  One join with the stock table, one aggregate per
-    key (small groups), one join back.  Adds _milk_ok, _bad_syrup (first
-    out-of-stock syrup) and _ok_syrups (in-stock syrups in list order)."""
+    """Each order with its stock facts, the input read once.
+
+    An order is exploded to (position, item), the milk at position 0 and
+    the syrups after it, and rides along as a struct on position 0 only, so
+    the shuffle carries it once and narrow rows beside it.  One join with
+    the stock table, one aggregate per order.  Orders are told apart by
+    ``key`` and a hash of the row: rows that share a key or have none keep
+    apart, and equal rows come back as often as they came.  Adds _milk_ok,
+    _bad_syrup (first out-of-stock syrup) and _ok_syrups (in-stock syrups
+    in list order)."""
     items = F.concat(F.array(F.col("milk")), F.coalesce(F.col("syrups"), F.array().cast("array<string>")))
-    ex = m.select(key, F.posexplode(items).alias("_pos", "_item"))
+    row = F.struct(*m.columns)
+    ex = m.select(F.col(key).alias("_key"), F.xxhash64(*m.columns).alias("_hash"), row.alias("_row"), F.posexplode(items).alias("_pos", "_item"))
+    ex = ex.withColumn("_row", F.when(F.col("_pos") == 0, F.col("_row")))
     st = stock.select(F.col("item").alias("_item"), F.col("in_stock"))
     ok = F.coalesce(F.col("in_stock"), F.lit(False))
     syr = F.col("_pos") > 0
-    facts = (ex.join(st, "_item", "left").groupBy(key).agg(
+    facts = (ex.join(st, "_item", "left").groupBy("_key", "_hash").agg(
+        F.collect_list("_row").alias("_rows"),
         F.max(F.when(F.col("_pos") == 0, ok)).alias("_milk_ok"),
         F.min(F.when(syr & ~ok, F.struct("_pos", "_item"))).alias("_bad"),
-        F.array_sort(F.collect_list(F.when(syr & ok, F.struct("_pos", "_item")))).alias("_ok")))
-    facts = facts.select(key, "_milk_ok", F.col("_bad._item").alias("_bad_syrup"),
+        F.array_sort(F.collect_set(F.when(syr & ok, F.struct("_pos", "_item")))).alias("_ok")))
+    facts = facts.select(F.explode("_rows").alias("_row"), "_milk_ok", F.col("_bad._item").alias("_bad_syrup"),
                          F.transform("_ok", lambda x: x["_item"]).alias("_ok_syrups"))
-    return m.join(facts, key, "left")
+    return facts.select("_row.*", "_milk_ok", "_bad_syrup", "_ok_syrups")
 
 
 def enrich_orders(orders: DataFrame, menu: DataFrame, inventory: DataFrame, key: str = "id",

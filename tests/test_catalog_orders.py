@@ -149,3 +149,18 @@ def test_all_queue_orders_are_checked(spark, smoke):
     from orderflow.plans import adapters as V
     rows = V.queue_orders(spark, smoke).select(F.substring_index("id", "-", 1).alias("order")).distinct()
     assert rows.count() == V.queue(spark, smoke).count()
+
+
+def test_orders_are_read_once_and_rows_without_a_key_keep_apart(spark):
+    rows = [("1", "d1", "Ann Lee", "Oat", ["A", "B"]), (None, "d1", "Bo Ray", "Soy", ["B", "A", "B"]), (None, "d9", "Cy Fox", "", None),
+            ("1", "d1", "Dee Roe", "Oat", ["Z", "B"]), ("4", "d1", "Eve Poe", "Oat", ["A"]), ("4", "d1", "Eve Poe", "Oat", ["A"])]
+    df = spark.createDataFrame(rows, "id string, drink_id string, customer_name string, milk string, syrups array<string>")
+    menu = spark.createDataFrame([("d1", "Latte", ["Hot"], True, True, 1, True)],
+                                 "id string, label string, temps array<string>, has_milk boolean, has_syrups boolean, sort_order int, active boolean")
+    stock = spark.createDataFrame([("Oat", True), ("A", True), ("B", True), ("Soy", False)], "item string, in_stock boolean")
+    out = O.enrich_orders(df, menu, None, stock=stock)
+    got = sorted((r.customer_name, r.milk_in_stock, r.first_out_of_stock_syrup, r.in_stock_syrups) for r in out.collect())
+    assert got == [("Ann Lee", True, None, ["A", "B"]), ("Bo Ray", False, None, ["B", "A", "B"]), ("Cy Fox", False, None, []),
+                   ("Dee Roe", True, "Z", ["B"]), ("Eve Poe", True, None, ["A"]), ("Eve Poe", True, None, ["A"])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("customer_name#") and plan.count("LogicalRDD") == 3    # orders, menu, stock
