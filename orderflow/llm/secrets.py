@@ -8,7 +8,8 @@ regex.  A rule with an alternative without a trigram (such as bare hex runs) sca
 Spans are code points, end exclusive.  The first three rules are the base; the rest adds spans.
 
 Defined cases: null and empty texts hold nothing; rows that share an id (null too) share candidates and are
-verified each for itself; repeated rows each get a row.
+verified each for itself; repeated rows each get a row.  Positions of many spans of one text come from running
+sums by blocks, so a text of n spans costs n ** 1.5.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
-# up to so many candidate rows (an id and a mask, 16 bytes each) are broadcast; more are joined by shuffle
+# up to so many candidate rows (an id and a mask, 16 bytes each) are broadcast; more are joined by shuffle, each
+# candidate SALTS times, so that the rows of a repeated id (null too) spread over as many tasks
 BROADCAST_ROWS = 200_000
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -142,33 +145,57 @@ def candidates(docs: DataFrame, rules, id_col: str, text_col: str) -> tuple[Data
     return lists.select("id", mask.alias("mask")).filter("mask <> 0"), bits
 
 
+def _let(value: Column, body) -> Column:
+    """body(v) with value computed once, however often body uses v."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(xs: Column) -> Column:
+    """The array in consecutive blocks of about the root of its size."""
+    step = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
+    return F.when(F.size(xs) > 0, _let(step, lambda n: F.transform(F.sequence(F.lit(1), F.size(xs), n), lambda k: F.slice(xs, k, n)))).otherwise(
+        F.transform(F.slice(xs, 1, 0), lambda x: F.array(x)))
+
+
+def before(xs: Column, combine) -> Column:
+    """For each of the non-negative ints, combine(..) of all before it, from 0.  By blocks, so that no step copies more
+    than a block: n ** 1.5 for n values, not n ** 2."""
+    zero = F.array().cast("array<int>")
+
+    def walk(values, value):
+        return F.aggregate(values, F.struct(F.lit(0).alias("at"), zero.alias("out")),
+                           lambda s, x: F.struct(combine(s["at"], value(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+    within = F.transform(_blocks(xs), lambda b: walk(b, lambda x: x))
+    return _let(within, lambda w: F.flatten(F.zip_with(w, walk(w, lambda x: x["at"])["out"], lambda b, o: F.transform(b["out"], lambda v: combine(o, v)))))
+
+
 def _spans(text: Column, r: Rule, number: int) -> Column:
     """array<struct<start,kind,end>> of a rule's leftmost non-overlapping matches of the least length."""
     rx = F.lit(r.pattern)
-    found = F.regexp_extract_all(text, rx, F.lit(0))
+    found = F.transform(F.regexp_extract_all(text, rx, F.lit(0)), F.char_length)
     size = F.transform(F.regexp_extract_all(text, rx, F.lit(r.group)), F.char_length)
-    between = F.transform(F.split(text, r.pattern, -1), F.char_length)
-    steps = F.zip_with(F.zip_with(F.transform(found, F.char_length), size, lambda a, b: F.struct(a.alias("n"), b.alias("size"))),
-                       F.slice(between, 1, F.size(found)), lambda a, b: F.struct(b.alias("gap"), a["n"].alias("n"), a["size"].alias("size")))
+    gap = F.transform(F.split(text, r.pattern, -1), F.char_length)
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    walked = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, m: F.struct(
-            (s["at"] + m["gap"] + m["n"]).alias("at"),
-            F.when(m["size"] >= r.least, F.concat(s["out"], F.array(F.struct(
-                (s["at"] + m["gap"]).alias("start"), F.lit(number).alias("kind"), (s["at"] + m["gap"] + m["n"]).alias("end")))))
-            .otherwise(s["out"]).alias("out")),
-        lambda s: s["out"])
-    return F.when(text.rlike(r.pattern), walked).otherwise(empty)
-
-
-def find(docs: DataFrame, keep: list[Column], id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+
+    def walked(m):
+        steps = F.transform(m["found"], lambda n, i: n + F.get(m["gap"], i))  # a match and the text between it and the last
+        return F.filter(F.transform(before(steps, lambda a, b: a + b), lambda at, i: F.when(F.get(m["size"], i) >= r.least, F.struct(
+            (at + F.get(m["gap"], i)).alias("start"), F.lit(number).alias("kind"), (at + F.get(m["gap"], i) + F.get(m["found"], i)).alias("end")))),
+            lambda s: s.isNotNull())
+    return F.when(text.rlike(r.pattern), _let(F.struct(found.alias("found"), size.alias("size"), gap.alias("gap")), walked)).otherwise(empty)
+
+
+def find(docs: DataFrame, keep: list[Column], id_col: str = "doc_id", text_col: str = "text", rules=RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every row's `keep` columns, `text` (null: empty) and `spans`, sorted by start, then by rule."""
     cand, bits = candidates(docs, rules, id_col, text_col)
     cand = stored(cand, "candidates")
-    few = cand.count() <= BROADCAST_ROWS
     x = docs.select(F.struct(*keep).alias("row"), F.col(id_col).alias("own_id"), text_of(text_col).alias("text"))
-    x = x.join(F.broadcast(cand) if few else cand, F.col("own_id").eqNullSafe(F.col("id")), "left")
+    same = F.col("own_id").eqNullSafe(F.col("id"))
+    if cand.count() <= broadcast_rows:
+        x = x.join(F.broadcast(cand), same, "left")
+    else:
+        salted = cand.select("id", "mask", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        x = x.withColumn("own_salt", F.spark_partition_id() % SALTS).join(salted, same & (F.col("own_salt") == F.col("salt")), "left")
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = []
     for n, r in enumerate(rules):
@@ -202,10 +229,17 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     cols = docs.columns
     x = find(docs, [F.col(c).alias(f"c{i}") for i, c in enumerate(cols)], id_col, text_col, rules)
     t = F.col("whole_text")
-    cleaned = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, m: F.when(m["start"] >= s["at"], F.struct(m["end"].alias("at"), F.concat(s["out"], F.substr(t, s["at"] + 1, m["start"] - s["at"]), F.lit(mark)).alias("out")))
-        .otherwise(F.struct(F.greatest(s["at"], m["end"]).alias("at"), s["out"].alias("out"))),
-        lambda s: F.concat(s["out"], F.substr(t, s["at"] + 1, F.char_length(t))))
+
+    def kept(ends):  # what stands between the secrets: (from, to), one piece more than secrets
+        pieces = F.zip_with("spans", ends, lambda m, at: F.when(m["start"] >= at, F.struct(at.alias("a"), m["start"].alias("b"))))
+        last = F.struct(F.array_max(F.transform("spans", lambda m: m["end"])).alias("a"), F.char_length(t).alias("b"))
+        return F.concat(F.filter(pieces, lambda p: p.isNotNull()), F.array(last))
+
+    def cut(block):  # out of the block's own stretch of the text: no piece counts from the text's start
+        a = F.get(block, F.lit(0))["a"]
+        stretch = F.substr(t, a + 1, F.element_at(block, -1)["b"] - a)
+        return _let(stretch, lambda x: F.array_join(F.transform(block, lambda p: F.substr(x, p["a"] - a + 1, p["b"] - p["a"])), mark))
+    pieces = kept(before(F.transform("spans", lambda m: m["end"]), lambda a, b: F.greatest(a, b)))
+    cleaned = _let(pieces, lambda ps: F.array_join(F.transform(_blocks(ps), cut), mark))
     at = cols.index(text_col)
     return x.select(*[(F.when(F.size("spans") > 0, cleaned).otherwise(F.col(f"c{i}")) if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(cols)])
