@@ -4,8 +4,10 @@ Texts are compared lower-cased (A-Z) with white space runs as one space.  A docu
 item if some passage of it is within the item's error budget, floor(max_error * length) edits.  Each item is
 split in budget + 1 pieces: a passage within the budget holds one piece unchanged, so exact piece hits
 (one Aho-Corasick automaton over the pieces of a shard of items) find every candidate place, and Myers'
-bit-parallel distance decides there.  Items are dealt in shards of at most `shard_chars` characters; each
-shard's automaton is broadcast (bounded by that size) and runs over all documents.
+bit-parallel distance decides there.  Spark deals the items to shard files of at most `shard_chars` characters (or
+one item) in the shared folder; the driver sees the files' names only.  All documents pass one stage, whose tasks
+open one shard at a time: with one shard its automaton lasts for the task, with more each takes `block_bytes` of
+texts at once.
 
 An item of so few characters that its budget is 0 is one piece and must stand as whole words: no letter or
 digit joins it on either side, except in scripts written without spaces.
@@ -18,16 +20,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import over_slices, utf8
+from .common import release, shared_path, slices, stored, utf8
+from .files import create, open_stream
 
 
 @dataclass
 class Params:
     max_error: float = 0.05     # edits per character of an item
     shard_chars: int = 4_000_000
+    block_bytes: int = 32 << 20  # of texts that one opened shard takes, where there are several
 
 
 def normal(text: str) -> str:
@@ -135,40 +141,84 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[Column], params: P
             item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Every row's `keep` columns and `hits`: (item, edits) in ascending item order, empty if clean."""
     p = params or Params()
-    spark = docs.sparkSession
-    rows = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(item_col, item_text).distinct()
-    x = docs.select(F.struct(*keep).alias("row"), utf8(text_col).cast("string").alias("text"), F.array().cast("array<struct<item:bigint,edits:int>>").alias("hits"))
-    for shard in _shards(rows.toLocalIterator(), p):  # one shard at a time on the driver
-        table = spark.sparkContext.broadcast((sorted(shard), p))
-        x = x.mapInArrow(over_slices(_run(table), "text"), x.schema)
-    return x.select("row.*", F.array_sort("hits").alias("hits"))
-
-
-def _shards(rows, p: Params):
-    shard, size = [], 0
-    for r in rows:
-        t = normal(r[1])
-        if not t:
-            continue
-        if shard and size + len(t) > p.shard_chars:
-            yield shard
-            shard, size = [], 0
-        shard.append((r[0], t))
-        size += len(t)
-    if shard:
-        yield shard
-
-
-def _run(table):
+    rows = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(
+        F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).distinct()
+    uris = shards(rows, p)
+    x = docs.select(F.struct(*keep).alias("row"), utf8(text_col).cast("string").alias("text"))
+    out = T.StructType([x.schema["row"], T.StructField("hits", HITS)])
+    return x.mapInArrow(_match(uris, p), out).select("row.*", F.array_sort("hits").alias("hits"))
+
+
+HITS = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("edits", T.IntegerType())]))
+ITEMS = pa.schema([("item", pa.int64()), ("text", pa.string())])
+
+
+def shards(rows: DataFrame, p: Params) -> list[str]:
+    """Files of the normalised items (item, text), each of at most `shard_chars` characters or one item."""
+    spark = rows.sparkSession
+    chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    folder = shared_path(spark, "items")
+
+    def write(batches):
+        held, size = [], 0
+
+        def close():
+            uri, stream = create(folder, "shard", ".arrow")
+            with stream, pa.ipc.new_stream(stream, ITEMS) as w:
+                w.write_table(pa.table([[i for i, _ in held], [t for _, t in held]], schema=ITEMS), max_chunksize=10_000)
+            return pa.RecordBatch.from_pydict({"uri": [uri]})
+        for b in batches:
+            for i, raw in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+                t = normal(raw)
+                if not t:
+                    continue
+                if held and size + len(t) > p.shard_chars:
+                    yield close()
+                    held, size = [], 0
+                held.append((i, t))
+                size += len(t)
+        if held:
+            yield close()
+    dealt = rows.repartition(1 + chars // p.shard_chars, F.xxhash64("item", "text"))
+    return sorted(r["uri"] for r in stored(dealt.mapInArrow(write, "uri string"), "item-files").collect())  # a name for each 4 MB
+
+
+def _open(uri: str, p: Params) -> Matcher:
+    with open_stream(uri) as f, pa.ipc.open_stream(f) as r:
+        t = r.read_all()
+    return Matcher(sorted(zip(t.column("item").to_pylist(), t.column("text").to_pylist())), p)
+
+
+def _match(uris: list[str], p: Params):
     kind = pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int32())]))
 
-    def run(batch, state):
-        if "m" not in state:
-            state["m"] = Matcher(*table.value)
-        old = batch.column("hits").to_pylist()
-        new = [h + [{"item": i, "edits": e} for i, e in state["m"].found(normal(t)).items()]
-               for h, t in zip(old, batch.column("text").to_pylist())]
-        return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(new, kind)], names=["row", "text", "hits"])
+    def run(batches):
+        own: list[Matcher] = []  # the only shard's automaton, once opened
+
+        def matched(block):
+            texts = [[normal(t) for t in b.column("text").to_pylist()] for b in block]
+            hits = [[[] for _ in ts] for ts in texts]
+            for uri in uris:
+                m = own[0] if own else _open(uri, p)
+                if len(uris) == 1 and not own:
+                    own.append(m)
+                for ts, hs in zip(texts, hits):
+                    for t, h in zip(ts, hs):
+                        h.extend({"item": i, "edits": e} for i, e in m.found(t).items())
+            for b, hs in zip(block, hits):
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(hs, kind)], names=["row", "hits"])
+        block, size = [], 0
+        for batch in batches:
+            for b in slices(batch, "text"):
+                n = pc.sum(pc.binary_length(b.column("text"))).as_py() or 0
+                if block and (len(uris) < 2 or size + n > p.block_bytes):
+                    yield from matched(block)
+                    block, size = [], 0
+                block.append(b)
+                size += n
+            release()
+        if block:
+            yield from matched(block)
     return run
 
 
