@@ -2,12 +2,14 @@
 
 Each word and each character n-gram of ``<word>`` is hashed to one of `buckets` learned vectors; a document
 is the average of the vectors of its features, a softmax over two outputs gives its score.  The vectors and
-the output are trained by plain stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``train_rows``, the rows with the smallest hash of their id); features are made on the executors, whole
-texts are used, and every row is scored.
+the output are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows (``train_rows``,
+the ids with the smallest hash, and of these in the same order what fits in ``train_bytes`` of features); a document's
+step is spread over its vectors so that rare features learn too, and clipped.  Features are made on the executors,
+whole texts are used, and every row is scored.
 
 Defined cases: null and empty texts have the end-of-text feature alone; a null id is scored like any other
-and never trains; labels that are null are left out, and an id with several labels counts with the smallest;
+and never trains; labels that are null are left out, and an id with several labels counts with the smallest, one with
+several texts with the one of the least hash, wherever its rows lie;
 repeated rows are scored each; without two classes in the sample the score is the share of label 1 (0.5 for
 no labels).
 """
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, over_slices, ragged, utf8
+from .common import Words, over_slices, ragged, stored, utf8
 
 END = "</s>"
 SLICE = 2 << 20  # bytes of text whose features are in memory together
@@ -31,7 +33,8 @@ PARTS = 16  # the sample reaches the driver in so many parts, one at a time
 
 @dataclass
 class Params:
-    train_rows: int = 6000      # bound on the labelled sample
+    train_rows: int = 6000      # bounds on the labelled sample: rows, and bytes of their features
+    train_bytes: int = 512 << 20
     buckets: int = 1 << 16
     dim: int = 16
     min_n: int = 3
@@ -133,11 +136,17 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None, train:
     lab = (lab.groupBy(F.col(id_col).alias("k")).agg(F.min(label_col).cast("int").alias("y"))
               .orderBy(F.xxhash64("k"), "k").limit(p.train_rows))  # bounded: p.train_rows rows
     d = docs.select(F.col(id_col).alias("k"), utf8(text_col).cast("string").alias("text"))
-    sample = (d.join(F.broadcast(lab), "k").select("k", "text", "y")
-               .mapInArrow(_featurize(p), "k long, y int, ids binary, shares binary"))
+    own = F.struct(F.xxhash64("text").alias("at"), "text")
+    one = d.join(F.broadcast(lab), "k").groupBy("k").agg(F.first("y").alias("y"), F.min(own).alias("own")).select("k", F.col("own.text").alias("text"), "y")
+    sample = stored(one.mapInArrow(_featurize(p), "k long, y int, ids binary, shares binary"), "sample")
+    size = F.octet_length("ids") + F.octet_length("shares")
+    sizes = sample.select("k", size.alias("n")).orderBy(F.xxhash64("k"), "k").collect()  # at most p.train_rows pairs
+    total = np.cumsum([r["n"] for r in sizes], dtype=np.int64)
+    fits = {r["k"] for r, n in zip(sizes, total) if n <= p.train_bytes}
     seen = {}
-    for r in sample.repartition(PARTS).toLocalIterator():  # at most p.train_rows ids
-        seen.setdefault(r["k"], (r["y"], np.frombuffer(r["ids"], _bucket_type(p)), np.frombuffer(r["shares"], np.float32)))
+    for r in sample.repartition(PARTS).toLocalIterator():
+        if r["k"] in fits:
+            seen[r["k"]] = (r["y"], np.frombuffer(r["ids"], _bucket_type(p)), np.frombuffer(r["shares"], np.float32))
     keys = sorted(seen)  # the same order of steps wherever the rows came from
     y = np.array([seen[k][0] for k in keys], dtype=np.int64)
     if len(set(y.tolist())) < 2:
