@@ -161,6 +161,16 @@ def base_spans(t):
     return ",".join(x for _, _, x in sorted(s))
 
 
+def test_quality_does_not_depend_on_where_rows_lie(spark):
+    rows = [(i % 60, ("good fine words " if i % 60 % 2 else "bad junk words ") + f"w{i}") for i in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    scores = [{r.text: r.score for r in quality.score(d, quality.fit(d.repartition(n, F.rand(n)), lab), [F.col("text").alias("own")]).withColumnRenamed("own", "text").collect()} for n in (1, 3, 7)]
+    assert scores[0] == scores[1] == scores[2]
+    p = quality.Params(train_bytes=0)
+    assert {r.score for r in quality.score(d, quality.fit(d, lab, p), [F.col("doc_id")]).collect()} == {0.5}
+
+
 def test_secrets(spark, docs, none):
     texts = ["token=password: abcdefghijklmno api-key apikey=\"ABCDEFGHIJKLMNOP\"", "é deadbeefdeadbeef0 Token'  =  \"abcdefghijkl", "ghp_" + "a" * 36, "K=ey pass word",
              "secret==" + "a" * 12 + " PASSWD:" + "b" * 12 + " api_key=short", "😀 AKIA" + "B" * 14 + " AKIAAKIA" + "C" * 9]
@@ -176,6 +186,31 @@ def test_secrets(spark, docs, none):
         assert q and all(any(s <= {w[i:i + 3] for i in range(len(w))} for s in q) for w in ("password:", "passwd=", "secret=", "token=", "api_key=", "apikey="))
 
 
+def test_running_values_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    cases = [rng.integers(0, 9, n).tolist() for n in (0, 1, 2, 3, 5, 17, 300)]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x array<int>")
+    for r in d.select("i", secrets.before(F.col("x"), lambda a, b: a + b).alias("sums"), secrets.before(F.col("x"), lambda a, b: F.greatest(a, b)).alias("most")).collect():
+        x = cases[r.i]
+        assert r.sums == [sum(x[:i]) for i in range(len(x))] and r.most == [max([0, *x[:i]]) for i in range(len(x))]
+
+
+def test_many_secrets_in_one_text(spark):
+    n = 32_000
+    d = spark.createDataFrame([(1, "é deadbeefdeadbeef " * n), (2, "xoxb-aaaaaaaaaa deadbeefdeadbeef0 tOken=" + "ab" * 20 + "-" * 3)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(d).collect()}
+    assert got[1].n_hex == n and got[1].spans == ",".join(f"hex:{19 * i + 2}:{19 * i + 18}" for i in range(n))
+    clean = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    assert clean == {1: "é [SECRET] " * n, 2: "[SECRET] [SECRET] [SECRET]"}
+
+
+def test_many_candidates_are_joined_by_shuffle(spark, docs):
+    d = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "AKIA" + "Q" * 16 + f" {i % 3}") for i in range(90)], "doc_id long, text string")).repartition(6)
+    keep = [F.col("doc_id"), F.col("text")]
+    few, many = (sorted(map(key, secrets.find(d, keep, broadcast_rows=n).select("doc_id", "text", "spans").collect())) for n in (10_000, 0))
+    assert few == many and sum("AKIAQ" in x and "start=0" in x for x in many) == 90
+
+
 def test_redaction_of_whole_keys(spark):
     body = "\n".join(("MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7" + "aB3/+" * 3)[:64] for _ in range(400))
     pem = lambda kind, inner, end=None: f"-----BEGIN {kind}PRIVATE KEY-----\n{inner}\n-----END {end or kind}PRIVATE KEY-----"
@@ -383,6 +418,18 @@ def test_decontamination(spark, docs, none):
     assert decontam.matches(none, bench, [F.col("doc_id")]).count() == 0 and decontam.matches(docs, bench.filter("false"), [F.col("doc_id")]).count() == docs.count()
 
 
+def test_decontamination_in_shards(spark, docs):
+    rng = np.random.default_rng(8)
+    items = [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(12)) for _ in range(40)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    texts = [f"before {items[i]} between {items[(7 * i) % 40]} after" for i in range(40)] + ["clean", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = decontam.Params(), decontam.Params(shard_chars=200, block_bytes=600)
+    assert len(decontam.shards(bench.selectExpr("CAST(item_id AS long) AS item", "text"), many)) >= 20
+    got = [{r.doc_id: [h["item"] for h in r.hits] for r in decontam.matches(d, bench, [F.col("doc_id")], p).collect()} for p in (one, many)]
+    assert got[0] == got[1] == {i: sorted({i, 7 * i % 40}) if i < 40 else [] for i in range(43)}
+
+
 def test_decontamination_by_short_items(spark, docs, none):
     items = ["Paris", "x = 4", "who wrote it?", "7", "the  answer\nis 42 then", "what is the name of that river", "東京", " \t"]
     bench = spark.createDataFrame([*enumerate(items), (9, None)], "item_id long, text string")
