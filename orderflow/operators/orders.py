@@ -20,6 +20,10 @@ from .ranking import fifo_position
 from .upsert import apply_updates
 from .quality import check_domain
 
+LOOKUP_ITEMS = 20_000      # names in stock that are looked up in place, without a shuffle of the orders
+LOOKUP_BYTES = 1 << 20     # and their text
+LOOKUP_SLOTS = 1024
+
 
 def default_inventory(spark: SparkSession, syrups=K.DEFAULT_SYRUPS, milks=K.DEFAULT_MILKS) -> DataFrame:
     rows = ([(s, "syrup", True, True, i) for i, s in enumerate(syrups)]
@@ -79,17 +83,51 @@ def match_menu(df: DataFrame, menu: DataFrame, id_col: str = "drink_id", label_c
     return out.select(*df.columns, *[F.col(f"_i_{c}").alias(prefix + c) for c in cols])
 
 
+def _slot(item: Column) -> Column:
+    return F.pmod(F.xxhash64(item), F.lit(LOOKUP_SLOTS)).cast("int")
+
+
+def _in_stock_slots(stock: DataFrame) -> Column | None:
+    """The names in stock, hashed into slots of one array, as a scalar: a test meets the few names of one slot.  None
+    where they are too many to be held by each task."""
+    names = stock.filter(F.col("in_stock") & F.col("item").isNotNull()).select("item")
+    size = names.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("item")).alias("b")).first()
+    if size["n"] > LOOKUP_ITEMS or (size["b"] or 0) > LOOKUP_BYTES:
+        return None
+    by = names.groupBy(_slot(F.col("item")).alias("slot")).agg(F.collect_list("item").alias("names"))
+    filled = by.agg(F.map_from_entries(F.collect_list(F.struct("slot", "names"))).alias("m"))
+    none = F.array().cast("array<string>")
+    return filled.select(F.transform(F.sequence(F.lit(0), F.lit(LOOKUP_SLOTS - 1)), lambda s: F.coalesce(F.element_at("m", s), none))).scalar()
+
+
 def _with_stock(m: DataFrame, stock: DataFrame, key: str) -> DataFrame:
-    """Each order with its stock facts, the input read once.
+    """Each order with its stock facts: _milk_ok, _bad_syrup (first out-of-stock syrup) and _ok_syrups (in-stock
+    syrups in list order).  The names in stock, where they are few (LOOKUP_ITEMS, LOOKUP_BYTES), are tested in each
+    order's row, which is neither exploded nor shuffled; a larger stock is joined (``_joined_stock``)."""
+    slots = _in_stock_slots(stock)
+    if slots is None:
+        return _joined_stock(m, stock, key)
+    items = F.concat(F.array(F.col("milk")), F.coalesce(F.col("syrups"), F.array().cast("array<string>")))
+    ok = lambda x: F.coalesce(F.array_contains(F.get(F.col("_slots"), _slot(x)), x), F.lit(False))
+    # _slots is used once, so the scalar is folded into the test and never part of a row
+    tested = m.select("*", slots.alias("_slots")).select(
+        *m.columns, F.transform(items, lambda x: F.struct(x.alias("item"), ok(x).alias("ok"))).alias("_tested"))
+    syrups = F.slice("_tested", F.lit(2), F.size("_tested"))
+    named = lambda a: F.transform(a, lambda x: x["item"])
+    return tested.select(*m.columns, F.get("_tested", F.lit(0))["ok"].alias("_milk_ok"),
+                         F.get(named(F.filter(syrups, lambda x: ~x["ok"])), F.lit(0)).alias("_bad_syrup"),
+                         named(F.filter(syrups, lambda x: x["ok"])).alias("_ok_syrups"))
+
+
+def _joined_stock(m: DataFrame, stock: DataFrame, key: str) -> DataFrame:
+    """``_with_stock`` by a join with a stock of any size, the input read once.
 
     An order is exploded to (position, item), the milk at position 0 and
     the syrups after it, and rides along as a struct on position 0 only, so
     the shuffle carries it once and narrow rows beside it.  One join with
     the stock table, one aggregate per order.  Orders are told apart by
     ``key`` and a hash of the row: rows that share a key or have none keep
-    apart, and equal rows come back as often as they came.  Adds _milk_ok,
-    _bad_syrup (first out-of-stock syrup) and _ok_syrups (in-stock syrups
-    in list order)."""
+    apart, and equal rows come back as often as they came."""
     items = F.concat(F.array(F.col("milk")), F.coalesce(F.col("syrups"), F.array().cast("array<string>")))
     row = F.struct(*m.columns)
     ex = m.select(F.col(key).alias("_key"), F.xxhash64(*m.columns).alias("_hash"), row.alias("_row"), F.posexplode(items).alias("_pos", "_item"))
