@@ -211,9 +211,11 @@ def last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queue_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every queue order, a row per line with the line's part as the drink; an order without lines has one row."""
     q = queue(spark, sf_dir).select("id", "customer_key", "customer_name", "temperature")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # one shuffle by the order serves both the distinct lines and the join
+    li = li.select(F.col("l_orderkey").cast("string").alias("_oid"), "l_linenumber", "l_partkey", "l_suppkey").repartition("_oid").distinct()
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    j = (q.join(li, q.id == li.l_orderkey.cast("string"), "left")
+    j = (q.join(li, q.id == F.col("_oid"), "left")
           .join(p, F.col("l_partkey") == F.col("p_partkey"), "left"))
     k = F.col("customer_key")
     return j.select(
