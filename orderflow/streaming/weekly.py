@@ -7,6 +7,9 @@ rows always sum to the input.  A batch writes its outputs to folders named by it
 state's marker, which holds the watermark and the batch id: readers see published batches only, a replayed batch
 writes the same rows again or does nothing, and an executor lost in between costs a retry.
 
+A batch's rows are read twice, for the late ones and for the counts, and only counts are held in memory, so the source
+must give a batch's rows again, as files do.
+
 Defined cases: rows without a time are late rows; an empty batch closes nothing; weeks are local, so those with a
 clock change are 167 or 169 hours long.
 """
@@ -48,17 +51,20 @@ class WeeklyStream:
     def _batch(self, batch: DataFrame, number: int) -> None:
         if self.state.applied("weekly", number):
             return
-        batch = batch.persist()
+        before, time = self.watermark(), F.col(self.time_col)
+        late = time.isNull()
+        if before is not None:  # a week has ended by the watermark if it lies before the watermark's own week
+            late = late | (time < F.lit(A.week_bounds(before, 0, self.tz)[0]))
+        batch.filter(late).write.mode("overwrite").parquet(f"{self.base}/late/batch={number}")
+        dated = batch.filter(~late).withColumn("week_start", X.week_start(self.time_col, self.tz))
+        base = A.clean_base(dated.withColumn("_time", time), keep=("week_start", "_time"))
+        added = A.unpivot(base, ("week_start", "_time")).groupBy(*COUNTS).agg(F.count(F.lit(1)).alias("cnt"), F.max("_time").alias("_newest")).persist()
         try:
-            before = self.watermark()
-            newest = batch.agg(F.max(self.time_col).cast("timestamp_ntz").alias("t")).first()["t"]
+            # late rows lie before the watermark, so the newest row counted moves it
+            newest = added.agg(F.max("_newest").cast("timestamp_ntz").alias("t")).first()["t"]
             seen = [t for t in (before, newest - self.delay if newest else None) if t]
             after = max(seen) if seen else None
-            dated = batch.withColumn("week_start", X.week_start(self.time_col, self.tz))
-            late = F.col("week_start").isNull() | self._ended(before)
-            dated.filter(late).drop("week_start").write.mode("overwrite").parquet(f"{self.base}/late/batch={number}")
-            rows = A.item_counts(A.clean_base(dated.filter(~late), keep=("week_start",)), ("week_start",))
-            old = self.state.read()
+            rows, old = added.drop("_newest"), self.state.read()
             if old is not None:
                 rows = rows.unionByName(old.select(*rows.columns)).groupBy(*COUNTS).agg(F.sum("cnt").cast("long").alias("cnt"))
             rows = rows.persist()
@@ -69,7 +75,7 @@ class WeeklyStream:
             finally:
                 rows.unpersist()
         finally:
-            batch.unpersist()
+            added.unpersist()
 
     def start(self, df: DataFrame, checkpoint: str, trigger: dict | None = None):
         """Run the stream ``df`` of archive rows; returns the streaming query."""
