@@ -119,14 +119,17 @@ class Model:
         p = pick - np.ravel(top) - np.log(o @ np.ones(s.classes, dtype=np.float32)) + self.inside[hit]
         return np.where(ok, p, 0.0).reshape(target.shape).sum(axis=1, dtype=np.float64)
 
-    def score(self, ids: np.ndarray, offsets: np.ndarray, chunk: int = 192) -> np.ndarray:
-        """log10 probability of each document's ids."""
-        out = np.zeros(len(offsets) - 1)
-        if not len(ids):
-            return out
-        symbols, target, doc = self.windows(ids, offsets)
-        got = np.concatenate([self.log_probs(symbols[a:a + chunk], target[a:a + chunk]) for a in range(0, len(doc), chunk)])
-        return np.bincount(doc, weights=got, minlength=len(out)) / np.log(10)
+    def score(self, ids: np.ndarray, offsets: np.ndarray, chunk: int = 192, run: int = 300_000) -> np.ndarray:
+        """log10 probability of each document's ids; windows are made for at most `run` ids (or one document) at once."""
+        out, a = np.zeros(len(offsets) - 1), 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + run, side="right")) - 1)
+            if offsets[b] > offsets[a]:
+                symbols, target, doc = self.windows(ids[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                got = np.concatenate([self.log_probs(symbols[i:i + chunk], target[i:i + chunk]) for i in range(0, len(doc), chunk)])
+                out[a:b] = np.bincount(doc, weights=got, minlength=b - a) / np.log(10)
+            a = b
+        return out
 
 
 def bias(b: np.ndarray, s: Shape) -> np.ndarray:

@@ -176,7 +176,9 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices start..start+size of each pair, one after the other."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(total)
+    return at
 
 
 def binary_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:

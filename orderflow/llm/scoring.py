@@ -7,7 +7,7 @@ count, and the sums come back by block.  The model is a causal self-attention ne
 (``attention``): its subword statistics are the counts of the whole training corpus, its weights are trained
 on every window of every training document, and overlapping windows score each subword once.  Training runs in
 rounds over disjoint shares of the documents, each twice the share before it: every task starts from the common
-state, passes over its windows with numpy, and the tasks' states are averaged by their windows (treeAggregate),
+state, passes over its windows with numpy, and the tasks' states are averaged by their windows, FAN_IN at a time,
 so what is learned from grows with the corpus and the driver holds one state.  A task has TASK_TOKENS subwords
 or more, else it would average states that have hardly moved; a corpus of under `steps` batches is passed again.
 The weights depend on how the documents lie in files, as sums depend on their order.
@@ -35,8 +35,10 @@ HEAVY = 100_000
 BLOCK_BYTES = 12 << 20
 TRAIN_BYTES = 2 << 20
 TASK_TOKENS = 2_000_000
+FAN_IN = 32  # states averaged by one task
 ROUNDS = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16))  # from and to, in 16 shares of the documents
 PAIR = np.dtype([("row", "<u4"), ("n", "<u4")])
+STATE = "task int, state binary, windows long"
 SUM = np.dtype([("row", "<u4"), ("known", "<u4"), ("value", "<f8")])
 PASS = "word string, block long, pairs binary, row int, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
 PASS_ARROW = pa.schema([("word", pa.string()), ("block", pa.int64()), ("pairs", pa.binary()), ("row", pa.int32()), ("doc_id", pa.int64()),
@@ -80,6 +82,12 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return x.mapInArrow(over_slices(_count, "text", BLOCK_BYTES), "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def _ended(enc, w: Words, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of a batch's words, an end behind each document, and where each document's begin and end."""
+    ids, offsets = enc.of_words(w)
+    return np.insert(np.minimum(ids, np.uint32(end)), offsets[1:], end), offsets + np.arange(len(offsets))
+
+
 def _pass(vocabulary: str, heavy, model):
     """One row per document, and one per block and light word with the documents that hold it."""
     def run(batch, state):
@@ -95,10 +103,7 @@ def _pass(vocabulary: str, heavy, model):
         base = w.sums(np.where(known, state["log"][at], 0.0))
         n_known = w.sums(known.astype(np.int64))
         m = model.value
-        ids, offsets = state["enc"].of_words(w)
-        end = len(m.kind) - 1
-        ids = np.insert(np.minimum(ids, end).astype(np.int64), offsets[1:], end)
-        score = m.score(ids, offsets + np.arange(len(offsets)))
+        score = m.score(*_ended(state["enc"], w, len(m.kind) - 1))
         # light words: (document, times) pairs, grouped by word
         light = ~known[w.codes]
         pair, times = np.unique(w.codes[light].astype(np.int64) * rows + w.doc_of()[light], return_counts=True)
@@ -213,8 +218,7 @@ def score(docs: DataFrame, held_out: Column, params: Params, id_col: str = "doc_
 
 def sequences(texts: pa.Array, vocabulary: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Subword ids of texts, each with its end."""
-    ids, offsets = encoder(vocabulary).of_words(Words(texts, lower=True))
-    return np.insert(np.minimum(ids, end).astype(np.int64), offsets[1:], end), offsets + np.arange(len(offsets))
+    return _ended(encoder(vocabulary), Words(texts, lower=True), end)
 
 
 def _train(vocabulary: str, common, rate: float, passes: int):
@@ -227,17 +231,24 @@ def _train(vocabulary: str, common, rate: float, passes: int):
                 trainer.run(*sequences(s.column("text"), vocabulary, len(trainer.m.kind) - 1), rate, passes)
             release()
         if trainer:
-            yield pa.RecordBatch.from_arrays([pa.array([trainer.state().tobytes()], pa.binary()), pa.array([trainer.windows])], names=["state", "windows"])
+            yield _state_row(trainer.state(), trainer.windows)
     return run
 
 
-def _add(total, row):
-    state, n = np.frombuffer(row["state"]) * row["windows"], row["windows"]
-    return (state, n) if total is None else (total[0] + state, total[1] + n)
+def _state_row(state: np.ndarray, windows: int):
+    at = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([state.tobytes()], pa.binary()), pa.array([windows], pa.int64())], names=["task", "state", "windows"])
 
 
-def _merge(a, b):
-    return b if a is None else a if b is None else (a[0] + b[0], a[1] + b[1])
+def _mean(batches):
+    """States -> their mean by windows, as one row."""
+    total, n = None, 0
+    for b in batches:
+        for state, windows in zip(b.column("state"), b.column("windows").to_pylist()):
+            x = np.frombuffer(state.as_py()) * windows
+            total, n = x if total is None else total + x, n + windows
+    if n:
+        yield _state_row(total / n, n)
 
 
 def fit(rows: DataFrame, model: Model, vocabulary: str, tokens: int) -> Model:
@@ -245,12 +256,17 @@ def fit(rows: DataFrame, model: Model, vocabulary: str, tokens: int) -> Model:
     sc, s, state = rows.sparkSession.sparkContext, model.shape, state_of(model)
     passes = max(1, -(-s.steps * s.batch * s.stride // max(tokens, 1)))
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS[-1][1]))
-    x = rows.select("text", share.alias("share")).coalesce(max(1, tokens // TASK_TOKENS))
+    tasks = max(1, tokens // TASK_TOKENS)
+    x = rows.select("text", share.alias("share")).coalesce(tasks)
     for a, b in ROUNDS:
         common = sc.broadcast((model, state))
         rate = s.rate * (1 - (a + b) / 2 / ROUNDS[-1][1])
-        done = x.filter((F.col("share") >= a) & (F.col("share") < b)).select("text").mapInArrow(_train(vocabulary, common, rate, passes), "state binary, windows long")
-        total = done.rdd.treeAggregate(None, _add, _merge)
-        if total is not None:
-            state = total[0] / total[1]
+        done = x.filter((F.col("share") >= a) & (F.col("share") < b)).select("text").mapInArrow(_train(vocabulary, common, rate, passes), STATE)
+        left = tasks
+        while left > 1:  # in stages of their own, so no task runs two workers
+            left = -(-left // FAN_IN)
+            done = done.repartition(left).sortWithinPartitions("task").mapInArrow(_mean, STATE)
+        mean = done.first()
+        if mean is not None:
+            state = np.frombuffer(mean["state"])
     return with_state(model, state)

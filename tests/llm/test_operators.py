@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -262,6 +263,31 @@ def test_attention_scores_as_its_gradients_see_it():
         assert m.prepare().score(ids, offsets).sum() * np.log(10) == pytest.approx(exp, rel=1e-4)
 
 
+def test_attention_makes_windows_of_bounded_runs(monkeypatch):
+    rng, made = np.random.default_rng(5), []
+    m = attention.build(rng.integers(1, 50, 300).astype(float), attention.Shape())
+    offsets = np.array([0, 0, 130, 130, 131, 500, 900, 1000])
+    ids = rng.integers(0, 300, 1000)
+    whole, windows = m.score(ids, offsets), attention.Model.windows
+    monkeypatch.setattr(attention.Model, "windows", lambda self, i, o: made.append(len(i)) or windows(self, i, o))
+    assert m.score(ids, offsets, run=200) == pytest.approx(whole, rel=1e-6)
+    assert made == [131, 369, 400, 100]  # whole documents, those over a run alone
+
+
+def test_scoring_averages_states_in_stages_of_their_own(spark, monkeypatch):
+    path = vocabulary("word_bpe_49k.json")
+    monkeypatch.setattr(scoring, "TASK_TOKENS", 100)
+    monkeypatch.setattr(scoring, "with_state", lambda m, state: state)
+    monkeypatch.setattr(DataFrame, "rdd", property(lambda self: pytest.fail("an RDD of rows adds a Python worker to each training task")))
+    rows = spark.createDataFrame([(i, "one two three four " * (1 + i % 9)) for i in range(300)], "doc_id long, text string").repartition(5).cache()
+    model = attention.build(np.ones(Encoder(path).tok.get_vocab_size() + 1), attention.Shape(steps=1, batch=4))
+    got = {}
+    for n in (2, 32):
+        monkeypatch.setattr(scoring, "FAN_IN", n)
+        got[n] = scoring.fit(rows, model, path, 7000)
+    assert got[2] == pytest.approx(got[32], abs=1e-6) and got[2][-1] > 1
+
+
 def test_scoring_base(spark, docs, none):
     p = scoring.Params(vocabulary=vocabulary("word_bpe_49k.json"), shape=attention.Shape(steps=5))
     d = docs.select("doc_id", "text", "source")
