@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .attention import Model, Shape, Trainer, build, state_of, with_state
-from .common import Words, binary_array, over_slices, release, slices, stored, text_of
+from .common import Words, binary_array, over_slices, ragged, release, slices, stored, text_of
 from .encode import encoder
 
 HEAVY = 100_000
@@ -65,10 +65,8 @@ def _subwords(vocabulary: str):
     def run(batches):
         enc, total = encoder(vocabulary), None
         for b in batches:
-            got = [enc.chunks[w] for w in b.column("word").to_pylist()]
-            n = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
-            ids = np.frombuffer(b"".join(got), dtype=np.uint32)
-            add = np.bincount(ids, weights=np.repeat(b.column("c").to_numpy(), n), minlength=enc.tok.get_vocab_size())
+            ids, start, n = enc.of_chunks(b.column("word"))
+            add = np.bincount(ids[ragged(start, n)], weights=np.repeat(b.column("c").to_numpy(), n), minlength=enc.tok.get_vocab_size())
             total = add if total is None else total + add
         if total is not None:
             at = np.flatnonzero(total)
