@@ -39,15 +39,19 @@ def class_table(counts: np.ndarray, classes: int) -> np.ndarray:
     return out
 
 
-def _softmax(x):
-    if x.size and x.max() <= 60:  # the largest of a row is taken off only where exp needs it
-        e = np.exp(x)
-        total = e @ np.ones((x.shape[-1], 1), dtype=x.dtype)
+def _exps(make):
+    """Exponentials of make()'s last axis and their sums; the largest of a row is taken off only where exp needs it."""
+    x = make()
+    one = np.ones((x.shape[-1], 1), dtype=x.dtype)
+    if x.size and x.max() <= 60:
+        np.exp(x, out=x)
+        total = x @ one
         if total.min() > 1e-20:
-            e /= total
-            return e
-    e = np.exp(x - x.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
+            return x, total
+        x = make()
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ one
 
 
 @dataclass
@@ -69,7 +73,7 @@ class Model:
         self.tables = {k: np.ascontiguousarray(v, dtype=np.float32) for k, v in self.tables.items()}
         t = self.tables
         t["bound"] = float(np.linalg.norm(t["q"][:, :-1], axis=1).max() * np.linalg.norm(t["k"][:, :-1], axis=1).max() + w["B"].max())
-        t["span"] = float(2 * np.abs(w["U"]).sum(axis=0).max() + np.ptp(w["u"]))  # no two outputs are further apart
+        t["reach"] = float((np.abs(w["U"]).sum(axis=0) + np.abs(w["u"])).max())  # no output is further from 0
         return self
 
     def windows(self, ids: np.ndarray, offsets: np.ndarray):
@@ -114,9 +118,12 @@ class Model:
         ok = hit >= 0
         hit = np.where(ok, hit, 0)
         pick = o[np.arange(len(o)), self.kind[hit]]
-        top = o.max() if t["span"] <= 60 and len(o) else o.max(axis=-1, keepdims=True)
-        np.exp(np.subtract(o, top, out=o), out=o)
-        p = pick - np.ravel(top) - np.log(o @ np.ones(s.classes, dtype=np.float32)) + self.inside[hit]
+        if t["reach"] > 60:
+            top = o.max(axis=-1, keepdims=True)
+            o -= top
+            pick -= top[:, 0]
+        np.exp(o, out=o)
+        p = pick - np.log(o @ np.ones(s.classes, dtype=np.float32)) + self.inside[hit]
         return np.where(ok, p, 0.0).reshape(target.shape).sum(axis=1, dtype=np.float64)
 
     def score(self, ids: np.ndarray, offsets: np.ndarray, chunk: int = 192, run: int = 300_000) -> np.ndarray:
@@ -162,42 +169,64 @@ def _scatter(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
 
 
 def gradients(m: Model, symbols: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-    """Mean loss of the classes and its gradient in every weight; projections are made and pulled back once a symbol."""
+    """Mean loss of the classes and its gradient in every weight.  Projections are made once a symbol and pulled back once
+    a position; softmaxes stay undivided, their sums go into the smaller factors of the products."""
     s, w = m.shape, m.weights
     d, k, e = s.dim, s.stride, w["E"]
-    scale = e.dtype.type(1 / np.sqrt(d))
-    to = np.hstack((w["Q"] * scale, w["R"], w["K"], w["V"]))
-    table = e @ to
+    of = e.dtype.type
+    scale = of(1 / np.sqrt(d))
+    to_own, to_all = np.hstack((w["Q"] * scale, w["R"])), np.hstack((w["K"], w["V"]))
     own = symbols[:, -k:]
-    qr, kv = table[:, :2 * d].take(own, axis=0), table[:, 2 * d:].take(symbols, axis=0)
-    q, key, v = qr[..., :d], kv[..., :d], kv[..., d:]
-    a = q @ key.transpose(0, 2, 1)
-    a += bias(w["B"], s)
-    a += np.where(symbols == 0, e.dtype.type(-1e9), e.dtype.type(0))[:, None, :]
-    a = _softmax(a)
-    c = a @ v
-    z = qr[..., d:] + c
-    h = np.tanh(z)
-    flat = h.reshape(-1, d)
-    p = _softmax(flat @ w["U"] + w["u"])
+    qr, kv = (e @ to_own).take(own, axis=0), np.hstack((e @ to_all, np.ones((len(e), 1), dtype=e.dtype))).take(symbols, axis=0)
+    q, key, v = qr[..., :d], kv[..., :d], kv[..., d:]  # v has a column of ones
+    near = bias(w["B"], s).astype(e.dtype)
+    padded = np.flatnonzero((symbols == 0).any(axis=1))
+    mask = np.where(symbols[padded] == 0, of(-1e9), of(0))[:, None, :]
+
+    def scores():
+        x = q @ key.transpose(0, 2, 1)
+        x += near
+        x[padded] += mask
+        return x
+    a, total = _exps(scores)
+    over = 1 / total
+    c = (a @ v)[..., :-1] * over
+    h = np.empty((*own.shape, d + 1), dtype=e.dtype)
+    h[..., -1] = 1
+    np.tanh(qr[..., d:] + c, out=h[..., :-1])
+    flat, out = h.reshape(-1, d + 1), np.vstack((w["U"], w["u"]))
+    p, total = _exps(lambda: flat @ out)
     hit = target.reshape(-1)
     ok = hit >= 0
     at = np.arange(len(hit)), m.kind[np.where(ok, hit, 0)]
     n = max(1, int(ok.sum()))
-    loss = -(np.log(p[at] + 1e-30) * ok).sum() / n
-    p[at] -= 1
-    p *= (ok / e.dtype.type(n))[:, None]
-    g = {"U": flat.T @ p, "u": p.sum(0)}
-    dz = (p @ w["U"].T).reshape(h.shape)
-    dz *= 1 - h * h
-    ds = a * (dz @ v.transpose(0, 2, 1) - (dz * c).sum(-1, keepdims=True))
+    loss = -(np.log(p[at] / total[:, 0] + 1e-30) * ok).sum() / n
+    share = ok / of(n)
+    p *= share[:, None] / total
+    p[at] -= share
+    back = flat.T @ p
+    g = {"U": back[:-1], "u": back[-1]}
+    mine, theirs = np.empty((*own.shape, 2 * d), dtype=e.dtype), np.empty((*symbols.shape, 2 * d), dtype=e.dtype)
+    dz = (p @ w["U"].T).reshape(*own.shape, d)
+    h *= h
+    dz *= 1 - h[..., :-1]
+    y = np.empty_like(h)
+    np.multiply(dz, over, out=y[..., :-1])
+    np.negative(np.einsum("bkd,bkd->bk", y[..., :-1], c), out=y[..., -1])
+    ds = y @ v.transpose(0, 2, 1)
+    ds *= a
     gap = np.arange(s.window - k, s.window)[:, None] - np.arange(s.window)[None, :]
     g["B"] = np.bincount(np.maximum(gap, 0).ravel(), weights=(ds.sum(0) * (gap >= 0)).ravel(), minlength=s.window)
-    mine = _scatter(own, np.concatenate((ds @ key, dz), axis=-1), len(e))
-    theirs = _scatter(symbols, np.concatenate((ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz), axis=-1), len(e))
-    back = np.hstack((mine, theirs))
-    g["E"] = back @ to.T
-    g["Q"], g["R"], g["K"], g["V"] = np.split(e.T @ back, 4, axis=1)
+    np.matmul(ds, key, out=mine[..., :d])
+    mine[..., d:] = dz
+    np.matmul(ds.transpose(0, 2, 1), q, out=theirs[..., :d])
+    np.matmul(a.transpose(0, 2, 1), y[..., :-1], out=theirs[..., d:])
+    flat_mine, flat_theirs = mine.reshape(-1, 2 * d), theirs.reshape(-1, 2 * d)
+    pull = (flat_theirs @ to_all.T).reshape(*symbols.shape, d)
+    pull[:, -k:] += (flat_mine @ to_own.T).reshape(*own.shape, d)
+    g["E"] = _scatter(symbols, pull, len(e))
+    g["Q"], g["R"] = np.split(e.take(own.reshape(-1), axis=0).T @ flat_mine, 2, axis=1)
+    g["K"], g["V"] = np.split(e.take(symbols.reshape(-1), axis=0).T @ flat_theirs, 2, axis=1)
     g["Q"] = g["Q"] * scale
     return loss, g
 
