@@ -66,6 +66,8 @@ class Encoder:
     dropped.  Lower-casing vocabularies are recognised from the tokenizer's own output.
     """
 
+    kind, single, lower = np.full(256, ODD, dtype=np.uint8), False, False  # an encoder that sets no others has no pieces cut
+
     def __init__(self, path: str, cache: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
