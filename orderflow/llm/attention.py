@@ -9,6 +9,7 @@ sums to one over the vocabulary.  Frequent subwords are classes and inputs of th
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 import numpy as np
 
@@ -39,11 +40,11 @@ def class_table(counts: np.ndarray, classes: int) -> np.ndarray:
     return out
 
 
-def _exps(make):
-    """Exponentials of make()'s last axis and their sums; the largest of a row is taken off only where exp needs it."""
+def _exps(make, bound: float = np.inf):
+    """Exponentials of make()'s last axis and their sums; the largest of a row is taken off only where exp needs it.  `bound`: no value is further from 0."""
     x = make()
     one = np.ones((x.shape[-1], 1), dtype=x.dtype)
-    if x.size and x.max() <= 60:
+    if x.size and (bound <= 60 or x.max() <= 60):
         np.exp(x, out=x)
         total = x @ one
         if total.min() > 1e-20:
@@ -69,7 +70,7 @@ class Model:
         one, mask = np.ones((len(w["E"]), 1)), np.zeros((len(w["E"]), 1))
         mask[0] = -1e9
         self.tables = {"q": np.hstack((w["E"] @ w["Q"] / np.sqrt(d), one)), "k": np.hstack((w["E"] @ w["K"], mask)),
-                       "v": np.hstack((w["E"] @ w["V"], one)), "r": w["E"] @ w["R"], "bias": bias(w["B"], self.shape), "U": np.vstack((w["U"], w["u"]))}
+                       "v": np.hstack((w["E"] @ w["V"], one)), "r": w["E"] @ w["R"], "bias": bias(w["B"], self.shape), "U": w["U"], "u": w["u"]}
         self.tables = {k: np.ascontiguousarray(v, dtype=np.float32) for k, v in self.tables.items()}
         t = self.tables
         t["bound"] = float(np.linalg.norm(t["q"][:, :-1], axis=1).max() * np.linalg.norm(t["k"][:, :-1], axis=1).max() + w["B"].max())
@@ -108,16 +109,15 @@ class Model:
             x -= x.max(axis=-1, keepdims=True)
         np.exp(x, out=x)
         c = x @ t["v"].take(symbols, axis=0)  # its last column is the sum of the weights
-        z = t["r"].take(own, axis=0)
-        z += c[..., :-1] / np.maximum(c[..., -1:], 1e-30)
-        h = np.empty((*own.shape, s.dim + 1), dtype=np.float32)
-        h[..., -1] = 1
-        np.tanh(z, out=h[..., :-1])
-        o = h.reshape(-1, s.dim + 1) @ t["U"]
+        z = c[..., :-1] * (1 / np.maximum(c[..., -1:], np.float32(1e-30)))
+        z += t["r"].take(own, axis=0)
+        np.tanh(z, out=z)
+        o = z.reshape(-1, s.dim) @ t["U"]
+        o += t["u"]
         hit = target.reshape(-1)
         ok = hit >= 0
         hit = np.where(ok, hit, 0)
-        pick = o[np.arange(len(o)), self.kind[hit]]
+        pick = o.reshape(-1)[self.kind[hit] + np.arange(len(o)) * s.classes]
         if t["reach"] > 60:
             top = o.max(axis=-1, keepdims=True)
             o -= top
@@ -139,10 +139,16 @@ class Model:
         return out
 
 
+@cache
+def _gaps(window: int, stride: int) -> np.ndarray:
+    """stride x window: the distance to each input, `window` for later ones."""
+    gap = np.arange(window - stride, window)[:, None] - np.arange(window)[None, :]
+    return np.where(gap >= 0, gap, window)
+
+
 def bias(b: np.ndarray, s: Shape) -> np.ndarray:
     """stride x window: the bias of each distance, no later input."""
-    gap = np.arange(s.window - s.stride, s.window)[:, None] - np.arange(s.window)[None, :]
-    return np.where(gap >= 0, b[np.maximum(gap, 0)], -1e9)
+    return np.append(b, -1e9)[_gaps(s.window, s.stride)]
 
 
 def build(counts: np.ndarray, shape: Shape) -> Model:
@@ -168,66 +174,74 @@ def _scatter(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(flat, weights=x.ravel(), minlength=n * wide).reshape(n, wide).astype(x.dtype)
 
 
-def gradients(m: Model, symbols: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-    """Mean loss of the classes and its gradient in every weight.  Projections are made once a symbol and pulled back once
-    a position; softmaxes stay undivided, their sums go into the smaller factors of the products."""
+def gradients(m: Model, symbols: np.ndarray, target: np.ndarray, with_loss: bool = True) -> tuple[float, dict]:
+    """Mean loss of the classes (nan if not wanted) and its gradient in every weight.
+
+    Queries meet the inputs themselves through Q K', so keys are not made and inputs get their gradient from keys and
+    values by one product; softmaxes stay undivided, their sums go into the smaller factors."""
     s, w = m.shape, m.weights
     d, k, e = s.dim, s.stride, w["E"]
     of = e.dtype.type
     scale = of(1 / np.sqrt(d))
-    to_own, to_all = np.hstack((w["Q"] * scale, w["R"])), np.hstack((w["K"], w["V"]))
+    meet = (w["Q"] * scale) @ w["K"].T
     own = symbols[:, -k:]
-    qr, kv = (e @ to_own).take(own, axis=0), np.hstack((e @ to_all, np.ones((len(e), 1), dtype=e.dtype))).take(symbols, axis=0)
-    q, key, v = qr[..., :d], kv[..., :d], kv[..., d:]  # v has a column of ones
+    one, mask = np.ones((len(e), 1), dtype=e.dtype), np.zeros((len(e), 1), dtype=e.dtype)
+    mask[0] = -1e9
+    every = np.hstack((mask, e, one)).take(symbols, axis=0)
+    mine = np.hstack((one, e @ meet, e @ w["R"])).take(own, axis=0)
+    x, q = every[..., 1:-1], mine[..., :d + 1]
     near = bias(w["B"], s).astype(e.dtype)
-    padded = np.flatnonzero((symbols == 0).any(axis=1))
-    mask = np.where(symbols[padded] == 0, of(-1e9), of(0))[:, None, :]
+    pulls = np.empty((len(symbols), 2 * k, s.window), dtype=e.dtype)  # softmax, and what comes back into its scores
 
     def scores():
-        x = q @ key.transpose(0, 2, 1)
-        x += near
-        x[padded] += mask
-        return x
+        a = np.matmul(q, every[..., :-1].transpose(0, 2, 1), out=pulls[:, :k])
+        a += near
+        return a
     a, total = _exps(scores)
     over = 1 / total
-    c = (a @ v)[..., :-1] * over
-    h = np.empty((*own.shape, d + 1), dtype=e.dtype)
-    h[..., -1] = 1
-    np.tanh(qr[..., d:] + c, out=h[..., :-1])
-    flat, out = h.reshape(-1, d + 1), np.vstack((w["U"], w["u"]))
-    p, total = _exps(lambda: flat @ out)
+    c = a @ x
+    c *= over
+    seen = c.reshape(-1, d)
+    z = seen @ w["V"]
+    z += mine[..., d + 1:].reshape(-1, d)
+    np.tanh(z, out=z)
+
+    def outputs():
+        o = z @ w["U"]
+        o += w["u"]
+        return o
+    p, total = _exps(outputs, float((np.abs(w["U"]).sum(axis=0) + np.abs(w["u"])).max()))
     hit = target.reshape(-1)
     ok = hit >= 0
-    at = np.arange(len(hit)), m.kind[np.where(ok, hit, 0)]
-    n = max(1, int(ok.sum()))
-    loss = -(np.log(p[at] / total[:, 0] + 1e-30) * ok).sum() / n
-    share = ok / of(n)
-    p *= share[:, None] / total
-    p[at] -= share
-    back = flat.T @ p
-    g = {"U": back[:-1], "u": back[-1]}
-    mine, theirs = np.empty((*own.shape, 2 * d), dtype=e.dtype), np.empty((*symbols.shape, 2 * d), dtype=e.dtype)
-    dz = (p @ w["U"].T).reshape(*own.shape, d)
-    h *= h
-    dz *= 1 - h[..., :-1]
-    y = np.empty_like(h)
-    np.multiply(dz, over, out=y[..., :-1])
-    np.negative(np.einsum("bkd,bkd->bk", y[..., :-1], c), out=y[..., -1])
-    ds = y @ v.transpose(0, 2, 1)
+    at = m.kind[np.where(ok, hit, 0)] + np.arange(len(hit)) * s.classes
+    n, flat = max(1, int(ok.sum())), p.reshape(-1)
+    got, total = flat[at], total[:, 0]
+    loss = -(np.log(got / total + 1e-30) * ok).sum() / n if with_loss else np.nan
+    flat[at] = got - total
+    share = (ok / of(n)).astype(e.dtype) / total  # of a row's undivided gradient
+    g = {"U": (p.T @ (z * share[:, None])).T, "u": share @ p}
+    dz = p @ w["U"].T
+    dz *= share[:, None]
+    z *= z
+    dz *= 1 - z
+    y = np.empty((*own.shape, d + 1), dtype=e.dtype)
+    into = (dz @ w["V"].T).reshape(*own.shape, d)
+    into *= over
+    y[..., :-1] = into
+    np.negative((into * c) @ np.ones(d, dtype=e.dtype), out=y[..., -1])
+    ds = np.matmul(y, every[..., 1:].transpose(0, 2, 1), out=pulls[:, k:])
     ds *= a
-    gap = np.arange(s.window - k, s.window)[:, None] - np.arange(s.window)[None, :]
-    g["B"] = np.bincount(np.maximum(gap, 0).ravel(), weights=(ds.sum(0) * (gap >= 0)).ravel(), minlength=s.window)
-    np.matmul(ds, key, out=mine[..., :d])
-    mine[..., d:] = dz
-    np.matmul(ds.transpose(0, 2, 1), q, out=theirs[..., :d])
-    np.matmul(a.transpose(0, 2, 1), y[..., :-1], out=theirs[..., d:])
-    flat_mine, flat_theirs = mine.reshape(-1, 2 * d), theirs.reshape(-1, 2 * d)
-    pull = (flat_theirs @ to_all.T).reshape(*symbols.shape, d)
-    pull[:, -k:] += (flat_mine @ to_own.T).reshape(*own.shape, d)
+    g["B"] = np.bincount(_gaps(s.window, k).ravel(), weights=ds.sum(0).ravel(), minlength=s.window + 1)[:-1]
+    back = np.empty((*own.shape, 2 * d), dtype=e.dtype)
+    np.matmul(ds, x, out=back[..., :d])
+    back[..., d:] = dz.reshape(*own.shape, d)
+    pull = pulls.transpose(0, 2, 1) @ np.concatenate((into, q[..., 1:]), axis=1)
+    back = back.reshape(-1, 2 * d)
+    pull[:, -k:] += (back @ np.vstack((meet.T, w["R"].T))).reshape(*own.shape, d)
     g["E"] = _scatter(symbols, pull, len(e))
-    g["Q"], g["R"] = np.split(e.take(own.reshape(-1), axis=0).T @ flat_mine, 2, axis=1)
-    g["K"], g["V"] = np.split(e.take(symbols.reshape(-1), axis=0).T @ flat_theirs, 2, axis=1)
-    g["Q"] = g["Q"] * scale
+    met, g["R"] = np.split((back.T @ x[:, -k:].reshape(-1, d)).T, 2, axis=1)
+    g["V"] = seen.T @ dz
+    g["Q"], g["K"] = met @ w["K"] * scale, met.T @ w["Q"] * scale
     return loss, g
 
 
@@ -269,7 +283,7 @@ class Trainer:
             return
         order = np.concatenate([self.rng.permutation(n) for _ in range(passes)])
         for at in np.array_split(order, -(-len(order) // self.m.shape.batch)):
-            _, g = gradients(self.m, symbols[at], target[at])
+            _, g = gradients(self.m, symbols[at], target[at], with_loss=False)
             x = np.concatenate([g[k].ravel() for k in sorted(g)]).astype(np.float32)
             self.steps += 1
             self.one += np.float32(0.1) * (x - self.one)

@@ -1,7 +1,7 @@
 """Operator 5: language-model scores of whole texts.
 
-Two scores come from one pass over the texts.  The base is an add-one word model: word counts cover every
-training document; words with 1/HEAVY of all tokens or more (HEAVY at most) are broadcast and scored in
+The texts are read twice: their words are counted, then looked up and encoded, and training and scoring read the stored
+subword ids.  The base is an add-one word model: word counts cover every training document; words with 1/HEAVY of all tokens or more (HEAVY at most) are broadcast and scored in
 place, each block of documents sends its other words once, with the documents that hold them, to the word's
 count, and the sums come back by block.  The model is a causal self-attention network over subword ids
 (``attention``): its subword statistics are the counts of the whole training corpus, its weights are trained
@@ -28,21 +28,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .attention import Model, Shape, Trainer, build, state_of, with_state
-from .common import Words, binary_array, over_slices, ragged, release, slices, stored, text_of
-from .encode import encoder
+from .common import Words, binary_array, over_slices, release, slices, stored, text_of
+from .encode import _layout, encoder
 
-HEAVY = 100_000
+HEAVY = 1_000_000
 BLOCK_BYTES = 12 << 20
-TRAIN_BYTES = 2 << 20
+TRAIN_BYTES = 3 << 19  # of subword ids
 TASK_TOKENS = 2_000_000
 FAN_IN = 32  # states averaged by one task
 ROUNDS = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16))  # from and to, in 16 shares of the documents
 PAIR = np.dtype([("row", "<u4"), ("n", "<u4")])
 STATE = "task int, state binary, windows long"
 SUM = np.dtype([("row", "<u4"), ("known", "<u4"), ("value", "<f8")])
-PASS = "word string, block long, pairs binary, row int, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
-PASS_ARROW = pa.schema([("word", pa.string()), ("block", pa.int64()), ("pairs", pa.binary()), ("row", pa.int32()), ("doc_id", pa.int64()),
-                        ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+PASS = "word string, block long, pairs binary, row int, doc_id long, held_out boolean, share int, n_tokens long, known long, base double, ids binary"
+PASS_ARROW = pa.schema([("word", pa.string()), ("block", pa.int64()), ("pairs", pa.binary()), ("row", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
+                        ("share", pa.int32()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("ids", pa.binary())])
+ENCODED = pa.schema([("share", pa.int32()), ("ids", pa.binary())])
 
 
 @dataclass
@@ -60,20 +61,6 @@ def _count(batch, _):
     return pa.RecordBatch.from_arrays([w.arrow.take(pa.array(at)), pa.array(n[at].astype(np.int64))], names=["word", "n"])
 
 
-def _subwords(vocabulary: str):
-    """(word, c) -> each task's counts of subword ids."""
-    def run(batches):
-        enc, total = encoder(vocabulary), None
-        for b in batches:
-            ids, start, n = enc.of_chunks(b.column("word"))
-            add = np.bincount(ids[ragged(start, n)], weights=np.repeat(b.column("c").to_numpy(), n), minlength=enc.tok.get_vocab_size())
-            total = add if total is None else total + add
-        if total is not None:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["id", "n"])
-    return run
-
-
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c) over all documents given."""
     x = docs.select(text_of(text_col).alias("text"))
@@ -86,12 +73,41 @@ def _ended(enc, w: Words, end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(np.minimum(ids, np.uint32(end)), offsets[1:], end), offsets + np.arange(len(offsets))
 
 
-def _pass(vocabulary: str, heavy, model):
-    """One row per document, and one per block and light word with the documents that hold it."""
+def _packed(enc, w: Words) -> pa.Array:
+    """Each document's subword ids and its end, in as few bytes as the vocabulary needs."""
+    end = enc.tok.get_vocab_size()
+    ids, offsets = _ended(enc, w, end)
+    return binary_array(ids.astype(_width(end)), offsets)
+
+
+def _width(end: int) -> np.dtype:
+    return np.dtype("<u2" if end < 1 << 16 else "<u4")
+
+
+def _unpacked(ids: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of `_packed` documents, and where each document's begin and end."""
+    data, off = _layout(ids.cast(pa.binary()))
+    return data.view(_width(end)), off // _width(end).itemsize
+
+
+def _subwords(end: int):
+    """Ids of documents -> each task's counts of subword ids."""
+    def run(batches):
+        total = np.zeros(end + 1, dtype=np.int64)
+        for b in batches:
+            total += np.bincount(_unpacked(b.column("ids"), end)[0], minlength=end + 1)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
+    return run
+
+
+def _pass(vocabulary: str, heavy):
+    """One row per document with its subword ids, and one per block and light word with the documents that hold it."""
     def run(batch, state):
         if not state:
             words, counts = heavy.value
-            state.update(n=0, words=pa.array(words, pa.string()), log=np.log10(np.array([*counts, 0], dtype=np.float64) + 1), enc=encoder(vocabulary))
+            state.update(n=0, words=words, log=np.log10(np.append(counts, 0) + 1.0), enc=encoder(vocabulary))
         block = TaskContext.get().partitionId() << 32 | state["n"]
         state["n"] += 1
         w = Words(batch.column("text"), lower=True)
@@ -100,8 +116,7 @@ def _pass(vocabulary: str, heavy, model):
         known = at < len(state["words"])
         base = w.sums(np.where(known, state["log"][at], 0.0))
         n_known = w.sums(known.astype(np.int64))
-        m = model.value
-        score = m.score(*_ended(state["enc"], w, len(m.kind) - 1))
+        ids = _packed(state["enc"], w)
         # light words: (document, times) pairs, grouped by word
         light = ~known[w.codes]
         pair, times = np.unique(w.codes[light].astype(np.int64) * rows + w.doc_of()[light], return_counts=True)
@@ -117,18 +132,28 @@ def _pass(vocabulary: str, heavy, model):
         cols = [pa.concat_arrays(x) for x in (
             (blank(pa.string()), word), (pa.array(np.full(rows, block)), pa.array(np.full(k, block))), (blank(pa.binary()), packed),
             (pa.array(np.arange(rows, dtype=np.int32)), none(pa.int32())), (batch.column("doc_id"), none(pa.int64())), (batch.column("held_out"), none(pa.bool_())),
-            (pa.array(w.counts + 1), none(pa.int64())), (pa.array(n_known), none(pa.int64())), (pa.array(base), none(pa.float64())), (pa.array(score), none(pa.float64())))]
+            (batch.column("share"), none(pa.int32())), (pa.array(w.counts + 1), none(pa.int64())), (pa.array(n_known), none(pa.int64())), (pa.array(base), none(pa.float64())), (ids, none(pa.binary())))]
         return pa.RecordBatch.from_arrays(cols, schema=PASS_ARROW)
     return over_slices(run, "text", BLOCK_BYTES)
 
 
+def _scores(model):
+    """Documents with their ids -> the same with the model's scores instead."""
+    def run(batch, _):
+        m = model.value
+        score = m.score(*_unpacked(batch.column("ids"), len(m.kind) - 1))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], "score"])
+    return over_slices(run, "ids", BLOCK_BYTES)
+
+
 def _sums(limit: int = 2_000_000):
     """Light words with their counts -> per block the sums of its documents."""
     def flush(parts):
         block = np.concatenate([p[0] for p in parts])
         row, known, value = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-        order = np.lexsort((row, block))
-        block, row, known, value = block[order], row[order], known[order], value[order]
+        blocks, code = np.unique(block, return_inverse=True)
+        order = np.argsort(code.astype(np.int64) << 32 | row)
+        block, row, known, value = blocks[code[order]], row[order], known[order], value[order]
         first = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (row[1:] != row[:-1]))))
         s = np.empty(len(first), dtype=SUM)
         s["row"], s["known"], s["value"] = row[first], np.add.reduceat(known, first), np.add.reduceat(value, first)
@@ -142,8 +167,8 @@ def _sums(limit: int = 2_000_000):
             if not b.num_rows:
                 continue
             c = b.column("c").fill_null(0).to_numpy(zero_copy_only=False)
-            n = pc.binary_length(b.column("pairs")).to_numpy(zero_copy_only=False).astype(np.int64) // PAIR.itemsize
-            x = np.frombuffer(b"".join(b.column("pairs").to_pylist()), dtype=PAIR)
+            data, off = _layout(b.column("pairs").cast(pa.binary()))
+            x, n = data.view(PAIR), np.diff(off) // PAIR.itemsize
             parts.append((np.repeat(b.column("block").to_numpy(), n), x["row"], np.repeat((c > 0).astype(np.int64), n) * x["n"], np.repeat(np.log10(c + 1.0), n) * x["n"]))
             held += len(x)
             if held >= limit:
@@ -191,22 +216,24 @@ def score(docs: DataFrame, held_out: Column, params: Params, id_col: str = "doc_
     end_count = rows.count()
     s = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     total, distinct = (s["n"] or 0) + end_count, s["v"] + (end_count > 0)
-    heavy = counts.filter(F.col("c") * HEAVY >= max(total, 1)).orderBy("word").collect()  # at most HEAVY words
-    sub = counts.mapInArrow(_subwords(p.vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
-    size = encoder(p.vocabulary).tok.get_vocab_size() + 1
-    n_sub = np.zeros(size)
-    for r in sub:
+    heavy = counts.filter(F.col("c") * HEAVY >= max(total, 1)).orderBy("word").toArrow().combine_chunks()  # at most HEAVY words
+    heavy = pa.concat_arrays(heavy.column("word").chunks or [pa.array([], pa.string())]).cast(pa.string()), heavy.column("c").to_numpy()
+    part = x.select("doc_id", "held_out", _share().alias("share"), "text").mapInArrow(
+        _pass(p.vocabulary, spark.sparkContext.broadcast(heavy)), PASS)
+    part = stored(part, "subwords")
+    own = part.filter(F.col("row").isNotNull())
+    train = own.filter(~F.col("held_out")).select("share", "ids")
+    end = encoder(p.vocabulary).tok.get_vocab_size()
+    n_sub = np.zeros(end + 1)
+    for r in train.select("ids").mapInArrow(_subwords(end), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         n_sub[r["id"]] = r["n"]
-    n_sub[-1] = end_count
-    model = fit(rows, build(n_sub, p.shape), p.vocabulary, int(n_sub.sum()))
-    part = x.mapInArrow(_pass(p.vocabulary, spark.sparkContext.broadcast(([r["word"] for r in heavy], [r["c"] for r in heavy])),
-                              spark.sparkContext.broadcast(model)), PASS)
-    part = stored(part, "scored")
+    model = spark.sparkContext.broadcast(_rounds(train, build(n_sub, p.shape), int(n_sub.sum())))
+    none = {"row": "int", "doc_id": "long", "held_out": "boolean", "n_tokens": "long", "known": "long", "base": "double", "score": "double"}
+    scored = stored(own.select("block", *list(none)[:-1], "ids").mapInArrow(_scores(model), ", ".join(f"{c} {t}" for c, t in {"block": "long", **none}.items())), "scored")
     light = part.filter(F.col("word").isNotNull()).select("word", "block", "pairs")
     sums = light.join(counts, "word", "left").select("block", "pairs", "c").mapInArrow(_sums(), "block long, sums binary")
-    none = {"row": "int", "doc_id": "long", "held_out": "boolean", "n_tokens": "long", "known": "long", "base": "double", "score": "double"}
     both = sums.select("block", "sums", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]).unionByName(
-        part.filter(F.col("word").isNull()).select("block", F.lit(None).cast("binary").alias("sums"), *none))
+        scored.select("block", F.lit(None).cast("binary").alias("sums"), *none))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     per_token = float(np.log10(total + distinct + 1))
     return (both.repartition(n, "block").sortWithinPartitions("block", F.col("sums").isNull(), "row")
@@ -219,14 +246,14 @@ def sequences(texts: pa.Array, vocabulary: str, end: int) -> tuple[np.ndarray, n
     return _ended(encoder(vocabulary), Words(texts, lower=True), end)
 
 
-def _train(vocabulary: str, common, rate: float, passes: int):
-    """Texts -> the task's state after all their windows, and their number."""
+def _train(common, rate: float, passes: int):
+    """Ids of documents -> the task's state after all their windows, and their number."""
     def run(batches):
         trainer = None
         for b in batches:
-            for s in slices(b, "text", TRAIN_BYTES):
+            for s in slices(b, "ids", TRAIN_BYTES):
                 trainer = trainer or Trainer(*common.value)
-                trainer.run(*sequences(s.column("text"), vocabulary, len(trainer.m.kind) - 1), rate, passes)
+                trainer.run(*_unpacked(s.column("ids"), len(trainer.m.kind) - 1), rate, passes)
             release()
         if trainer:
             yield _state_row(trainer.state(), trainer.windows)
@@ -249,17 +276,30 @@ def _mean(batches):
         yield _state_row(total / n, n)
 
 
+def _share() -> Column:
+    """The share of the documents that a document trains with."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS[-1][1])).cast("int")
+
+
 def fit(rows: DataFrame, model: Model, vocabulary: str, tokens: int) -> Model:
     """The model trained on all rows (doc_id, text), which have `tokens` subwords."""
+    def encode(batch, _):
+        return pa.RecordBatch.from_arrays([batch.column("share"), _packed(encoder(vocabulary), Words(batch.column("text"), lower=True))], schema=ENCODED)
+
+    x = rows.select(_share().alias("share"), "text").mapInArrow(over_slices(encode, "text", BLOCK_BYTES), "share int, ids binary")
+    return _rounds(stored(x, "subwords"), model, tokens)
+
+
+def _rounds(rows: DataFrame, model: Model, tokens: int) -> Model:
+    """The model trained on all rows (share, ids), which have `tokens` subwords."""
     sc, s, state = rows.sparkSession.sparkContext, model.shape, state_of(model)
     passes = max(1, -(-s.steps * s.batch * s.stride // max(tokens, 1)))
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS[-1][1]))
     tasks = max(1, tokens // TASK_TOKENS)
-    x = rows.select("text", share.alias("share")).coalesce(tasks)
+    x = rows.coalesce(tasks)
     for a, b in ROUNDS:
         common = sc.broadcast((model, state))
         rate = s.rate * (1 - (a + b) / 2 / ROUNDS[-1][1])
-        done = x.filter((F.col("share") >= a) & (F.col("share") < b)).select("text").mapInArrow(_train(vocabulary, common, rate, passes), STATE)
+        done = x.filter((F.col("share") >= a) & (F.col("share") < b)).select("ids").mapInArrow(_train(common, rate, passes), STATE)
         left = tasks
         while left > 1:  # in stages of their own, so no task runs two workers
             left = -(-left // FAN_IN)
