@@ -1,9 +1,9 @@
 """Operator 5: language-model scores of whole texts.
 
 The texts are read twice: their words are counted, then looked up and encoded, and training and scoring read the stored
-subword ids.  The base is an add-one word model: word counts cover every training document; words with 1/HEAVY of all tokens or more (HEAVY at most) are broadcast and scored in
-place, each block of documents sends its other words once, with the documents that hold them, to the word's
-count, and the sums come back by block.  The model is a causal self-attention network over subword ids
+subword ids.  The base is an add-one word model: word counts cover every training document; words with 1/HEAVY of
+all tokens or more (HEAVY at most) are broadcast and scored in place, each block of documents sends its other words once, with the
+documents that hold them, to the word's count, and the sums come back by block.  The model is a causal self-attention network over subword ids
 (``attention``): its subword statistics are the counts of the whole training corpus, its weights are trained
 on every window of every training document, and overlapping windows score each subword once.  Training runs in
 rounds over disjoint shares of the documents, each twice the share before it: every task starts from the common
