@@ -130,27 +130,33 @@ def insert_absent(spark: SparkSession, sf: str) -> DataFrame:
 
 def _menu_docs(spark: SparkSession, sf: str) -> DataFrame:
     """One menu document per order: its line items' parts as drinks, their
-    brands as milks and the words of their names as syrups (a bounded list:
-    an order has at most seven lines)."""
+    brands as milks and the words of their names as syrups (one list per
+    order, of its few lines).  The lines are dealt by order before they are
+    listed, as an order's lines are spread over the input; the JSON text is
+    made of the one sorted list."""
     li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     p = V.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    j = li.join(p, li.l_partkey == p.p_partkey)
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    drink = F.struct(key.alias("k"), F.struct(
-        F.when(F.col("p_size") % 6 == 0, F.lit("  ")).otherwise(F.lower("p_type")).alias("id"),
-        F.col("p_name").alias("label"),
-        F.when(F.col("p_size") % 2 == 0, F.array(F.lit("Cold"), F.lit("Hot"), F.lit("Cold")))
-         .otherwise(F.array(F.lit("Warm"))).alias("temps"),
-        F.when(F.col("p_size") % 3 == 0, F.lit("no")).otherwise(F.lit("yes")).alias("milk"),
-        F.when(F.col("p_size") % 5 == 0, F.lit("off")).alias("active")).alias("v"))
-    milk = F.struct(key.alias("k"), F.struct(F.col("p_brand").alias("item"),
-                                             (F.col("p_size") % 4 != 0).cast("string").alias("available")).alias("v"))
-    g = j.groupBy("l_orderkey").agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(drink)), lambda x: x["v"])).alias("drinks"),
-        F.to_json(F.transform(F.array_sort(F.collect_list(milk)), lambda x: x["v"])).alias("milks"),
-        F.to_json(F.transform(F.array_distinct(F.flatten(F.collect_list(F.split("p_name", " ")))),
-                              lambda w: F.struct(w.alias("item")))).alias("syrups"))
-    return g.select(F.col("l_orderkey").alias("doc_id"), "drinks", "milks", "syrups")
+    j = li.join(p, li.l_partkey == p.p_partkey).drop("p_partkey").repartition("l_orderkey")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name", "p_brand", "p_type", "p_size")
+    g = j.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+
+    def drink(x):
+        size = x["p_size"]
+        return F.struct(
+            F.when(size % 6 == 0, F.lit("  ")).otherwise(F.lower(x["p_type"])).alias("id"),
+            x["p_name"].alias("label"),
+            F.when(size % 2 == 0, F.array(F.lit("Cold"), F.lit("Hot"), F.lit("Cold")))
+             .otherwise(F.array(F.lit("Warm"))).alias("temps"),
+            F.when(size % 3 == 0, F.lit("no")).otherwise(F.lit("yes")).alias("milk"),
+            F.when(size % 5 == 0, F.lit("off")).alias("active"))
+
+    def milk(x):
+        return F.struct(x["p_brand"].alias("item"), (x["p_size"] % 4 != 0).cast("string").alias("available"))
+
+    words = F.flatten(F.transform("lines", lambda x: F.coalesce(F.split(x["p_name"], " "), F.array().cast("array<string>"))))
+    return g.select(F.col("l_orderkey").alias("doc_id"), F.to_json(F.transform("lines", drink)).alias("drinks"),
+                    F.to_json(F.transform("lines", milk)).alias("milks"),
+                    F.to_json(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("item")))).alias("syrups"))
 
 
 @register("save_menu_report")
